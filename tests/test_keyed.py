@@ -1,0 +1,234 @@
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from vicinal.functions.vectors import L2
+from vicinal.operators.folds import AggregateFold, OrderedFold
+from vicinal.operators.keyed import KeyedTable, collect_lists, last_wins
+from vicinal.plans.skew import add_segment, salted_join
+
+
+def table(spark, entries, value="v", kind="DOUBLE"):
+    df = spark.createDataFrame(list(entries.items()), f"k BIGINT, {value} {kind}")
+    return KeyedTable.of(df, "k", value)
+
+
+def keys(spark, *ks):
+    return spark.createDataFrame([(k,) for k in ks], "k BIGINT")
+
+
+def contents(t):
+    df = t.df if isinstance(t, KeyedTable) else t
+    rows = [tuple(r) for r in df.collect()]
+    got = {r[0]: r[1] for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+@pytest.fixture
+def base(spark):
+    return table(spark, {1: 10.0, 2: 20.0, 3: None, 4: 40.0})
+
+
+@pytest.fixture
+def other(spark):
+    return table(spark, {2: 20.0, 3: 33.0, 4: None, 5: 55.0}, "u")
+
+
+def test_lookups(spark, base):
+    assert contents(base.get(2)) == {2: 20.0}
+    assert contents(base.get(3)) == {} and contents(base.get(99)) == {}
+    assert contents(base.multiget(keys(spark, 1, 1, 3, 4, 99))) == {1: 10.0, 4: 40.0}
+    assert contents(base.multiget(keys(spark))) == {}
+    assert base.count().collect()[0]["count"] == 4
+
+
+def test_get_is_pushed_to_the_scan(spark, sf_dir):
+    orders = KeyedTable.of(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", "o_totalprice")
+    plan = orders.get(7)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_orderkey,7)" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+
+
+def test_maps_and_filter(base):
+    assert contents(base.map_values(lambda v: v * 2)) == {1: 20.0, 2: 40.0, 3: None, 4: 80.0}
+    assert contents(base.map_entries(lambda k, v: v + k))[4] == 44.0
+    assert contents(base.filter(lambda k, v: (k > 1) & (v < 30))) == {2: 20.0}
+
+
+def test_put_and_multiput(spark, base, other):
+    assert contents(base.put([2], 21.0).put([9], 90.0)) == {1: 10.0, 2: 21.0, 3: None, 4: 40.0, 9: 90.0}
+    assert contents(base.multiput(other)) == {1: 10.0, 2: 20.0, 3: 33.0, 4: None, 5: 55.0}
+    merged = base.multiput(other, merge=lambda k, old, new: old + F.coalesce(new, F.lit(0)) + k)
+    assert contents(merged) == {1: 10.0, 2: 42.0, 3: 33.0, 4: 44.0, 5: 55.0}
+    folded = base.multiput(
+        other, merge=lambda k, old, new: old, z=lambda k, new: new * 100 + k
+    )
+    assert contents(folded) == {1: 10.0, 2: 20.0, 3: 3303.0, 4: 40.0, 5: 5505.0}
+    assert contents(base.multiput(table(spark, {}, "u"))) == contents(base)
+    assert contents(base)[2] == 20.0  # the table itself never changes
+
+
+def test_multiput_of_another_type(spark, base):
+    words = table(spark, {1: "three", 7: "seven!!"}, "w", "STRING")
+    got = base.multiput(
+        words,
+        merge=lambda k, old, new: old + F.length(new),
+        z=lambda k, new: F.length(new).cast("double"),
+    )
+    assert contents(got) == {1: 15.0, 2: 20.0, 3: None, 4: 40.0, 7: 7.0}
+
+
+def test_delete(spark, base):
+    assert contents(base.delete(keys(spark, 1, 1, 3, 77))) == {2: 20.0, 4: 40.0}
+    assert contents(base.delete(keys(spark))) == contents(base)
+
+
+def test_joins(base, other):
+    pair = lambda k, a, b: F.concat_ws("|", k, F.coalesce(a, F.lit(-1)), F.coalesce(b, F.lit(-2)))
+    assert contents(base.full_outer_join(other, pair)) == {
+        1: "1|10.0|-2.0", 2: "2|20.0|20.0", 3: "3|-1.0|33.0", 4: "4|40.0|-2.0", 5: "5|-1.0|55.0",
+    }
+    assert contents(base.left_join(other, pair)) == {
+        1: "1|10.0|-2.0", 2: "2|20.0|20.0", 3: "3|-1.0|33.0", 4: "4|40.0|-2.0",
+    }
+    assert contents(base.inner_join(other, pair)) == {2: "2|20.0|20.0", 3: "3|-1.0|33.0"}
+
+
+def test_joins_with_disjoint_and_empty_sides(spark, base):
+    add = lambda k, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))
+    away, empty = table(spark, {8: 8.0}), table(spark, {})
+    assert contents(base.inner_join(away, add)) == {} == contents(base.inner_join(empty, add))
+    assert contents(base.full_outer_join(away, add)) == {1: 10.0, 2: 20.0, 3: 0.0, 4: 40.0, 8: 8.0}
+    assert contents(empty.full_outer_join(away, add)) == {8: 8.0}
+    assert contents(base.diff(empty)) == {}
+
+
+def test_update_join_folds_repeated_keys(spark, base):
+    pairs = spark.createDataFrame([(1, 1.0), (1, 2.0), (3, 5.0), (9, 9.0), (4, None)], "k BIGINT, u DOUBLE")
+    summed = base.update_join(pairs, "u", AggregateFold(F.sum), lambda k, old, new: old + new)
+    assert contents(summed) == {1: 13.0, 2: 20.0, 3: None, 4: 40.0}
+
+
+def test_diff(spark):
+    ours = table(spark, {1: 1.0, 2: 2.0, 3: None, 4: 4.0, 5: 5.0})
+    theirs = table(spark, {1: 1.0, 2: 2.5, 3: 3.0, 4: None, 6: 6.0})
+    assert contents(ours.diff(theirs)) == {2: 2.0, 3: None}
+
+
+def test_last_wins_and_ties(spark):
+    pairs = spark.createDataFrame(
+        [(1, 1, 5.0), (1, 2, 3.0), (2, 1, 1.0), (2, 1, 9.0), (3, 1, 7.0), (3, 2, None)],
+        "k BIGINT, at INT, v DOUBLE",
+    )
+    assert contents(last_wins(pairs, "k", "v", ["at"])) == {1: 3.0, 2: 9.0, 3: None}
+    this = table(spark, {1: 0.0})
+    assert contents(this.create_using(pairs, "v", ["at"])) == {1: 3.0, 2: 9.0, 3: None}
+    assert contents(this.aggregate_using(pairs, "v", F.sum)) == {1: 8.0, 2: 10.0, 3: 7.0}
+
+
+def test_composite_and_string_keys(spark):
+    pairs = spark.createDataFrame(
+        [("a", 1, 1.0), ("a", 2, 2.0), ("a", 1, 3.0)], "s STRING, n INT, v DOUBLE"
+    )
+    t = KeyedTable.from_pairs(pairs, ["s", "n"], "v", [])
+    assert {tuple(r) for r in t.df.collect()} == {("a", 1, 3.0), ("a", 2, 2.0)}
+    assert [tuple(r) for r in t.get("a", 1).collect()] == [("a", 1, 3.0)]
+    named = t.map_entries(lambda k, v: v + k["n"])
+    assert {tuple(r) for r in named.df.collect()} == {("a", 1, 4.0), ("a", 2, 4.0)}
+    wanted = spark.createDataFrame([("a", 2), ("b", 2)], "s STRING, n INT")
+    assert {tuple(r) for r in t.multiget(wanted).collect()} == {("a", 2, 2.0)}
+    assert {tuple(r) for r in t.put(["b", 5], 1.5).df.collect()} >= {("b", 5, 1.5)}
+    with pytest.raises(ValueError):
+        t.get("a")
+
+
+def skewed(spark, n=3000):
+    """A third of all rows under one key."""
+    rng = random.Random(5)
+    rows = [(0 if i % 3 == 0 else rng.randrange(1, 200), i, rng.random()) for i in range(n)]
+    rng.shuffle(rows)
+    groups = defaultdict(list)
+    for k, at, v in sorted(rows, key=lambda r: r[1]):
+        groups[k].append((at, v))
+    return spark.createDataFrame(rows, "k BIGINT, at BIGINT, v DOUBLE").repartition(5), groups
+
+
+@pytest.mark.parametrize("run_rows", [10_000, 300, 7])
+def test_ordered_fold_of_a_hot_key(spark, run_rows):
+    df, groups = skewed(spark)
+    # First and last position of each run, joined only if the order is right.
+    fold = OrderedFold(
+        order=["at"],
+        lift=lambda v: F.struct(F.lit(0.5).alias("s"), v.alias("o")),
+        merge=lambda a, x: F.struct(
+            (a["s"] * x["s"]).alias("s"), (a["o"] * x["s"] + x["o"]).alias("o")
+        ),
+        finish=lambda acc: acc["o"],
+        run_rows=run_rows,
+    )
+    got = contents(KeyedTable.fold(df, "k", "v", fold))
+    for k, values in groups.items():
+        acc = 0.0
+        for _, v in values:
+            acc = acc * 0.5 + v
+        assert got[k] == pytest.approx(acc)
+    assert set(got) == set(groups)
+
+
+@pytest.mark.parametrize("run_rows", [10_000, 16])
+def test_ordered_fold_that_does_not_commute(spark, run_rows):
+    df, groups = skewed(spark)
+    fold = OrderedFold(
+        order=["at"],
+        lift=lambda v: F.format_number(v, 3),
+        merge=lambda a, x: F.concat(a, F.lit(","), x),
+        run_rows=run_rows,
+    )
+    got = contents(KeyedTable.fold(df, "k", "v", fold))
+    assert got == {k: ",".join(f"{v:.3f}" for _, v in vs) for k, vs in groups.items()}
+
+
+def test_collected_lists_are_whole_and_bounded(spark):
+    df, groups = skewed(spark)
+    lists, parts = defaultdict(list), defaultdict(int)
+    for r in collect_lists(df, "k", "at", 50).collect():
+        lists[r["k"]] += r["members"]
+        parts[r["k"]] += 1
+        assert len(r["members"]) < 120
+    assert {k: sorted(v) for k, v in lists.items()} == {k: [a for a, _ in v] for k, v in groups.items()}
+    assert parts[0] >= 10 and all(n == 1 for k, n in parts.items() if len(groups[k]) <= 50)
+
+
+def test_segments_of_ids_in_step(spark):
+    """Ids that share a factor with the segment count still spread over all segments."""
+    df = spark.range(0, 64_000, 64).select(F.lit(1).alias("k"), "id")
+    sizes = add_segment(df, ["k"], F.col("id"), 100).groupBy("segment").count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 250
+
+
+@pytest.mark.parametrize("cap", [10_000, 40])
+def test_salted_join_equals_plain_join(spark, cap):
+    left, _ = skewed(spark)
+    right = left.filter("at % 7 = 0").select("k", F.col("at").alias("b"))
+    plain = sorted(map(tuple, left.join(right, "k").select("k", "at", "b").collect()))
+    got = salted_join(left, right, ["k"], F.col("at"), F.col("b"), cap)
+    assert sorted(map(tuple, got.select("k", "at", "b").collect())) == plain
+    unique = right.dropDuplicates(["k"])
+    plain = sorted(map(tuple, left.join(unique, "k").select("k", "at", "b").collect()))
+    got = salted_join(left, unique, ["k"], F.col("at"), None, cap)
+    assert sorted(map(tuple, got.select("k", "at", "b").collect())) == plain
+
+
+def test_multifilter(spark):
+    vectors = KeyedTable.of(
+        spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [1.0, 0.0])], "id BIGINT, v ARRAY<DOUBLE>"),
+        "id", "v",
+    )
+    queries = spark.createDataFrame([(7, [0.0, 0.0])], "query_id BIGINT, qv ARRAY<DOUBLE>")
+    wanted = spark.createDataFrame([(7, 1), (7, 1), (7, 2), (7, 3), (7, 99)], "query_id BIGINT, id BIGINT")
+    near = vectors.multifilter(queries, wanted, 5.0, L2)
+    assert sorted(map(tuple, near.collect())) == [(7, 1), (7, 3)]
+    assert near.columns == ["query_id", "id"]

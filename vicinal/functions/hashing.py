@@ -156,23 +156,14 @@ class HashFamily:
         return F.array(*[F.array(*[F.get(sig, F.lit(f)) for f in group]) for group in self.groups])
 
     def expand_tables(self, df: DataFrame, sig: str = "sig") -> DataFrame:
-        """One row per table with ``table_id`` and ``bins``; the plan size is free of L."""
-        slots = [f"f{n}" for n in range(self.num_functions)]
+        """One row per table with ``table_id`` and ``bins``, read off the signature."""
         members = self.groups
-        tables = F.array(
-            *[
-                F.struct(
-                    F.lit(t).alias("table_id"),
-                    *[F.lit(f).alias(s) for f, s in zip(members[i] + members[j], slots)],
-                )
-                for t, (i, j) in enumerate(self.tables)
-            ]
-        )
+        chosen = [members[i] + members[j] for i, j in self.tables]
+        table_id = F.col("table_id")
+        slots = [F.get(_ints(column), table_id) for column in zip(*chosen)]
         kept = df.columns
-        return df.select("*", F.explode(tables).alias("_t")).select(
-            *kept,
-            F.col("_t.table_id").alias("table_id"),
-            F.array(*[F.get(F.col(sig), F.col("_t")[s]) for s in slots]).alias("bins"),
+        return df.select("*", F.explode(_ints(range(len(chosen)))).alias("table_id")).select(
+            *kept, "table_id", F.array(*[F.get(F.col(sig), s) for s in slots]).alias("bins")
         )
 
     def first_match(self, table_id: Column, ours: Column, theirs: Column) -> Column:
@@ -182,9 +173,8 @@ class HashFamily:
         below j agrees too.  Keeping only first meetings makes candidates distinct
         without any shuffle.
         """
-        pairs = self.tables
-        upper = F.element_at(F.array(*[F.lit(j) for _, j in pairs]), table_id + 1)
-        lower = F.element_at(F.array(*[F.lit(i) for i, _ in pairs]), table_id + 1)
+        lower = F.get(_ints(i for i, _ in self.tables), table_id)
+        upper = F.get(_ints(j for _, j in self.tables), table_id)
         earlier = F.lit(False)
         for g, members in enumerate(self.groups[:-1]):
             agree = F.lit(True)
@@ -194,6 +184,11 @@ class HashFamily:
         return ~earlier
 
 
+def _ints(values) -> Column:
+    """Array literal of ints, handed to the JVM in one piece."""
+    return F.expr(f"array({','.join(str(int(x)) for x in values)})")
+
+
 # -- single hash functions as column expressions -----------------------------------------
 
 

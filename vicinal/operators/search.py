@@ -55,7 +55,7 @@ def candidates(
     if broadcast_rows is None:
         row_bytes = 16 * (len(family.a) + family.num_functions + 8) * len(family.tables)
         broadcast_rows = row_budget(row_bytes)
-    if fits(queries, broadcast_rows):
+    if fits(queries.select("query_id"), broadcast_rows):
         met = index.postings.join(F.broadcast(keys), on)
     else:
         met = salted_join(
@@ -65,15 +65,6 @@ def candidates(
     return met.filter(first).select("query_id", "vec_id")
 
 
-def _attach(pairs: DataFrame, table: DataFrame, key: str, other: str, rows: int, cap: int):
-    """Join pairs to a table with unique ``key``, whichever side is the small one."""
-    if fits(table, rows):
-        return pairs.join(F.broadcast(table), key)
-    if fits(pairs, rows):
-        return table.join(F.broadcast(pairs), key)
-    return salted_join(pairs, table, [key], _row_hash(other), None, cap)
-
-
 def measured(
     pairs: DataFrame,
     queries: DataFrame,
@@ -83,15 +74,31 @@ def measured(
     salt_cap: int = SALT_CAP,
     dimension: int = 1024,
 ) -> DataFrame:
-    """``(query_id, vec_id, distance)`` of given pairs, with the vectors looked up by id."""
+    """``(query_id, vec_id, distance)`` of given distinct pairs, vectors looked up by id.
+
+    A table that fits is broadcast to the pairs; pairs that fit are broadcast to the
+    table; otherwise both are shuffled with hot ids split.
+    """
     rows = row_budget(8 * dimension + 64) if broadcast_rows is None else broadcast_rows
-    vectors, queries = vectors.select("vec_id", "v"), queries.select("query_id", "qv")
-    if not (fits(vectors, rows) and fits(queries, rows)):
-        # The pairs are about to be counted and joined twice: work them out just once.
+    sides = [
+        ("query_id", "vec_id", queries.select("query_id", "qv")),
+        ("vec_id", "query_id", vectors.select("vec_id", "v")),
+    ]
+    small = [fits(table.select(key), rows) for key, _, table in sides]
+    if all(small):
+        # A few hot buckets may have made most of the pairs: even out the work.
+        pairs = pairs.repartition("query_id", "vec_id")
+    else:
+        # The pairs are about to be counted and joined: work them out just once.
         pairs = cut_lineage(pairs)
-    found = _attach(pairs, queries, "query_id", "vec_id", rows, salt_cap)
-    found = _attach(found, vectors, "vec_id", "query_id", rows, salt_cap)
-    return found.select("query_id", "vec_id", metric.expr(F.col("v"), F.col("qv")).alias("distance"))
+    for (key, other, table), is_small in zip(sides, small):
+        if is_small:
+            pairs = pairs.join(F.broadcast(table), key)
+        elif fits(pairs.select(key), rows):
+            pairs = table.join(F.broadcast(pairs), key)
+        else:
+            pairs = salted_join(pairs, table, [key], _row_hash(other), None, salt_cap)
+    return pairs.select("query_id", "vec_id", metric.expr(F.col("v"), F.col("qv")).alias("distance"))
 
 
 # -- radius and k nearest --------------------------------------------------------------

@@ -21,6 +21,8 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **extra: str) ->
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
+        # Small inputs still fan out into costly pairs; keep all threads busy on them.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         **extra,
     }
     for key, value in settings.items():
