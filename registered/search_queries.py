@@ -169,7 +169,7 @@ def keyed_multifilter(spark, sf_dir):
     wanted = queries.select("query_id", shift.alias("s")).select(
         "query_id", (F.col("query_id") + F.col("s")).alias("vec_id")
     )
-    return table.multifilter(queries, wanted, 1.4)
+    return table.multifilter(queries, wanted, 1.4, DIMENSION)
 
 
 # -- streams ---------------------------------------------------------------------------

@@ -229,6 +229,6 @@ def test_multifilter(spark):
     )
     queries = spark.createDataFrame([(7, [0.0, 0.0])], "query_id BIGINT, qv ARRAY<DOUBLE>")
     wanted = spark.createDataFrame([(7, 1), (7, 1), (7, 2), (7, 3), (7, 99)], "query_id BIGINT, id BIGINT")
-    near = vectors.multifilter(queries, wanted, 5.0, L2)
+    near = vectors.multifilter(queries, wanted, 5.0, 2, L2)
     assert sorted(map(tuple, near.collect())) == [(7, 1), (7, 3)]
     assert near.columns == ["query_id", "id"]

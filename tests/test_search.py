@@ -8,6 +8,7 @@ from vicinal.functions.vectors import COSINE, L2
 from vicinal.operators import search
 from vicinal.operators.index import IndexParams, build_index, posting_lists
 from vicinal.plans.jobs import answer_table, index_vectors
+from vicinal.sources.vector_store import load_vectors, parts_of, save_vectors
 from vicinal.sources.index_store import METADATA_SCHEMA, load_index, save_index
 
 DIM, N, M = 8, 300, 60
@@ -190,12 +191,12 @@ def test_multifilter_drops_absent_ids(spark, tables, data):
     vectors, queries = tables
     x, q = data
     wanted = spark.createDataFrame(
-        [(1000 + j, i) for j in range(M) for i in (j, j + 1, 10**9)], "query_id BIGINT, vec_id BIGINT"
+        [(1000 + j, i) for j in range(M + 3) for i in (j, j + 1, 10**9)], "query_id BIGINT, vec_id BIGINT"
     )
     d = true_distances(x, q)
     expected = {(1000 + j, i) for j in range(M) for i in (j, j + 1) if d[i, j] < 2.5}
     for plan in ({}, BIG):
-        assert pairs(search.multifilter(vectors, queries, wanted, 2.5, **plan)) == expected
+        assert pairs(search.multifilter(vectors, queries, wanted, 2.5, DIM, **plan)) == expected
 
 
 def test_posting_lists_split_hot_buckets(tables, data):
@@ -242,6 +243,22 @@ def test_saved_index_prunes_partitions(spark, tables, tmp_path):
     assert len(found.collect()) == len([p for p in pairs(search.candidates(index, queries)) if p[0] == 1059])
 
 
+def test_laid_out_vectors_are_read_by_part(spark, tables, tmp_path):
+    vectors, queries = tables
+    save_vectors(vectors, f"file://{tmp_path}/vectors", parts=8)
+    stored = load_vectors(spark, f"file://{tmp_path}/vectors")
+    assert stored.count() == N and parts_of(stored) == 8
+    index = build_index(vectors, PARAMS)
+    want = pairs(search.radius_search(index, vectors, queries, 2.5))
+    for limit in (N - 1, 0):
+        near = search.radius_search(index, stored, queries, 2.5, broadcast_rows=limit)
+        assert pairs(near) == want
+    one = queries.filter("query_id = 1059")
+    few = search.radius_search(index, stored, one, 2.5, broadcast_rows=N - 1)
+    assert "dynamicpruning" in few._jdf.queryExecution().executedPlan().toString().lower()
+    assert pairs(few) == {p for p in want if p[0] == 1059}
+
+
 def test_load_checks_the_metadata(spark, tables, tmp_path):
     vectors, _ = tables
     path = f"file://{tmp_path}/index"

@@ -83,6 +83,11 @@ def _l2_block(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.stack([np.einsum("nd,nd->n", x - row, x - row) for row in q], axis=1))
 
 
+def _l2_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    gap = x - y
+    return np.sqrt(np.einsum("nd,nd->n", gap, gap))
+
+
 def _l2_near(x: np.ndarray, q: np.ndarray, radius: float, inclusive: bool):
     # One matrix product screens all pairs with a margin far above its rounding error;
     # the survivors are measured again from differences, so the result is exact.
@@ -91,31 +96,49 @@ def _l2_near(x: np.ndarray, q: np.ndarray, radius: float, inclusive: bool):
     distance = np.empty(len(i))
     step = max(1, MEASURED_NUMBERS // x.shape[1])
     for s in range(0, len(i), step):
-        gap = x[i[s : s + step]] - q[j[s : s + step]]
-        distance[s : s + step] = np.sqrt(np.einsum("nd,nd->n", gap, gap))
+        distance[s : s + step] = _l2_rows(x[i[s : s + step]], q[j[s : s + step]])
     keep = distance <= radius if inclusive else distance < radius
     return i[keep], j[keep], distance[keep]
 
 
-def _cosine_block(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    norms = np.sqrt(np.outer((x * x).sum(1), (q * q).sum(1)))
+def _dot_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.einsum("nd,nd->n", x, y)
+
+
+def _ratio(above: np.ndarray, below: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(norms == 0, np.nan, (x @ q.T) / norms)
+        return np.where(below == 0, np.nan, above / below)
+
+
+def _cosine_block(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return _ratio(x @ q.T, np.sqrt(np.outer(_dot_rows(x, x), _dot_rows(q, q))))
+
+
+def _cosine_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return _ratio(_dot_rows(x, y), np.sqrt(_dot_rows(x, x) * _dot_rows(y, y)))
 
 
 def _tanimoto_block(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     xq = x @ q.T
-    below = (x * x).sum(1)[:, None] + (q * q).sum(1)[None, :] - xq
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(below == 0, np.nan, xq / below)
+    return _ratio(xq, _dot_rows(x, x)[:, None] + _dot_rows(q, q)[None, :] - xq)
+
+
+def _tanimoto_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    xy = _dot_rows(x, y)
+    return _ratio(xy, _dot_rows(x, x) + _dot_rows(y, y) - xy)
 
 
 @dataclass(frozen=True)
 class Metric:
-    """A named measure with its ordering, so that "near" never means the wrong end."""
+    """A named measure with its ordering, so that "near" never means the wrong end.
+
+    ``expr`` is the formula on columns, ``rows`` on two blocks row by row, ``block`` on
+    every row of one block against every row of another; undefined values are NaN.
+    """
 
     name: str
     expr: Callable[[Column, Column], Column]
+    rows: Callable[[np.ndarray, np.ndarray], np.ndarray]
     block: Callable[[np.ndarray, np.ndarray], np.ndarray]
     smaller_is_nearer: bool = True
     screen: Callable | None = None
@@ -138,7 +161,7 @@ class Metric:
         return measure.asc_nulls_last() if self.smaller_is_nearer else measure.desc_nulls_last()
 
 
-L2 = Metric("l2", l2, _l2_block, screen=_l2_near)
-COSINE = Metric("cosine", cosine, _cosine_block, smaller_is_nearer=False)
-TANIMOTO = Metric("tanimoto", tanimoto, _tanimoto_block, smaller_is_nearer=False)
-DOT = Metric("dot", dot, lambda x, q: x @ q.T, smaller_is_nearer=False)
+L2 = Metric("l2", l2, _l2_rows, _l2_block, screen=_l2_near)
+COSINE = Metric("cosine", cosine, _cosine_rows, _cosine_block, smaller_is_nearer=False)
+TANIMOTO = Metric("tanimoto", tanimoto, _tanimoto_rows, _tanimoto_block, smaller_is_nearer=False)
+DOT = Metric("dot", dot, _dot_rows, lambda x, q: x @ q.T, smaller_is_nearer=False)

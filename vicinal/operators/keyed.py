@@ -109,6 +109,7 @@ class KeyedTable:
         queries: DataFrame,
         wanted: DataFrame,
         radius: float,
+        dimension: int,
         metric: Metric = L2,
         inclusive: bool = False,
     ) -> DataFrame:
@@ -116,7 +117,7 @@ class KeyedTable:
         (key,) = self.keys
         vectors = self.df.select(F.col(key).alias("vec_id"), F.col(self.value).alias("v"))
         pairs = wanted.select("query_id", F.col(key).alias("vec_id")).distinct()
-        near = search.multifilter(vectors, queries, pairs, radius, metric, inclusive)
+        near = search.multifilter(vectors, queries, pairs, radius, dimension, metric, inclusive)
         return near.withColumnRenamed("vec_id", key)
 
     def count(self) -> DataFrame:

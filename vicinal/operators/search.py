@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vicinal.functions.hashing import matrix
-from vicinal.functions.vectors import L2, Metric
+from vicinal.functions.vectors import L2, MEASURED_NUMBERS, Metric
 from vicinal.operators.index import LshIndex, bucket_keys
-from vicinal.plans.sizing import cut_lineage, fits, row_budget
+from vicinal.plans.sizing import BROADCAST_BYTES, cut_lineage, fits, row_budget
 from vicinal.plans.skew import salted_join, spread
+from vicinal.sources.vector_store import PART, id_part, parts_of
 
 #: Rows of one (hot key, segment) pair in a salted join.
 SALT_CAP = 100_000
@@ -26,9 +28,14 @@ SALT_CAP = 100_000
 #: Bytes of one block of vectors or queries in the exact block join.
 BLOCK_BYTES = 32 * 1024 * 1024
 
+#: Queries in one list of queries that want a vector.
+LIST_QUERIES = 4096
+
 #: Rows of either side measured in one matrix product.
 TILE = 1024
 
+_HITS = "query_id {}, vec_id {}, distance DOUBLE"
+
 
 def _row_hash(c: str) -> Column:
     return F.xxhash64(c)
@@ -69,36 +76,89 @@ def measured(
     pairs: DataFrame,
     queries: DataFrame,
     vectors: DataFrame,
+    dimension: int,
     metric: Metric = L2,
+    within: tuple[float, bool] | None = None,
     broadcast_rows: int | None = None,
     salt_cap: int = SALT_CAP,
-    dimension: int = 1024,
 ) -> DataFrame:
     """``(query_id, vec_id, distance)`` of given distinct pairs, vectors looked up by id.
 
-    A table that fits is broadcast to the pairs; pairs that fit are broadcast to the
-    table; otherwise both are shuffled with hot ids split.
+    ``within = (radius, inclusive)`` keeps only pairs that near.  Queries that fit are
+    broadcast and each wanted vector is looked up once for all queries that want it;
+    otherwise pairs, queries and vectors are shuffled with hot ids split.
     """
+    queries, parts = queries.select("query_id", "qv"), parts_of(vectors)
+    vectors = vectors.select("vec_id", "v", *([PART] if parts else []))
     rows = row_budget(8 * dimension + 64) if broadcast_rows is None else broadcast_rows
-    sides = [
-        ("query_id", "vec_id", queries.select("query_id", "qv")),
-        ("vec_id", "query_id", vectors.select("vec_id", "v")),
-    ]
-    small = [fits(table.select(key), rows) for key, _, table in sides]
-    if all(small):
-        # A few hot buckets may have made most of the pairs: even out the work.
-        pairs = pairs.repartition("query_id", "vec_id")
-    else:
-        # The pairs are about to be counted and joined: work them out just once.
-        pairs = cut_lineage(pairs)
-    for (key, other, table), is_small in zip(sides, small):
-        if is_small:
-            pairs = pairs.join(F.broadcast(table), key)
-        elif fits(pairs.select(key), rows):
-            pairs = table.join(F.broadcast(pairs), key)
-        else:
-            pairs = salted_join(pairs, table, [key], _row_hash(other), None, salt_cap)
-    return pairs.select("query_id", "vec_id", metric.expr(F.col("v"), F.col("qv")).alias("distance"))
+    if fits(queries.select("query_id"), rows):
+        block = queries.toArrow().combine_chunks()
+        asked = _asked_vectors(pairs, vectors, parts, rows, -(-block.num_rows // LIST_QUERIES))
+        return _measure_in_blocks(asked, block, dimension, metric, within)
+    pairs = cut_lineage(pairs)
+    found = salted_join(pairs, queries, ["query_id"], _row_hash("vec_id"), None, salt_cap)
+    found = salted_join(found, vectors, ["vec_id"], _row_hash("query_id"), None, salt_cap)
+    distance = metric.expr(F.col("v"), F.col("qv")).alias("distance")
+    found = found.select("query_id", "vec_id", distance)
+    return found if within is None else found.filter(metric.within(F.col("distance"), *within))
+
+
+def _asked_vectors(pairs, vectors, parts: int | None, rows: int, slices: int) -> DataFrame:
+    """``(vec_id, v, asked)``: each wanted vector with lists of the queries that want it.
+
+    The queries fit a broadcast, which bounds the lists; very long ones are cut further
+    by slice of queries.  Ids are unique on both sides of the join.
+    """
+    by = ["vec_id"]
+    if slices > 1:
+        by.append(F.pmod(spread(_row_hash("query_id")), F.lit(slices)).alias("slice"))
+    lists = pairs.groupBy(*by).agg(F.collect_list("query_id").alias("asked"))
+    lists = lists.select("vec_id", "asked")
+    if fits(vectors.select("vec_id"), rows):
+        return lists.join(F.broadcast(vectors), "vec_id").select("vec_id", "v", "asked")
+    lists = cut_lineage(lists)
+    (size,) = lists.agg(F.sum(64 + 8 * F.size("asked"))).first()
+    if (size or 0) > BROADCAST_BYTES:
+        return vectors.join(lists, "vec_id").select("vec_id", "v", "asked")
+    on = ["vec_id"]
+    if parts:
+        # Equality on the partition column: only parts that own a wanted id are read.
+        lists, on = lists.withColumn(PART, id_part(F.col("vec_id"), parts)), ["vec_id", PART]
+        lists = lists.filter(F.col(PART) < parts)
+    return vectors.join(F.broadcast(lists), on).select("vec_id", "v", "asked")
+
+
+def _measure_in_blocks(asked: DataFrame, block: pa.Table, dimension, metric, within) -> DataFrame:
+    """Measure each vector against the queries that want it, on Arrow batches."""
+    query_type = asked.schema["asked"].dataType.elementType.simpleString()
+    schema = _HITS.format(query_type, asked.schema["vec_id"].dataType.simpleString())
+    if not block.num_rows:
+        return asked.sparkSession.createDataFrame([], schema)
+    shared = asked.sparkSession.sparkContext.broadcast(block)
+    step = max(1, MEASURED_NUMBERS // dimension)
+
+    def measure(batches):
+        held = shared.value
+        query_ids = held.column("query_id").combine_chunks()
+        q = matrix(held.column("qv").combine_chunks(), dimension)
+        for batch in batches:
+            x, vec_ids = matrix(batch.column("v"), dimension), batch.column("vec_id")
+            lists = batch.column("asked")
+            i = np.repeat(np.arange(len(x)), pc.list_value_length(lists).to_numpy())
+            wanted = lists.flatten()
+            for s in range(0, len(i), step):
+                rows, ids = i[s : s + step], wanted.slice(s, step)
+                j = pc.index_in(ids, value_set=query_ids).to_numpy()
+                distance = metric.rows(x[rows], q[j])
+                if within is not None:
+                    near = np.nonzero(metric.within(distance, *within))[0]
+                    rows, ids, distance = rows[near], ids.take(pa.array(near)), distance[near]
+                yield pa.RecordBatch.from_arrays(
+                    [ids, vec_ids.take(pa.array(rows)), pa.array(distance, from_pandas=True)],
+                    names=["query_id", "vec_id", "distance"],
+                )
+
+    return asked.mapInArrow(measure, schema)
 
 
 # -- radius and k nearest --------------------------------------------------------------
@@ -109,21 +169,21 @@ def multifilter(
     queries: DataFrame,
     wanted: DataFrame,
     radius: float,
+    dimension: int,
     metric: Metric = L2,
     inclusive: bool = False,
     **plan,
 ) -> DataFrame:
     """Of the wanted ``(query_id, vec_id)`` pairs, those within ``radius``; ids only."""
-    near = measured(wanted, queries, vectors, metric, **plan)
-    return near.filter(metric.within(F.col("distance"), radius, inclusive)).select(
-        "query_id", "vec_id"
-    )
+    known = wanted.join(queries.select("query_id"), "query_id", "left_semi")
+    near = measured(known, queries, vectors, dimension, metric, (radius, inclusive), **plan)
+    return near.select("query_id", "vec_id")
 
 
-def _lsh_measured(index, vectors, queries, metric, broadcast_rows, salt_cap):
+def _lsh_measured(index, vectors, queries, metric, within, broadcast_rows, salt_cap):
     pairs = candidates(index, queries, broadcast_rows, salt_cap)
     return measured(
-        pairs, queries, vectors, metric, broadcast_rows, salt_cap, index.params.dimension
+        pairs, queries, vectors, index.params.dimension, metric, within, broadcast_rows, salt_cap
     )
 
 
@@ -138,8 +198,8 @@ def radius_search(
     salt_cap: int = SALT_CAP,
 ) -> DataFrame:
     """Approximate range search ``(query_id, vec_id, distance)``; strict by default."""
-    near = _lsh_measured(index, vectors, queries, metric, broadcast_rows, salt_cap)
-    return near.filter(metric.within(F.col("distance"), radius, inclusive))
+    within = (radius, inclusive)
+    return _lsh_measured(index, vectors, queries, metric, within, broadcast_rows, salt_cap)
 
 
 def knn_search(
@@ -156,7 +216,7 @@ def knn_search(
     Spark limits each task to its own best ``k`` per query before the shuffle, so a
     query with a great many candidates does not swamp one task.
     """
-    near = _lsh_measured(index, vectors, queries, metric, broadcast_rows, salt_cap)
+    near = _lsh_measured(index, vectors, queries, metric, None, broadcast_rows, salt_cap)
     order = W.partitionBy("query_id").orderBy(metric.nearest_first(F.col("distance")), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -165,7 +225,7 @@ def knn_single(
     index: LshIndex, vectors: DataFrame, query: DataFrame, k: int = 10, metric: Metric = L2
 ) -> DataFrame:
     """``k`` nearest candidates of a one-row query frame by a distributed top-k."""
-    near = _lsh_measured(index, vectors, query, metric, None, SALT_CAP)
+    near = _lsh_measured(index, vectors, query, metric, None, None, SALT_CAP)
     return (
         near.orderBy(metric.nearest_first(F.col("distance")), "vec_id")
         .limit(k)
@@ -175,9 +235,6 @@ def knn_single(
 
 # -- exact scan ------------------------------------------------------------------------
 
-_HITS = "query_id {}, vec_id {}, distance DOUBLE"
-
-
 def _hits(vec_ids: pa.Array, x, query_ids: pa.Array, q, radius, inclusive, metric):
     """Record batches of the pairs of two blocks within ``radius``, a tile at a time."""
     for s in range(0, len(x), TILE):

@@ -24,10 +24,10 @@ def row_budget(row_bytes: int, max_bytes: int = BROADCAST_BYTES) -> int:
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
-    Every task stops after ``max_rows + 1`` rows and only a count returns to the
-    driver, so the check stays cheap however large ``df`` is.
+    Spark reads partition after partition until it has seen one row too many, so a
+    huge table is found too big after a few partitions; nothing else is returned.
     """
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+    return not df.select(F.lit(1)).offset(max_rows).limit(1).collect()
 
 
 def broadcast_if_fits(df: DataFrame, max_rows: int) -> DataFrame:
@@ -58,6 +58,8 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: computed once, safe if executors go."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a table written to the shared folder: worked out once, columnar, and
+    safe if executors are lost.  Tables stay there until the folder is emptied."""
+    spark, path = df.sparkSession, work_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

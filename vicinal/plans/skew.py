@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.plans.sizing import broadcast_if_fits
+from vicinal.plans.sizing import broadcast_if_fits, cut_lineage, fits
 
 # Multiplier and modulus of the "minimal standard" Lehmer generator (public constants).
 LEHMER_MULTIPLIER = 48271
@@ -42,13 +42,17 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], cap: int, name: str) -> DataF
 
 def add_segment(df: DataFrame, keys: Sequence[str], row_id: Column, cap: int) -> DataFrame:
     """Add ``segment``: 0 for ordinary keys, a hashed segment number for hot ones."""
-    heavy = broadcast_if_fits(heavy_keys(df, keys, cap, "n_segments"), HEAVY_KEY_ROWS)
-    return df.join(heavy, list(keys), "left").withColumn(
-        "segment",
-        F.when(F.col("n_segments").isNull(), F.lit(0).cast("bigint")).otherwise(
-            F.pmod(spread(row_id), F.col("n_segments"))
-        ),
-    ).drop("n_segments")
+    heavy = _settled(heavy_keys(df, keys, cap, "n_segments"))
+    if heavy is None:
+        return df.withColumn("segment", F.lit(0).cast("bigint"))
+    segment = F.pmod(spread(row_id), F.coalesce("n_segments", F.lit(1)))
+    return df.join(heavy, list(keys), "left").withColumn("segment", segment).drop("n_segments")
+
+
+def _settled(heavy: DataFrame) -> DataFrame | None:
+    """Heavy keys worked out once, broadcast when few, None when there are none."""
+    heavy = cut_lineage(heavy)
+    return None if fits(heavy, 0) else broadcast_if_fits(heavy, HEAVY_KEY_ROWS)
 
 
 def segmented_lists(
@@ -89,7 +93,9 @@ def salted_join(
             F.coalesce("nl", F.lit(1)).cast("bigint").alias("nl"),
             F.coalesce("nr", F.lit(1)).cast("bigint").alias("nr"),
         )
-    heavy = broadcast_if_fits(heavy, HEAVY_KEY_ROWS)
+    heavy = _settled(heavy)
+    if heavy is None:
+        return left.join(right, keys)
     one = F.lit(1).cast("bigint")
     nl, nr = F.coalesce("nl", one), F.coalesce("nr", one)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
