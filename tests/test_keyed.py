@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import L2
 from vicinal.operators.folds import AggregateFold, OrderedFold
+from vicinal.operators import keyed
 from vicinal.operators.keyed import KeyedTable, collect_lists, last_wins
+from vicinal.plans.sizing import fits_bytes
 from vicinal.plans.skew import add_segment, salted_join
 
 
@@ -27,8 +29,15 @@ def contents(t):
     return got
 
 
+@pytest.fixture(params=["small", "big"])
+def size(request, monkeypatch):
+    """Send requests and updates through the broadcast plan, and through the shuffle."""
+    if request.param == "big":
+        monkeypatch.setattr(keyed, "fits_bytes", lambda df: False)
+
+
 @pytest.fixture
-def base(spark):
+def base(spark, size):
     return table(spark, {1: 10.0, 2: 20.0, 3: None, 4: 40.0})
 
 
@@ -45,6 +54,25 @@ def test_lookups(spark, base):
     assert base.count().collect()[0]["count"] == 4
 
 
+def test_few_requests_and_updates_do_not_move_the_table(spark, sf_dir):
+    orders = KeyedTable.of(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", "o_totalprice")
+    few = orders.df.filter("o_orderkey < 50").withColumn("o_orderkey", F.col("o_orderkey") * 100)
+    for df in (
+        orders.multiget(few),
+        orders.delete(few).df,
+        orders.multiput(KeyedTable.of(few, "o_orderkey", "o_totalprice")).df,
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_measured_size(spark):
+    rows = [(1, "x" * 1000, [1.0] * 100, None), (2, None, [], {"a": 1})]
+    df = spark.createDataFrame(rows, "i INT, s STRING, v ARRAY<DOUBLE>, m MAP<STRING, INT>")
+    assert fits_bytes(df, 5000) and not fits_bytes(df, 1800)
+    assert fits_bytes(df.filter("i > 9"), 0 + 16) and not fits_bytes(spark.range(100), 320)
+
+
 def test_get_is_pushed_to_the_scan(spark, sf_dir):
     orders = KeyedTable.of(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", "o_totalprice")
     plan = orders.get(7)._jdf.queryExecution().executedPlan().toString()

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vicinal.functions.vectors import L2, Metric
 from vicinal.operators import search
 from vicinal.operators.folds import AggregateFold, OrderedFold
+from vicinal.plans.sizing import fits_bytes
 from vicinal.plans.skew import segmented_lists
 
 OLD, NEW = "_old", "_new"
@@ -78,9 +79,11 @@ class KeyedTable:
         return cls(how.apply(pairs, keys, value), tuple(keys), value)
 
     def create_using(self, pairs: DataFrame, value: str, order: Sequence[str]) -> KeyedTable:
-        """Last-wins table of other pairs, partitioned by this table's keys."""
-        made = last_wins(pairs, self.keys, value, order)
-        return KeyedTable(made.repartition(*self.keys), self.keys, value)
+        """Last-wins table of other pairs under this table's keys.
+
+        Grouping leaves it hash-partitioned by the keys, ready to be joined to this one.
+        """
+        return KeyedTable(last_wins(pairs, self.keys, value, order), self.keys, value)
 
     def aggregate_using(
         self, pairs: DataFrame, value: str, agg: Callable[[Column], Column]
@@ -99,10 +102,13 @@ class KeyedTable:
 
     def multiget(self, wanted: DataFrame) -> DataFrame:
         """Entries of the wanted keys that have a value; repeated requests count once."""
-        asked = wanted.select(*self.keys).distinct()
-        return self.df.filter(F.col(self.value).isNotNull()).join(
-            asked, list(self.keys), "left_semi"
-        )
+        present = self.df.filter(F.col(self.value).isNotNull())
+        return present.join(self._requested(wanted), list(self.keys), "left_semi")
+
+    def _requested(self, wanted: DataFrame) -> DataFrame:
+        """Key rows: broadcast if few, so that the table is not shuffled; else distinct."""
+        asked = wanted.select(*self.keys)
+        return F.broadcast(asked) if fits_bytes(asked) else asked.distinct()
 
     def multifilter(
         self,
@@ -168,6 +174,8 @@ class KeyedTable:
         """Upsert: ``merge(key, old, new)`` where a value exists, else ``z(key, new)``.
 
         Without ``merge`` the new value wins; without ``z`` it is stored as it is.
+        Updates small enough to broadcast leave the table where it is: one pass changes
+        old entries, another over the keys alone finds which updates are new.
         """
         old, new, key = F.col(OLD), F.col(NEW), self.key
         inserted = new if z is None else z(key, new)
@@ -175,18 +183,24 @@ class KeyedTable:
         right = updates.df.select(
             *self._renamed(updates), F.col(updates.value).alias(NEW), F.lit(True).alias("_put")
         )
-        both = self._old().join(right, list(self.keys), "full_outer")
-        return self._with(
-            both,
-            F.when(F.col("_put").isNull(), old)
-            .when(old.isNull(), inserted)
-            .otherwise(updated),
-        )
+        names = list(self.keys)
+
+        def settled(both: DataFrame) -> KeyedTable:
+            value = F.when(F.col("_put").isNull(), old).when(old.isNull(), inserted)
+            return self._with(both, value.otherwise(updated))
+
+        if not fits_bytes(right):
+            return settled(self._old().join(right, names, "full_outer"))
+        small = F.broadcast(right)
+        present = self.df.select(*names).join(small, names, "left_semi")
+        fresh = right.join(F.broadcast(present), names, "left_anti")
+        fresh = fresh.withColumn(OLD, F.lit(None).cast(self.df.schema[self.value].dataType))
+        kept = settled(self._old().join(small, names, "left"))
+        return KeyedTable(kept.df.unionByName(settled(fresh).df), self.keys, self.value)
 
     def delete(self, doomed: DataFrame) -> KeyedTable:
         """Remove the given keys; absent ones are ignored."""
-        gone = doomed.select(*self.keys).distinct()
-        kept = self.df.join(gone, list(self.keys), "left_anti")
+        kept = self.df.join(self._requested(doomed), list(self.keys), "left_anti")
         return KeyedTable(kept, self.keys, self.value)
 
     # -- joins -------------------------------------------------------------------------------

@@ -9,8 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Upper bound, in bytes, for any frame this package broadcasts.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -35,6 +36,32 @@ def broadcast_if_fits(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def _width(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, 8 for anything of fixed size."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        width = F.octet_length(c)
+    elif isinstance(kind, T.ArrayType):
+        element = F.transform(c, lambda x: _width(x, kind.elementType))
+        width = F.aggregate(element, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    elif isinstance(kind, T.StructType):
+        width = sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    elif isinstance(kind, T.MapType):
+        entry = T.StructType().add("key", kind.keyType).add("value", kind.valueType)
+        width = _width(F.map_entries(c), T.ArrayType(entry))
+    else:
+        width = F.lit(8)
+    return F.coalesce(width.cast("bigint"), F.lit(0)) + 8
+
+
+def fits_bytes(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when all rows of ``df`` together take at most ``max_bytes``, measured."""
+    if not fits(df, row_budget(16, max_bytes)):
+        return False
+    whole = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    (total,) = df.agg(F.sum(whole)).first()
+    return (total or 0) <= max_bytes
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, named by ``spark.checkpoint.dir``.
 
