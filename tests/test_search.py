@@ -237,7 +237,8 @@ def test_save_load_query(spark, tables, tmp_path):
 def test_saved_index_prunes_partitions(spark, tables, tmp_path):
     vectors, queries = tables
     index = index_vectors(vectors, PARAMS, f"file://{tmp_path}/index", parts=8)
-    found = search.candidates(index, queries.filter("query_id = 1059"))
+    one = spark.createDataFrame(queries.filter("query_id = 1059").collect(), queries.schema)
+    found = search.candidates(index, one)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
     assert len(found.collect()) == len([p for p in pairs(search.candidates(index, queries)) if p[0] == 1059])
@@ -253,7 +254,7 @@ def test_laid_out_vectors_are_read_by_part(spark, tables, tmp_path):
     for limit in (N - 1, 0):
         near = search.radius_search(index, stored, queries, 2.5, broadcast_rows=limit)
         assert pairs(near) == want
-    one = queries.filter("query_id = 1059")
+    one = spark.createDataFrame(queries.filter("query_id = 1059").collect(), queries.schema)
     few = search.radius_search(index, stored, one, 2.5, broadcast_rows=N - 1)
     assert "dynamicpruning" in few._jdf.queryExecution().executedPlan().toString().lower()
     assert pairs(few) == {p for p in want if p[0] == 1059}

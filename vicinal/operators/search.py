@@ -63,6 +63,9 @@ def candidates(
         row_bytes = 16 * (len(family.a) + family.num_functions + 8) * len(family.tables)
         broadcast_rows = row_budget(row_bytes)
     if fits(queries.select("query_id"), broadcast_rows):
+        if index.parts:
+            # A filter on the key side lets Spark prune the partitions of the postings.
+            keys = keys.filter(F.col("part") < index.parts)
         met = index.postings.join(F.broadcast(keys), on)
     else:
         met = salted_join(

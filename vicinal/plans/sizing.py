@@ -8,6 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,9 +88,27 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_stage: ContextVar[tuple[str, Iterator[int]] | None] = ContextVar("stage", default=None)
+
+
+@contextmanager
+def staged_in(folder: str):
+    """Let ``cut_lineage`` overwrite numbered tables in ``folder``.
+
+    For work repeated without end, such as the batches of a stream: a repetition takes
+    the place of the one before instead of leaving more tables behind.
+    """
+    token = _stage.set((folder, count()))
+    try:
+        yield
+    finally:
+        _stage.reset(token)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder: worked out once, columnar, and
     safe if executors are lost.  Tables stay there until the folder is emptied."""
-    spark, path = df.sparkSession, work_path(df.sparkSession, "stage")
-    df.write.parquet(path)
+    spark, stage = df.sparkSession, _stage.get()
+    path = work_path(spark, "stage") if stage is None else f"{stage[0]}/{next(stage[1])}"
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
