@@ -127,7 +127,8 @@ def test_small_query_plan_shuffles_id_pairs_only(tables):
     vectors, queries = tables
     near = search.radius_search(build_index(vectors, PARAMS), vectors, queries, 2.5)
     plan = near._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    # Queries by signature and ids by vector; the vectors themselves stay where they are.
+    assert plan.count("Exchange hashpartitioning") == 2
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
 

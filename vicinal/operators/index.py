@@ -63,7 +63,12 @@ def bucket_keys(
 ) -> DataFrame:
     """``(id, sig, table_id, bins[, part])``: one row per vector and table, no shuffle."""
     signed = vectors.select(id_col, family.signature(F.col(v_col)).alias("sig"))
-    keys = family.expand_tables(signed)
+    return table_keys(signed, family, parts)
+
+
+def table_keys(signed: DataFrame, family: HashFamily, parts: int = 0, sig: str = "sig") -> DataFrame:
+    """Add ``table_id``, ``bins`` and, for a laid-out index, ``part``: one row per table."""
+    keys = family.expand_tables(signed, sig)
     return keys if not parts else keys.withColumn("part", key_part(F.col("bins"), family, parts))
 
 

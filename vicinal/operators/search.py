@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.hashing import matrix
 from vicinal.functions.vectors import L2, MEASURED_NUMBERS, Metric
-from vicinal.operators.index import LshIndex, bucket_keys
+from vicinal.operators.index import LshIndex, table_keys
 from vicinal.plans.sizing import BROADCAST_BYTES, cut_lineage, fits, row_budget
-from vicinal.plans.skew import salted_join, spread
+from vicinal.plans.skew import salted_join, segmented_lists, spread
 from vicinal.sources.vector_store import PART, id_part, parts_of
 
 #: Rows of one (hot key, segment) pair in a salted join.
@@ -28,7 +28,7 @@ SALT_CAP = 100_000
 #: Bytes of one block of vectors or queries in the exact block join.
 BLOCK_BYTES = 32 * 1024 * 1024
 
-#: Queries in one list of queries that want a vector.
+#: Queries of one signature that go through the salted join as one row.
 LIST_QUERIES = 4096
 
 #: Rows of either side measured in one matrix product.
@@ -50,29 +50,44 @@ def candidates(
     broadcast_rows: int | None = None,
     salt_cap: int = SALT_CAP,
 ) -> DataFrame:
-    """Distinct ``(query_id, vec_id)`` of vectors that share a bucket with a query.
+    """Distinct ``(query_id, vec_id)`` of vectors that share a bucket with a query."""
+    lists = candidate_lists(index, queries, broadcast_rows, salt_cap)
+    return lists.select(F.explode("asked").alias("query_id"), "vec_id")
 
-    A pair is emitted in the first table where it meets, so distinctness costs no
+
+def candidate_lists(
+    index: LshIndex,
+    queries: DataFrame,
+    broadcast_rows: int | None = None,
+    salt_cap: int = SALT_CAP,
+) -> DataFrame:
+    """Candidates as ``(vec_id, asked)``, ``asked`` a list of queries; a vector may have several.
+
+    Queries with one signature have the same candidates, so they go through the index as
+    one.  A pair is emitted in the first table where it meets, so distinctness costs no
     shuffle.  With few queries the postings are streamed past their broadcast keys.
     """
     family = index.family
-    keys = bucket_keys(queries, family, "query_id", "qv", index.parts)
-    keys = keys.withColumnRenamed("sig", "q_sig")
+    signed = queries.select("query_id", family.signature(F.col("qv")).alias("q_sig"))
     on = ["table_id", "bins"] + (["part"] if index.parts else [])
     if broadcast_rows is None:
         row_bytes = 16 * (len(family.a) + family.num_functions + 8) * len(family.tables)
         broadcast_rows = row_budget(row_bytes)
     if fits(queries.select("query_id"), broadcast_rows):
+        groups = signed.groupBy("q_sig").agg(F.collect_list("query_id").alias("asked"))
+        keys = table_keys(groups, family, index.parts, "q_sig")
         if index.parts:
             # A filter on the key side lets Spark prune the partitions of the postings.
             keys = keys.filter(F.col("part") < index.parts)
         met = index.postings.join(F.broadcast(keys), on)
     else:
-        met = salted_join(
-            index.postings, keys, on, _row_hash("vec_id"), _row_hash("query_id"), salt_cap
-        )
+        groups = segmented_lists(signed, ["q_sig"], "query_id", LIST_QUERIES)
+        groups = groups.withColumnRenamed("members", "asked")
+        keys = table_keys(groups, family, index.parts, "q_sig")
+        group_hash = F.xxhash64("q_sig", "segment")
+        met = salted_join(index.postings, keys, on, _row_hash("vec_id"), group_hash, salt_cap)
     first = family.first_match(F.col("table_id"), F.col("sig"), F.col("q_sig"))
-    return met.filter(first).select("query_id", "vec_id")
+    return met.filter(first).select("vec_id", "asked")
 
 
 def measured(
@@ -85,20 +100,29 @@ def measured(
     broadcast_rows: int | None = None,
     salt_cap: int = SALT_CAP,
 ) -> DataFrame:
-    """``(query_id, vec_id, distance)`` of given distinct pairs, vectors looked up by id.
+    """``(query_id, vec_id, distance)`` of given distinct pairs, vectors looked up by id."""
+    lists = pairs.select("vec_id", F.array("query_id").alias("asked"))
+    return _measured(
+        lists, queries, vectors, dimension, metric, within, broadcast_rows, salt_cap
+    )
+
+
+def _measured(
+    lists, queries, vectors, dimension, metric, within, broadcast_rows, salt_cap
+) -> DataFrame:
+    """Distances for ``(vec_id, asked)``; ``within = (radius, inclusive)`` keeps the near.
 
-    ``within = (radius, inclusive)`` keeps only pairs that near.  Queries that fit are
-    broadcast and each wanted vector is looked up once for all queries that want it;
-    otherwise pairs, queries and vectors are shuffled with hot ids split.
+    Queries that fit are broadcast and each wanted vector is looked up once for all
+    queries that want it; otherwise pairs, queries and vectors are shuffled with hot
+    ids split.
     """
     queries, parts = queries.select("query_id", "qv"), parts_of(vectors)
     vectors = vectors.select("vec_id", "v", *([PART] if parts else []))
     rows = row_budget(8 * dimension + 64) if broadcast_rows is None else broadcast_rows
     if fits(queries.select("query_id"), rows):
-        block = queries.toArrow().combine_chunks()
-        asked = _asked_vectors(pairs, vectors, parts, rows, -(-block.num_rows // LIST_QUERIES))
-        return _measure_in_blocks(asked, block, dimension, metric, within)
-    pairs = cut_lineage(pairs)
+        asked = _asked_vectors(lists, vectors, parts, rows)
+        return _measure_in_blocks(asked, queries.toArrow(), dimension, metric, within)
+    pairs = cut_lineage(lists.select(F.explode("asked").alias("query_id"), "vec_id"))
     found = salted_join(pairs, queries, ["query_id"], _row_hash("vec_id"), None, salt_cap)
     found = salted_join(found, vectors, ["vec_id"], _row_hash("query_id"), None, salt_cap)
     distance = metric.expr(F.col("v"), F.col("qv")).alias("distance")
@@ -106,17 +130,13 @@ def measured(
     return found if within is None else found.filter(metric.within(F.col("distance"), *within))
 
 
-def _asked_vectors(pairs, vectors, parts: int | None, rows: int, slices: int) -> DataFrame:
-    """``(vec_id, v, asked)``: each wanted vector with lists of the queries that want it.
+def _asked_vectors(lists, vectors, parts: int | None, rows: int) -> DataFrame:
+    """``(vec_id, v, asked)``: each wanted vector with the queries that want it.
 
-    The queries fit a broadcast, which bounds the lists; very long ones are cut further
-    by slice of queries.  Ids are unique on both sides of the join.
+    No list is longer than the queries, which fit a broadcast.  Ids are unique on both
+    sides of the join.
     """
-    by = ["vec_id"]
-    if slices > 1:
-        by.append(F.pmod(spread(_row_hash("query_id")), F.lit(slices)).alias("slice"))
-    lists = pairs.groupBy(*by).agg(F.collect_list("query_id").alias("asked"))
-    lists = lists.select("vec_id", "asked")
+    lists = lists.groupBy("vec_id").agg(F.flatten(F.collect_list("asked")).alias("asked"))
     if fits(vectors.select("vec_id"), rows):
         return lists.join(F.broadcast(vectors), "vec_id").select("vec_id", "v", "asked")
     lists = cut_lineage(lists)
@@ -137,7 +157,7 @@ def _measure_in_blocks(asked: DataFrame, block: pa.Table, dimension, metric, wit
     schema = _HITS.format(query_type, asked.schema["vec_id"].dataType.simpleString())
     if not block.num_rows:
         return asked.sparkSession.createDataFrame([], schema)
-    shared = asked.sparkSession.sparkContext.broadcast(block)
+    shared = asked.sparkSession.sparkContext.broadcast(block.combine_chunks())
     step = max(1, MEASURED_NUMBERS // dimension)
 
     def measure(batches):
@@ -184,9 +204,10 @@ def multifilter(
 
 
 def _lsh_measured(index, vectors, queries, metric, within, broadcast_rows, salt_cap):
-    pairs = candidates(index, queries, broadcast_rows, salt_cap)
-    return measured(
-        pairs, queries, vectors, index.params.dimension, metric, within, broadcast_rows, salt_cap
+    lists = candidate_lists(index, queries, broadcast_rows, salt_cap)
+    dimension = index.params.dimension
+    return _measured(
+        lists, queries, vectors, dimension, metric, within, broadcast_rows, salt_cap
     )
 
 
