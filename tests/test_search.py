@@ -90,6 +90,20 @@ def test_radius_search(tables, data, plan, inclusive):
     assert all(r["distance"] == pytest.approx(d[r["vec_id"], r["query_id"] - 1000]) for r in near.collect())
 
 
+@pytest.mark.parametrize("block_bytes, grid_pairs", [(8 * DIM * 10, 1 << 22), (1 << 25, 50), (8 * DIM * 30, 200)])
+def test_radius_search_in_a_grid_of_blocks(tables, data, monkeypatch, block_bytes, grid_pairs):
+    monkeypatch.setattr(search, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(search, "GRID_PAIRS", grid_pairs)
+    vectors, queries = tables
+    x, q = data
+    near = search.radius_search(build_index(vectors, PARAMS), vectors, queries, 2.5, **BIG)
+    d = true_distances(x, q)
+    wanted = {(j, i): d[i, j - 1000] for j, i in true_candidates(x, q) if d[i, j - 1000] < 2.5}
+    got = {(r["query_id"], r["vec_id"]): r["distance"] for r in near.collect()}
+    assert got.keys() == wanted.keys()
+    assert all(got[p] == pytest.approx(wanted[p]) for p in wanted)
+
+
 def test_radius_is_strict_here_and_inclusive_in_the_exact_scan(spark):
     vectors = frame(spark, [1, 2], [[0.0, 0.0], [3.0, 4.0]], "vec_id", "v")
     query = frame(spark, [9], [[0.0, 0.0]], "query_id", "qv")
@@ -196,7 +210,7 @@ def test_multifilter_drops_absent_ids(spark, tables, data):
     )
     d = true_distances(x, q)
     expected = {(1000 + j, i) for j in range(M) for i in (j, j + 1) if d[i, j] < 2.5}
-    for plan in ({}, BIG):
+    for plan in ({}, {"broadcast_rows": 0}):
         assert pairs(search.multifilter(vectors, queries, wanted, 2.5, DIM, **plan)) == expected
 
 

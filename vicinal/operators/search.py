@@ -18,19 +18,28 @@ from pyspark.sql import functions as F
 from vicinal.functions.hashing import matrix
 from vicinal.functions.vectors import L2, MEASURED_NUMBERS, Metric
 from vicinal.operators.index import LshIndex, table_keys
-from vicinal.plans.sizing import BROADCAST_BYTES, cut_lineage, fits, row_budget
-from vicinal.plans.skew import salted_join, segmented_lists, spread
+from vicinal.plans.sizing import (
+    BROADCAST_BYTES,
+    broadcast_if_fits,
+    cut_lineage,
+    fits,
+    row_budget,
+)
+from vicinal.plans.skew import HEAVY_KEY_ROWS, salted_join, segmented_lists, spread
 from vicinal.sources.vector_store import PART, id_part, parts_of
 
 #: Rows of one (hot key, segment) pair in a salted join.
 SALT_CAP = 100_000
 
-#: Bytes of one block of vectors or queries in the exact block join.
+#: Bytes of one block of vectors or queries.
 BLOCK_BYTES = 32 * 1024 * 1024
 
 #: Queries of one signature that go through the salted join as one row.
 LIST_QUERIES = 4096
 
+#: Pairs measured in one meeting of a block of queries with the vectors they want.
+GRID_PAIRS = 1 << 22
+
 #: Rows of either side measured in one matrix product.
 TILE = 1024
 
@@ -98,36 +107,27 @@ def measured(
     metric: Metric = L2,
     within: tuple[float, bool] | None = None,
     broadcast_rows: int | None = None,
-    salt_cap: int = SALT_CAP,
 ) -> DataFrame:
     """``(query_id, vec_id, distance)`` of given distinct pairs, vectors looked up by id."""
     lists = pairs.select("vec_id", F.array("query_id").alias("asked"))
-    return _measured(
-        lists, queries, vectors, dimension, metric, within, broadcast_rows, salt_cap
-    )
+    return _measured(lists, queries, vectors, dimension, metric, within, broadcast_rows)
 
 
 def _measured(
-    lists, queries, vectors, dimension, metric, within, broadcast_rows, salt_cap
+    lists, queries, vectors, dimension, metric, within, broadcast_rows
 ) -> DataFrame:
     """Distances for ``(vec_id, asked)``; ``within = (radius, inclusive)`` keeps the near.
 
     Queries that fit are broadcast and each wanted vector is looked up once for all
-    queries that want it; otherwise pairs, queries and vectors are shuffled with hot
-    ids split.
+    queries that want it; otherwise vectors meet bounded blocks of queries.
     """
     queries, parts = queries.select("query_id", "qv"), parts_of(vectors)
     vectors = vectors.select("vec_id", "v", *([PART] if parts else []))
     rows = row_budget(8 * dimension + 64) if broadcast_rows is None else broadcast_rows
     if fits(queries.select("query_id"), rows):
         asked = _asked_vectors(lists, vectors, parts, rows)
-        return _measure_in_blocks(asked, queries.toArrow(), dimension, metric, within)
-    pairs = cut_lineage(lists.select(F.explode("asked").alias("query_id"), "vec_id"))
-    found = salted_join(pairs, queries, ["query_id"], _row_hash("vec_id"), None, salt_cap)
-    found = salted_join(found, vectors, ["vec_id"], _row_hash("query_id"), None, salt_cap)
-    distance = metric.expr(F.col("v"), F.col("qv")).alias("distance")
-    found = found.select("query_id", "vec_id", distance)
-    return found if within is None else found.filter(metric.within(F.col("distance"), *within))
+        return _measure_with_broadcast(asked, queries.toArrow(), dimension, metric, within)
+    return _measure_in_grid(lists, queries, vectors, dimension, metric, within)
 
 
 def _asked_vectors(lists, vectors, parts: int | None, rows: int) -> DataFrame:
@@ -142,7 +142,8 @@ def _asked_vectors(lists, vectors, parts: int | None, rows: int) -> DataFrame:
     lists = cut_lineage(lists)
     (size,) = lists.agg(F.sum(64 + 8 * F.size("asked"))).first()
     if (size or 0) > BROADCAST_BYTES:
-        return vectors.join(lists, "vec_id").select("vec_id", "v", "asked")
+        # Long lists pack into small files: do not let their file size suggest a broadcast.
+        return vectors.join(lists.hint("merge"), "vec_id").select("vec_id", "v", "asked")
     on = ["vec_id"]
     if parts:
         # Equality on the partition column: only parts that own a wanted id are read.
@@ -151,14 +152,35 @@ def _asked_vectors(lists, vectors, parts: int | None, rows: int) -> DataFrame:
     return vectors.join(F.broadcast(lists), on).select("vec_id", "v", "asked")
 
 
-def _measure_in_blocks(asked: DataFrame, block: pa.Table, dimension, metric, within) -> DataFrame:
-    """Measure each vector against the queries that want it, on Arrow batches."""
+def _hits_schema(asked: DataFrame) -> str:
     query_type = asked.schema["asked"].dataType.elementType.simpleString()
-    schema = _HITS.format(query_type, asked.schema["vec_id"].dataType.simpleString())
+    return _HITS.format(query_type, asked.schema["vec_id"].dataType.simpleString())
+
+
+def _list_hits(x, vec_ids, lists, q, query_ids, metric, within):
+    """Record batches of the measured pairs of vectors ``x`` with the queries they list."""
+    step = max(1, MEASURED_NUMBERS // x.shape[1])
+    i = np.repeat(np.arange(len(x)), pc.list_value_length(lists).to_numpy())
+    wanted = lists.flatten()
+    for s in range(0, len(i), step):
+        rows, ids = i[s : s + step], wanted.slice(s, step)
+        j = pc.index_in(ids, value_set=query_ids).to_numpy()
+        distance = metric.rows(x[rows], q[j])
+        if within is not None:
+            near = np.nonzero(metric.within(distance, *within))[0]
+            rows, ids, distance = rows[near], ids.take(pa.array(near)), distance[near]
+        yield pa.RecordBatch.from_arrays(
+            [ids, vec_ids.take(pa.array(rows)), pa.array(distance, from_pandas=True)],
+            names=["query_id", "vec_id", "distance"],
+        )
+
+
+def _measure_with_broadcast(asked: DataFrame, block: pa.Table, dimension, metric, within):
+    """Measure each vector against the queries that want it, on Arrow batches."""
+    schema = _hits_schema(asked)
     if not block.num_rows:
         return asked.sparkSession.createDataFrame([], schema)
     shared = asked.sparkSession.sparkContext.broadcast(block.combine_chunks())
-    step = max(1, MEASURED_NUMBERS // dimension)
 
     def measure(batches):
         held = shared.value
@@ -166,24 +188,65 @@ def _measure_in_blocks(asked: DataFrame, block: pa.Table, dimension, metric, wit
         q = matrix(held.column("qv").combine_chunks(), dimension)
         for batch in batches:
             x, vec_ids = matrix(batch.column("v"), dimension), batch.column("vec_id")
-            lists = batch.column("asked")
-            i = np.repeat(np.arange(len(x)), pc.list_value_length(lists).to_numpy())
-            wanted = lists.flatten()
-            for s in range(0, len(i), step):
-                rows, ids = i[s : s + step], wanted.slice(s, step)
-                j = pc.index_in(ids, value_set=query_ids).to_numpy()
-                distance = metric.rows(x[rows], q[j])
-                if within is not None:
-                    near = np.nonzero(metric.within(distance, *within))[0]
-                    rows, ids, distance = rows[near], ids.take(pa.array(near)), distance[near]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, vec_ids.take(pa.array(rows)), pa.array(distance, from_pandas=True)],
-                    names=["query_id", "vec_id", "distance"],
-                )
+            yield from _list_hits(x, vec_ids, batch.column("asked"), q, query_ids, metric, within)
 
     return asked.mapInArrow(measure, schema)
 
 
+def _measure_in_grid(lists, queries, vectors, dimension, metric, within) -> DataFrame:
+    """The same for any number of queries, dealt over blocks by a hash of their id.
+
+    A vector is sent once to every block that holds a query wanting it, so no id is
+    hot.  A block wanted by many vectors, or for very many pairs, is copied to as many
+    segments as keep each meeting of vectors and queries small.
+    """
+    rows = row_budget(8 * dimension, BLOCK_BYTES)
+    # Half-full blocks on average leave room for the unevenness of the hash.
+    blocks = max(1, -(-2 * queries.count() // rows))
+    deal = F.pmod(spread(_row_hash("query_id")), F.lit(blocks).cast("bigint"))
+    pairs = lists.select(F.explode("asked").alias("query_id"), "vec_id")
+    asked = cut_lineage(
+        pairs.groupBy("vec_id", deal.alias("qb")).agg(F.collect_list("query_id").alias("asked"))
+    )
+    vector_load = F.ceil(2 * F.count(F.lit(1)) / F.lit(rows))
+    pair_load = F.ceil(2 * F.sum(F.size("asked")) / F.lit(GRID_PAIRS))
+    loads = asked.groupBy("qb").agg(F.greatest(vector_load, pair_load).alias("segments"))
+    loads = broadcast_if_fits(loads, HEAVY_KEY_ROWS)
+    segment = F.pmod(spread(_row_hash("vec_id")), F.col("segments"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("segments") - 1))
+    left = vectors.join(asked.hint("merge"), "vec_id").join(loads, "qb")
+    left = left.select("qb", segment.alias("segment"), "vec_id", "v", "asked")
+    right = queries.withColumn("qb", deal).join(loads, "qb")
+    right = right.select("qb", every.alias("segment"), "query_id", "qv")
+
+    def meet(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        found = []
+        if ours.num_rows and theirs.num_rows:
+            ours, theirs = ours.combine_chunks(), theirs.combine_chunks()
+            x = matrix(ours.column("v").combine_chunks(), dimension)
+            q = matrix(theirs.column("qv").combine_chunks(), dimension)
+            vec_ids, query_ids = (
+                t.column(c).combine_chunks() for t, c in ((ours, "vec_id"), (theirs, "query_id"))
+            )
+            wanted = ours.column("asked").combine_chunks()
+            found = list(_list_hits(x, vec_ids, wanted, q, query_ids, metric, within))
+        return _hits_table(found, ours, theirs)
+
+    by = ["qb", "segment"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, _hits_schema(asked))
+
+
+def _hits_table(found: list[pa.RecordBatch], vectors: pa.Table, queries: pa.Table) -> pa.Table:
+    if found:
+        return pa.Table.from_batches(found)
+    kinds = [
+        ("query_id", queries.schema.field("query_id").type),
+        ("vec_id", vectors.schema.field("vec_id").type),
+        ("distance", pa.float64()),
+    ]
+    return pa.schema(kinds).empty_table()
+
+
 # -- radius and k nearest --------------------------------------------------------------
 
 
@@ -206,9 +269,7 @@ def multifilter(
 def _lsh_measured(index, vectors, queries, metric, within, broadcast_rows, salt_cap):
     lists = candidate_lists(index, queries, broadcast_rows, salt_cap)
     dimension = index.params.dimension
-    return _measured(
-        lists, queries, vectors, dimension, metric, within, broadcast_rows, salt_cap
-    )
+    return _measured(lists, queries, vectors, dimension, metric, within, broadcast_rows)
 
 
 def radius_search(
@@ -337,14 +398,7 @@ def _grid_of_blocks(vectors, queries, radius, dimension, inclusive, metric, sche
             vec_ids = left.column("vec_id").combine_chunks()
             query_ids = right.column("query_id").combine_chunks()
             found = list(_hits(vec_ids, x, query_ids, q, radius, inclusive, metric))
-        empty = pa.schema(
-            [
-                ("query_id", right.schema.field("query_id").type),
-                ("vec_id", left.schema.field("vec_id").type),
-                ("distance", pa.float64()),
-            ]
-        )
-        return pa.Table.from_batches(found) if found else empty.empty_table()
+        return _hits_table(found, left, right)
 
     left = dealt(vectors, "vb", "qb", "vec_id", n_v, n_q).groupBy("vb", "qb")
     right = dealt(queries, "qb", "vb", "query_id", n_q, n_v).groupBy("vb", "qb")

@@ -95,7 +95,7 @@ def salted_join(
         )
     heavy = _settled(heavy)
     if heavy is None:
-        return left.join(right, keys)
+        return left.join(right.hint("merge"), keys)
     one = F.lit(1).cast("bigint")
     nl, nr = F.coalesce("nl", one), F.coalesce("nr", one)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
@@ -112,4 +112,5 @@ def salted_join(
         .withColumn("sl", every(nl))
         .drop("nl", "nr")
     )
-    return salted_left.join(salted_right, [*keys, "sl", "sr"]).drop("sl", "sr")
+    # Both sides are known to be big; packed file sizes must not suggest a broadcast.
+    return salted_left.join(salted_right.hint("merge"), [*keys, "sl", "sr"]).drop("sl", "sr")
