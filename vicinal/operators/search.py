@@ -8,6 +8,8 @@ hot query can overload.  Both give the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -215,36 +217,34 @@ def _measure_in_grid(lists, queries, vectors, dimension, metric, within) -> Data
     segment = F.pmod(spread(_row_hash("vec_id")), F.col("segments"))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("segments") - 1))
     left = vectors.join(asked.hint("merge"), "vec_id").join(loads, "qb")
-    left = left.select("qb", segment.alias("segment"), "vec_id", "v", "asked")
+    left = left.withColumn("segment", segment).drop("segments", PART)
     right = queries.withColumn("qb", deal).join(loads, "qb")
-    right = right.select("qb", every.alias("segment"), "query_id", "qv")
-
-    def meet(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        found = []
-        if ours.num_rows and theirs.num_rows:
-            ours, theirs = ours.combine_chunks(), theirs.combine_chunks()
-            x = matrix(ours.column("v").combine_chunks(), dimension)
-            q = matrix(theirs.column("qv").combine_chunks(), dimension)
-            vec_ids, query_ids = (
-                t.column(c).combine_chunks() for t, c in ((ours, "vec_id"), (theirs, "query_id"))
-            )
-            wanted = ours.column("asked").combine_chunks()
-            found = list(_list_hits(x, vec_ids, wanted, q, query_ids, metric, within))
-        return _hits_table(found, ours, theirs)
-
-    by = ["qb", "segment"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, _hits_schema(asked))
-
-
-def _hits_table(found: list[pa.RecordBatch], vectors: pa.Table, queries: pa.Table) -> pa.Table:
-    if found:
-        return pa.Table.from_batches(found)
-    kinds = [
-        ("query_id", queries.schema.field("query_id").type),
-        ("vec_id", vectors.schema.field("vec_id").type),
-        ("distance", pa.float64()),
-    ]
-    return pa.schema(kinds).empty_table()
+    right = right.withColumn("segment", every).drop("segments")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ours, x, theirs, q = _both_sides(batches, dimension)
+        vec_ids, lists, query_ids = ours["vec_id"], ours["asked"], theirs["query_id"]
+        yield from _list_hits(x, vec_ids, lists, q, query_ids, metric, within)
+
+    return _meetings(left, right, ["qb", "segment"]).applyInArrow(meet, _hits_schema(asked))
+
+
+def _meetings(vectors: DataFrame, queries: DataFrame, by: list[str]):
+    """Vector and query rows side by side, grouped by where they meet."""
+    left = vectors.withColumnRenamed("v", "numbers")
+    right = queries.withColumnRenamed("qv", "numbers")
+    return left.unionByName(right, allowMissingColumns=True).groupBy(*by)
+
+
+def _both_sides(batches: Iterator[pa.RecordBatch], dimension: int):
+    """Columns and numbers of the vectors and of the queries of one meeting."""
+    rows = pa.Table.from_batches(list(batches))
+    of_query = pc.is_valid(rows.column("query_id"))
+    sides = []
+    for side in (rows.filter(pc.invert(of_query)), rows.filter(of_query)):
+        columns = {name: side.column(name).combine_chunks() for name in side.column_names}
+        sides += [columns, matrix(columns["numbers"], dimension)]
+    return sides
 
 
 # -- radius and k nearest --------------------------------------------------------------
@@ -389,20 +389,13 @@ def _grid_of_blocks(vectors, queries, radius, dimension, inclusive, metric, sche
             other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint")))
         )
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            left, right = left.combine_chunks(), right.combine_chunks()
-            x = matrix(left.column("v").combine_chunks(), dimension)
-            q = matrix(right.column("qv").combine_chunks(), dimension)
-            vec_ids = left.column("vec_id").combine_chunks()
-            query_ids = right.column("query_id").combine_chunks()
-            found = list(_hits(vec_ids, x, query_ids, q, radius, inclusive, metric))
-        return _hits_table(found, left, right)
-
-    left = dealt(vectors, "vb", "qb", "vec_id", n_v, n_q).groupBy("vb", "qb")
-    right = dealt(queries, "qb", "vb", "query_id", n_q, n_v).groupBy("vb", "qb")
-    return left.cogroup(right).applyInArrow(meet, schema)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ours, x, theirs, q = _both_sides(batches, dimension)
+        yield from _hits(ours["vec_id"], x, theirs["query_id"], q, radius, inclusive, metric)
+
+    left = dealt(vectors, "vb", "qb", "vec_id", n_v, n_q)
+    right = dealt(queries, "qb", "vb", "query_id", n_q, n_v)
+    return _meetings(left, right, ["vb", "qb"]).applyInArrow(meet, schema)
 
 
 # -- recall ----------------------------------------------------------------------------
