@@ -230,6 +230,17 @@ def test_collected_lists_are_whole_and_bounded(spark):
     assert parts[0] >= 10 and all(n == 1 for k, n in parts.items() if len(groups[k]) <= 50)
 
 
+def test_lists_of_one_value_repeated_are_bounded_too(spark):
+    rows = [(1, 7)] * 1000 + [(1, 8)] * 3 + [(2, 7), (2, None), (3, None)]
+    df = spark.createDataFrame(rows, "k BIGINT, v BIGINT").repartition(4)
+    lists = defaultdict(list)
+    for r in collect_lists(df, "k", "v", 50).collect():
+        lists[r["k"]] += r["members"]
+        assert len(r["members"]) <= 400
+    assert {k: sorted(v) for k, v in lists.items()} == {1: [7] * 1000 + [8] * 3, 2: [7], 3: []}
+    assert collect_lists(df, "k", "v", 50).filter("k = 1").count() > 5
+
+
 def test_segments_of_ids_in_step(spark):
     """Ids that share a factor with the segment count still spread over all segments."""
     df = spark.range(0, 64_000, 64).select(F.lit(1).alias("k"), "id")

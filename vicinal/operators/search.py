@@ -92,7 +92,8 @@ def candidate_lists(
             keys = keys.filter(F.col("part") < index.parts)
         met = index.postings.join(F.broadcast(keys), on)
     else:
-        groups = segmented_lists(signed, ["q_sig"], "query_id", LIST_QUERIES)
+        own = _row_hash("query_id")
+        groups = segmented_lists(signed, ["q_sig"], "query_id", LIST_QUERIES, own)
         groups = groups.withColumnRenamed("members", "asked")
         keys = table_keys(groups, family, index.parts, "q_sig")
         group_hash = F.xxhash64("q_sig", "segment")

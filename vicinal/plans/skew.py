@@ -30,19 +30,24 @@ def spread(row_id: Column) -> Column:
     return F.pmod(F.pmod(row_id.cast("bigint"), modulus) * LEHMER_MULTIPLIER, modulus)
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], cap: int, name: str) -> DataFrame:
-    """Keys with more than ``cap`` rows and the number of segments each one needs."""
+def heavy_keys(
+    df: DataFrame, keys: Sequence[str], cap: int, name: str, load: Column | None = None
+) -> DataFrame:
+    """Keys with a load (rows, if not told otherwise) above ``cap`` and the number of
+    segments each one needs."""
     return (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((F.count(F.lit(1)) if load is None else load).alias("n"))
         .filter(F.col("n") > cap)
         .select(*keys, F.ceil(F.col("n") / cap).cast("bigint").alias(name))
     )
 
 
-def add_segment(df: DataFrame, keys: Sequence[str], row_id: Column, cap: int) -> DataFrame:
+def add_segment(
+    df: DataFrame, keys: Sequence[str], row_id: Column, cap: int, load: Column | None = None
+) -> DataFrame:
     """Add ``segment``: 0 for ordinary keys, a hashed segment number for hot ones."""
-    heavy = _settled(heavy_keys(df, keys, cap, "n_segments"))
+    heavy = _settled(heavy_keys(df, keys, cap, "n_segments", load))
     if heavy is None:
         return df.withColumn("segment", F.lit(0).cast("bigint"))
     segment = F.pmod(spread(row_id), F.coalesce("n_segments", F.lit(1)))
@@ -61,13 +66,23 @@ def segmented_lists(
     """``(keys, segment, members)`` with about ``cap`` members per row at most.
 
     The union of a key's segments is its whole list; no group is collected unbounded.
+    ``row_id`` tells the rows of a key apart.  Without one, equal members are counted
+    first and a member that occurs very often is cut into runs of at most ``cap``.
     """
-    row_id = F.xxhash64(*df.columns) if row_id is None else row_id
-    return (
-        add_segment(df, keys, row_id, cap)
-        .groupBy(*keys, "segment")
-        .agg(F.sort_array(F.collect_list(member)).alias("members"))
-    )
+    keys = list(keys)
+    if row_id is not None:
+        dealt = add_segment(df, keys, row_id, cap)
+        members = F.collect_list(member)
+    else:
+        counted = df.groupBy(*keys, member).agg(F.count(F.lit(1)).alias("n"))
+        last = F.ceil(F.col("n") / cap).cast("bigint") - 1
+        runs = counted.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("run"))
+        weight = F.least(F.lit(cap), F.col("n") - F.col("run") * cap).cast("int")
+        runs = runs.select(*keys, member, "run", weight.alias("weight"))
+        dealt = add_segment(runs, keys, F.xxhash64(member, "run"), cap, F.sum("weight"))
+        repeated = F.array_repeat(member, F.col("weight"))
+        members = F.flatten(F.collect_list(F.when(F.col(member).isNotNull(), repeated)))
+    return dealt.groupBy(*keys, "segment").agg(F.sort_array(members).alias("members"))
 
 
 def salted_join(
