@@ -11,7 +11,11 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+#: The queries of the library itself; those of the removable part have tests of their own.
+OWN = {name for module in registered._MODULES for name in module.R.queries}
+
+
+@pytest.mark.parametrize("name", sorted(OWN))
 def test_query_matches_sql(spark, con, sf_dir, name):
     assert compare(spark, con, name, sf_dir) == ""
 
@@ -21,4 +25,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert OWN <= set(registered.oracle_sql())
