@@ -20,8 +20,8 @@ BITS = 6
 #: Adaptive measures: (name, numerator, denominator, scale, slack of the fence, also from below).
 MEASURES = (
     ("symbol_rate", "n_symbols", "word_chars", 1000, 10, False),
-    ("repeat_rate", "n_repeat_words", "n_words", 1000, 60, False),
-    ("dup_line_rate", "n_dup_lines", "n_words", 1000, 10, False),
+    ("repeat_rate", "n_repeat_words", "n_words", 1000, 300, False),
+    ("dup_line_rate", "n_dup_lines", "n_words", 1000, 40, False),
     ("word_length", "word_chars", "n_words", 100, 150, True),
 )
 

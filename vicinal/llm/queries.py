@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinal.llm import mixing, quality, shards
+from vicinal.llm import mixing, quality, shards, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix, op8_shards, op9_quality)}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats_report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mix, op8_shards, op9_quality, op10_substrings)}
 
 SQL = {"op2_mix": mixing.SQL, "op8_shards": shards.SQL, "op9_quality": quality.SQL}
