@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinal.llm import mixing, quality, shards, substrings
+from vicinal.llm import langid, mixing, quality, shards, substrings, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(_read(spark, sf_dir, "documents"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.manifest(_read(spark, sf_dir, "documents"))
 
@@ -27,6 +35,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix, op8_shards, op9_quality, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op2_mix, op5_language, op7_urls, op8_shards, op9_quality, op10_substrings)}
 
-SQL = {"op2_mix": mixing.SQL, "op8_shards": shards.SQL, "op9_quality": quality.SQL}
+SQL = {"op2_mix": mixing.SQL, "op7_urls": url_rules.SQL, "op8_shards": shards.SQL, "op9_quality": quality.SQL}
