@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinal.llm import langid, mixing, quality, shards, substrings, url_rules
+from vicinal.llm import chat, langid, mixing, quality, shards, substrings, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(_read(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_probe(spark, _read(spark, sf_dir, "conversations"))
+    return chat.chat_report(chat.format_chats(turns))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_read(spark, sf_dir, "pages"))
 
@@ -35,6 +40,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix, op5_language, op7_urls, op8_shards, op9_quality, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op2_mix, op5_language, op6_chat, op7_urls, op8_shards, op9_quality, op10_substrings)}
 
 SQL = {"op2_mix": mixing.SQL, "op7_urls": url_rules.SQL, "op8_shards": shards.SQL, "op9_quality": quality.SQL}
