@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinal.llm import chat, langid, mixing, quality, shards, substrings, url_rules
+from vicinal.llm import chat, decontam, langid, mixing, quality, shards, substrings, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leak_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix, op5_language, op6_chat, op7_urls, op8_shards, op9_quality, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mix, op5_language, op6_chat, op7_urls, op8_shards, op9_quality, op10_substrings)}
 
 SQL = {"op2_mix": mixing.SQL, "op7_urls": url_rules.SQL, "op8_shards": shards.SQL, "op9_quality": quality.SQL}
