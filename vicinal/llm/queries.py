@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinal.llm import chat, decontam, langid, mixing, quality, shards, substrings, url_rules
+from vicinal.llm import chat, decontam, jaccard, langid, mixing, quality, shards, substrings, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_report(_read(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(_read(spark, sf_dir, "documents"))
 
@@ -44,6 +48,19 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mix, op5_language, op6_chat, op7_urls, op8_shards, op9_quality, op10_substrings)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_mix,
+        op3_jaccard,
+        op5_language,
+        op6_chat,
+        op7_urls,
+        op8_shards,
+        op9_quality,
+        op10_substrings,
+    )
+}
 
 SQL = {"op2_mix": mixing.SQL, "op7_urls": url_rules.SQL, "op8_shards": shards.SQL, "op9_quality": quality.SQL}
