@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinal.llm import chat, decontam, jaccard, langid, mixing, quality, shards, substrings, url_rules
+from vicinal.llm import chat, decontam, jaccard, langid, mixing, quality, shards, substrings, templates, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_report(_read(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.line_report(_read(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(_read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
         op1_decontamination,
         op2_mix,
         op3_jaccard,
+        op4_lines,
         op5_language,
         op6_chat,
         op7_urls,
