@@ -232,6 +232,52 @@ def upsert_fold(spark, sf_dir):
     )
 
 
+@R.add(
+    "keyed_upsert_repeated_keys",
+    f"""WITH ranked AS (SELECT l_orderkey AS k, l_extendedprice AS u, row_number() OVER (PARTITION BY l_orderkey
+      ORDER BY {", ".join(f"{c} DESC" for c in LINE_ORDER)}, l_extendedprice DESC) AS i FROM lineitem)
+    SELECT o_orderkey, round(CASE WHEN k IS NULL THEN o_totalprice ELSE o_totalprice - u END, 4) AS value
+    FROM orders LEFT JOIN (SELECT * FROM ranked WHERE i = 1) ON o_orderkey = k""",
+)
+def upsert_repeated(spark, sf_dir):
+    """Updates whose keys repeat: the last line of an order counts."""
+    lines = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    last = KeyedTable.from_pairs(lines, "o_orderkey", "l_extendedprice", LINE_ORDER)
+    return shown(orders(spark, sf_dir).multiput(last, merge=lambda k, old, new: old - new))
+
+
+CHAIN = 5
+
+
+@R.add(
+    "keyed_upsert_chain",
+    f"""SELECT o_orderkey, round(o_totalprice + {" + ".join(
+        f"CASE WHEN o_custkey % {CHAIN} = {i} THEN o_orderkey + {i} ELSE 0 END" for i in range(CHAIN))}, 4) AS value
+    FROM orders UNION ALL SELECT -1 - i, i::DOUBLE FROM range({CHAIN}) AS t(i)""",
+)
+def upsert_chain(spark, sf_dir):
+    """Upserts one after the other, each with a new key."""
+    table, o = orders(spark, sf_dir), read(spark, sf_dir, "orders")
+    for i in range(CHAIN):
+        known = o.filter(F.col("o_custkey") % CHAIN == i).select("o_orderkey", (F.col("o_orderkey") + i).cast("double").alias("u"))
+        fresh = spark.range(1).select(F.lit(-1 - i).cast("bigint"), F.lit(float(i)))
+        updates = KeyedTable.of(known.union(fresh), "o_orderkey", "u")
+        table = table.multiput(updates, merge=lambda k, old, new: old + new)
+    return shown(table)
+
+
+@R.add(
+    "keyed_fold_with_key",
+    """SELECT l_orderkey, CAST(sum(l_linenumber * 2 + l_orderkey % 7) AS BIGINT) AS value FROM lineitem GROUP BY l_orderkey""",
+)
+def fold_with_key(spark, sf_dir):
+    """A fold whose first step sees the key."""
+    lines = read(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("bigint"))
+    fold = OrderedFold(LINE_ORDER, merge=lambda a, b: a + b, lift=lambda k, u: u * 2 + k % 7)
+    table = KeyedTable.fold(lines.withColumn("u", F.col("l_linenumber")), "l_orderkey", "u", fold)
+    return table.df.select("l_orderkey", F.col("u").alias("value"))
+
+
 # -- joins -----------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from registered.common import (
     PARAMS,
     QRY,
     RADIUS,
+    SIGN_PARAMS,
     Registry,
     candidates_sql,
     index_sql,
@@ -19,6 +20,7 @@ from registered.common import (
     rounded,
     vectors,
 )
+from vicinal.functions.vectors import COSINE
 from vicinal.operators import search
 from vicinal.operators.index import build_index
 from vicinal.operators.keyed import KeyedTable
@@ -26,6 +28,7 @@ from vicinal.plans.jobs import answer_stream, index_vectors
 from vicinal.plans.sizing import work_path
 from vicinal.sources.messages import file_messages
 from vicinal.sources.text_vectors import vector_line
+from vicinal.sources.vector_store import load_vectors, save_vectors
 from vicinal.streaming.answers import read_answers, read_rejects
 
 R = Registry()
@@ -89,6 +92,38 @@ def range_saved(spark, sf_dir):
     return _ids_and_distance(search.radius_search(index, data, queries_of(spark, sf_dir), RADIUS))
 
 
+@R.add(
+    "range_search_stored_vectors",
+    f"{_NEAR} SELECT query_id, vec_id, round(d, 6) AS distance FROM near WHERE d < {RADIUS}",
+)
+def range_stored(spark, sf_dir):
+    """Vectors laid out by id, and a saved index."""
+    path = work_path(spark, "vectors")
+    save_vectors(vectors(spark, sf_dir), path, PARTS)
+    stored = load_vectors(spark, path)
+    index = index_vectors(stored, PARAMS, work_path(spark, "index"), PARTS)
+    return _ids_and_distance(search.radius_search(index, stored, queries_of(spark, sf_dir), RADIUS))
+
+
+SIGN_FAMILY, COSINE_NEAR = SIGN_PARAMS.family(), 0.9
+
+
+@R.add(
+    "range_search_cosine",
+    f"""WITH {candidates_sql(SIGN_FAMILY)}
+    SELECT query_id, vec_id, round(list_cosine_similarity(v, qv), 6) AS distance
+    FROM cand JOIN emb USING (vec_id) JOIN qry USING (query_id)
+    WHERE list_cosine_similarity(v, qv) > {COSINE_NEAR}""",
+)
+def range_cosine(spark, sf_dir):
+    """The sign family with the similarity that it approximates."""
+    data = vectors(spark, sf_dir)
+    index = build_index(data, SIGN_PARAMS)
+    return _ids_and_distance(
+        search.radius_search(index, data, queries_of(spark, sf_dir), COSINE_NEAR, metric=COSINE)
+    )
+
+
 @R.add(
     "knn_lsh",
     f"""{_NEAR}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM near)
@@ -192,14 +227,14 @@ def _messages(spark, sf_dir):
     )
 
 
-def _streamed(spark, sf_dir, approximate):
+def _streamed(spark, sf_dir, approximate, messages=None, files=None):
     data = vectors(spark, sf_dir)
     inbox, out = work_path(spark, "messages"), work_path(spark, "answers")
     model = work_path(spark, "index")
-    _messages(spark, sf_dir).repartition(3).write.json(inbox)
+    (_messages(spark, sf_dir) if messages is None else messages).repartition(3).write.json(inbox)
     index_vectors(data, PARAMS, model, PARTS)
     stream = answer_stream(
-        file_messages(spark, inbox),
+        file_messages(spark, inbox, files),
         data,
         model,
         RADIUS,
@@ -246,3 +281,24 @@ def stream_exact(spark, sf_dir):
 def stream_rejects(spark, sf_dir):
     rejects = read_rejects(spark, _streamed(spark, sf_dir, approximate=True))
     return rejects.select("query_id", "value")
+
+
+_REPEATS = "range(1 + (query_id % 3)::BIGINT)"
+
+
+@R.add(
+    "stream_repeated_messages",
+    f"""{_NEAR}, sent AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'even' END AS key FROM qry, {_REPEATS})
+    SELECT key AS query_id, vec_id AS neighbor_id, round(d, 6) AS distance, count(*) AS answers
+    FROM sent JOIN near USING (query_id) WHERE d < {RADIUS} GROUP BY ALL""",
+)
+def stream_repeated(spark, sf_dir):
+    """Messages sent up to three times, half of them under one key and half under none, in
+    batches of one file each: all are answered as often as they were sent."""
+    queries = queries_of(spark, sf_dir)
+    times = F.explode(F.sequence(F.lit(0), (F.col("query_id") % 3).cast("int")))
+    sent = queries.select(
+        F.when(F.col("query_id") % 2 == 0, "even").alias("key"), vector_line(F.col("qv")).alias("value"), times
+    ).select("key", "value")
+    out = _streamed(spark, sf_dir, True, sent, files=1)
+    return _answers(spark, out).groupBy("query_id", "neighbor_id", "distance").agg(F.count(F.lit(1)).alias("answers"))

@@ -271,3 +271,32 @@ def test_multifilter(spark):
     near = vectors.multifilter(queries, wanted, 5.0, 2, L2)
     assert sorted(map(tuple, near.collect())) == [(7, 1), (7, 3)]
     assert near.columns == ["query_id", "id"]
+
+
+def test_a_chain_of_upserts_reads_the_base_once_a_step_at_most(spark):
+    base = spark.range(50).select("id", (F.col("id") * 1.0).alias("v"))
+    table = KeyedTable.of(base, "id", "v")
+    want = {i: float(i) for i in range(50)}
+    for step in range(10):
+        updates = KeyedTable.of(spark.range(step, step + 45).select("id", F.lit(1.0).alias("u")), "id", "u")
+        table = table.multiput(updates, merge=lambda k, old, new: old + new)
+        for i in range(step, step + 45):
+            want[i] = want.get(i, 0.0) + 1.0
+    plan = table.df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 50") <= 10
+    assert {r.id: r.v for r in table.df.collect()} == want
+
+
+def test_folds_may_see_the_key(spark):
+    pairs = spark.createDataFrame([(k, i, i * 1.0) for k in range(4) for i in range(30)], "k INT, i INT, u DOUBLE")
+    fold = OrderedFold(
+        ["i"], merge=lambda k, a, b: a + b * (k + 1), lift=lambda k, u: u + k, finish=lambda k, a: a - k
+    )
+    got = {r.k: r.u for r in KeyedTable.fold(pairs, "k", "u", fold).df.collect()}
+    for k in range(4):
+        acc = 0.0 + k
+        for i in range(1, 30):
+            acc += (i + k) * (k + 1)
+        assert got[k] == acc - k
+    by_key = AggregateFold(lambda k, u: F.sum(u * k))
+    assert {r.k: r.u for r in KeyedTable.fold(pairs, "k", "u", by_key).df.collect()} == {k: 435.0 * k for k in range(4)}

@@ -285,7 +285,7 @@ def test_load_checks_the_metadata(spark, tables, tmp_path):
         ("class", "other", "not vicinal"),
         ("version", "9", "not vicinal"),
         ("dimension", 0, "dimension must not be zero"),
-        ("numHashTables", 40, "do not match"),
+        ("num_tables", 40, "do not match"),
     ]:
         changed = good.withColumn(column, F.lit(value))
         changed.write.mode("overwrite").json(f"{path}/metadata")
@@ -293,6 +293,64 @@ def test_load_checks_the_metadata(spark, tables, tmp_path):
             load_index(spark, path)
 
 
+@pytest.mark.parametrize("step", ["postings", "functions", "metadata"])
+def test_a_stopped_save_leaves_the_index_before_it(spark, tables, tmp_path, monkeypatch, step):
+    vectors, _ = tables
+    path = f"file://{tmp_path}/index"
+    save_index(build_index(vectors, PARAMS), path, parts=2)
+    key = lambda r: (r["table_id"], r["vec_id"], tuple(r["bins"]))
+    before = sorted(map(key, load_index(spark, path).postings.collect()))
+    writer = type(vectors.write)
+    for method in ("parquet", "json"):
+        real = getattr(writer, method)
+
+        def stopping(self, target, *args, real=real, **kwargs):
+            if target.endswith(step):
+                raise KeyboardInterrupt(step)
+            return real(self, target, *args, **kwargs)
+
+        monkeypatch.setattr(writer, method, stopping)
+    other = IndexParams(DIM, PARAMS.num_functions, PARAMS.num_tables, PARAMS.bin_length, seed=99)
+    with pytest.raises(KeyboardInterrupt):
+        save_index(build_index(vectors, other), path, parts=4)
+    monkeypatch.undo()
+    loaded = load_index(spark, path)
+    assert loaded.params == PARAMS and sorted(map(key, loaded.postings.collect())) == before
+    save_index(build_index(vectors, other), path, parts=4)
+    assert load_index(spark, path).params == other
+    with pytest.raises(ValueError, match="ids of type"):
+        load_index(spark, path, "STRING")
+
+
+def test_vectors_saved_again_with_other_parts(spark, tables, tmp_path):
+    vectors, _ = tables
+    path = f"file://{tmp_path}/vectors"
+    for parts in (3, 8):
+        save_vectors(vectors, path, parts)
+        assert parts_of(load_vectors(spark, path)) == parts
+        assert load_vectors(spark, path).count() == N
+
+
+def test_pairs_whose_squares_overflow_are_found(spark):
+    rows = [(1, [1e160, 0.0]), (2, [-1e160, 0.0]), (3, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id BIGINT, v ARRAY<DOUBLE>")
+    queries = vectors.withColumnsRenamed({"vec_id": "query_id", "v": "qv"})
+    for block in (search.BLOCK_BYTES, 16):
+        found = search.exact_radius_search(vectors, queries, 1.0, 2, block_bytes=block)
+        assert pairs(found) == {(1, 1), (2, 2), (3, 3)}
+
+
+@pytest.mark.parametrize("block", [search.BLOCK_BYTES, 16])
+def test_null_ids_are_an_error_in_every_plan(spark, block):
+    vectors = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "vec_id BIGINT, v ARRAY<DOUBLE>")
+    queries = spark.createDataFrame([(None, [0.0, 0.0]), (7, [1.0, 0.0])], "query_id BIGINT, qv ARRAY<DOUBLE>")
+    with pytest.raises(Exception, match="NULL query_id"):
+        search.exact_radius_search(vectors, queries, 9.0, 2, block_bytes=block).collect()
+    index = build_index(vectors, IndexParams(2, 2, 3, 1000.0, seed=1))
+    with pytest.raises(Exception, match="NULL query_id"):
+        search.radius_search(index, vectors, queries, 9.0, broadcast_rows=None if block > 16 else 0).collect()
+
+
 def test_same_seed_same_postings(tables):
     vectors, _ = tables
     key = lambda r: (r["table_id"], r["vec_id"], tuple(r["bins"]))

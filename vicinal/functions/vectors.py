@@ -90,9 +90,12 @@ def _l2_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _l2_near(x: np.ndarray, q: np.ndarray, radius: float, inclusive: bool):
     # One matrix product screens all pairs with a margin far above its rounding error;
-    # the survivors are measured again from differences, so the result is exact.
-    squares = (x * x).sum(1)[:, None] + (q * q).sum(1)[None, :]
-    i, j = np.nonzero(squares - 2.0 * (x @ q.T) <= radius * radius + 1e-9 * (squares + 1.0))
+    # the survivors are measured again from differences, so the result is exact.  Only a
+    # pair shown to be far is dropped: one whose squares overflow (NaN) is measured.
+    with np.errstate(over="ignore", invalid="ignore"):
+        squares = (x * x).sum(1)[:, None] + (q * q).sum(1)[None, :]
+        far = squares - 2.0 * (x @ q.T) > radius * radius + 1e-9 * (squares + 1.0)
+    i, j = np.nonzero(~far)
     distance = np.empty(len(i))
     step = max(1, MEASURED_NUMBERS // x.shape[1])
     for s in range(0, len(i), step):

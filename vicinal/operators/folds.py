@@ -1,5 +1,7 @@
 """Folds over all values of a key that stay bounded however many values one key has.
 
+Every function of a fold may take the key ahead of its other arguments.
+
 ``AggregateFold`` is any built-in aggregate and combines before the shuffle.
 ``OrderedFold`` folds values in a stated order.  Its step must be associative, as in
 ``lift(x1) + lift(x2) + ...``: then runs of neighbouring values can be folded
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,27 +22,45 @@ from pyspark.sql import functions as F
 RUN_ROWS = 10_000
 
 
+def _with_key(f: Callable[..., Column], arguments: int, key: Column) -> Callable[..., Column]:
+    """``f`` of so many arguments, its key filled in if it asks for one."""
+    try:
+        takes = [p for p in signature(f).parameters.values() if p.default is p.empty]
+    except (TypeError, ValueError):
+        return f
+    return (lambda *xs: f(key, *xs)) if len(takes) == arguments + 1 else f
+
+
+def _key(keys: Sequence[str]) -> Column:
+    return F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+
+
 @dataclass(frozen=True)
 class AggregateFold:
-    """``agg(value)`` is a built-in aggregate, e.g. ``F.sum`` or ``F.max``."""
+    """``agg(value)`` or ``agg(key, value)`` is a built-in aggregate, e.g. ``F.sum`` or ``F.max``.
+
+    It may use the key inside the aggregate only.
+    """
 
-    agg: Callable[[Column], Column]
+    agg: Callable[..., Column]
 
     def apply(self, pairs: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-        return pairs.groupBy(*keys).agg(self.agg(F.col(value)).alias(value))
+        agg = _with_key(self.agg, 1, _key(keys))
+        return pairs.groupBy(*keys).agg(agg(F.col(value)).alias(value))
 
 
 @dataclass(frozen=True)
 class OrderedFold:
     """Fold in ``order`` by ``merge(lift(first), lift(next))``, then ``finish``.
 
-    ``order`` should be total within a key; equal positions are folded by value.
+    ``order`` should be total within a key; equal positions are folded by value.  Floating-point
+    results may differ in their last digits with the number of partitions, as runs are regrouped.
     """
 
     order: Sequence[str]
-    merge: Callable[[Column, Column], Column]
-    lift: Callable[[Column], Column] = lambda value: value
-    finish: Callable[[Column], Column] = lambda acc: acc
+    merge: Callable[..., Column]
+    lift: Callable[..., Column] = lambda value: value
+    finish: Callable[..., Column] = lambda acc: acc
     run_rows: int = RUN_ROWS
 
     def apply(self, pairs: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -48,7 +69,7 @@ class OrderedFold:
         acc = pairs.select(
             *keys,
             *[F.col(c).alias(o) for c, o in zip(self.order, order)],
-            self.lift(F.col(value)).alias("_acc"),
+            _with_key(self.lift, 1, _key(keys))(F.col(value)).alias("_acc"),
         )
         # No key has more rows than the table, so the row count bounds the levels needed.
         partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -58,7 +79,8 @@ class OrderedFold:
             order = ["_o0"]
             bound = -(-bound // self.run_rows) + partitions + 1
         whole = self._folded(acc, keys, [*order, "_acc"])
-        return whole.select(*keys, self.finish(F.col("_acc")).alias(value))
+        finish = _with_key(self.finish, 1, _key(keys))
+        return whole.select(*keys, finish(F.col("_acc")).alias(value))
 
     def _fold_runs(self, acc: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         """Sort by key and order over all tasks, then fold runs of neighbouring rows."""
@@ -74,14 +96,16 @@ class OrderedFold:
                 "_acc",
             )
         )
-        return self._folded(runs, [*keys, "_o0"], ["_pos", "_acc"])
+        return self._folded(runs, keys, ["_pos", "_acc"], ["_o0"])
 
-    def _folded(self, df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    def _folded(self, df: DataFrame, keys: list[str], order: list[str], run: Sequence[str] = ()) -> DataFrame:
         """One accumulator per group out of its few, sorted, accumulators."""
         sorted_runs = F.sort_array(F.collect_list(F.struct(*order)))
+        group = [*keys, *run]
+        merge = _with_key(self.merge, 2, _key(keys))
         steps = df.groupBy(*group).agg(sorted_runs.alias("_xs"))
         first = F.get(F.col("_xs"), F.lit(0))["_acc"]
         rest = F.slice("_xs", F.lit(2), F.size("_xs"))
         return steps.select(
-            *group, F.aggregate(rest, first, lambda a, x: self.merge(a, x["_acc"])).alias("_acc")
+            *group, F.aggregate(rest, first, lambda a, x: merge(a, x["_acc"])).alias("_acc")
         )

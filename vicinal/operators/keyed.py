@@ -9,7 +9,7 @@ column, or a struct of the key columns.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vicinal.functions.vectors import L2, Metric
 from vicinal.operators import search
 from vicinal.operators.folds import AggregateFold, OrderedFold
-from vicinal.plans.sizing import fits_bytes
+from vicinal.plans.sizing import cut_lineage, fits_bytes
 from vicinal.plans.skew import segmented_lists
 
 OLD, NEW = "_old", "_new"
@@ -45,17 +45,22 @@ def collect_lists(
 
 @dataclass(frozen=True)
 class KeyedTable:
-    """``df`` holds the key columns and the value column; keys are unique."""
+    """``df`` holds the key columns and the value column; keys are unique.
+
+    ``derived`` marks the result of an upsert, whose plan must not be read twice.
+    """
 
     df: DataFrame
     keys: tuple[str, ...]
     value: str = "value"
+    derived: bool = False
 
     # -- construction ------------------------------------------------------------------
 
     @classmethod
     def of(cls, df: DataFrame, keys: str | Sequence[str], value: str) -> KeyedTable:
-        """Declare a frame whose keys are already unique."""
+        """Declare a frame whose keys are already unique; pairs whose keys may repeat, on
+        either side of an operation, go through ``from_pairs`` or ``fold``."""
         keys = _key_list(keys)
         return cls(df.select(*keys, value), tuple(keys), value)
 
@@ -137,7 +142,8 @@ class KeyedTable:
         return F.col(self.keys[0]) if len(self.keys) == 1 else F.struct(*self.keys)
 
     def _with(self, df: DataFrame, value: Column) -> KeyedTable:
-        return KeyedTable(df.select(*self.keys, value.alias(self.value)), self.keys, self.value)
+        shown = df.select(*self.keys, value.alias(self.value))
+        return KeyedTable(shown, self.keys, self.value, self.derived)
 
     def map_values(self, f: Callable[[Column], Column]) -> KeyedTable:
         return self._with(self.df, f(F.col(self.value)))
@@ -148,7 +154,7 @@ class KeyedTable:
 
     def filter(self, predicate: Callable[[Column, Column], Column]) -> KeyedTable:
         kept = self.df.filter(predicate(self.key, F.col(self.value)))
-        return KeyedTable(kept, self.keys, self.value)
+        return KeyedTable(kept, self.keys, self.value, self.derived)
 
     # -- updates -----------------------------------------------------------------------------
 
@@ -163,7 +169,8 @@ class KeyedTable:
             for name, part in zip([*self.keys, self.value], [*key, value])
         ]
         added = spark.range(1).select(*columns)
-        return KeyedTable(self.df.filter(~same).unionByName(added), self.keys, self.value)
+        kept = self.df.filter(~same).unionByName(added)
+        return KeyedTable(kept, self.keys, self.value, self.derived)
 
     def multiput(
         self,
@@ -175,7 +182,9 @@ class KeyedTable:
 
         Without ``merge`` the new value wins; without ``z`` it is stored as it is.
         Updates small enough to broadcast leave the table where it is: one pass changes
-        old entries, another over the keys alone finds which updates are new.
+        old entries, another over the keys alone finds which updates are new.  On the result of
+        an upsert, which would be worked out once for each pass, one full outer join runs
+        instead, so that the plan of a chain grows by one join a step.
         """
         old, new, key = F.col(OLD), F.col(NEW), self.key
         inserted = new if z is None else z(key, new)
@@ -187,8 +196,11 @@ class KeyedTable:
 
         def settled(both: DataFrame) -> KeyedTable:
             value = F.when(F.col("_put").isNull(), old).when(old.isNull(), inserted)
-            return self._with(both, value.otherwise(updated))
+            return replace(self._with(both, value.otherwise(updated)), derived=True)
 
+        if self.derived:
+            return settled(self._old().join(right, names, "full_outer"))
+        right = cut_lineage(right)  # worked out once for the size check and both passes
         if not fits_bytes(right):
             return settled(self._old().join(right, names, "full_outer"))
         small = F.broadcast(right)
@@ -196,12 +208,12 @@ class KeyedTable:
         fresh = right.join(F.broadcast(present), names, "left_anti")
         fresh = fresh.withColumn(OLD, F.lit(None).cast(self.df.schema[self.value].dataType))
         kept = settled(self._old().join(small, names, "left"))
-        return KeyedTable(kept.df.unionByName(settled(fresh).df), self.keys, self.value)
+        return KeyedTable(kept.df.unionByName(settled(fresh).df), self.keys, self.value, True)
 
     def delete(self, doomed: DataFrame) -> KeyedTable:
         """Remove the given keys; absent ones are ignored."""
         kept = self.df.join(self._requested(doomed), list(self.keys), "left_anti")
-        return KeyedTable(kept, self.keys, self.value)
+        return KeyedTable(kept, self.keys, self.value, self.derived)
 
     # -- joins -------------------------------------------------------------------------------
 

@@ -52,6 +52,13 @@ def _row_hash(c: str) -> Column:
     return F.xxhash64(c)
 
 
+def _identified(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` whose ids are checked as they are read: a NULL id is an error in every plan."""
+    kind = df.schema[id_col].dataType
+    missing = F.raise_error(F.lit(f"NULL {id_col}")).cast(kind)
+    return df.withColumn(id_col, F.when(F.col(id_col).isNull(), missing).otherwise(F.col(id_col)))
+
+
 # -- candidates ------------------------------------------------------------------------
 
 
@@ -79,6 +86,7 @@ def candidate_lists(
     shuffle.  With few queries the postings are streamed past their broadcast keys.
     """
     family = index.family
+    queries = _identified(queries, "query_id")
     signed = queries.select("query_id", family.signature(F.col("qv")).alias("q_sig"))
     on = ["table_id", "bins"] + (["part"] if index.parts else [])
     if broadcast_rows is None:
@@ -124,7 +132,7 @@ def _measured(
     Queries that fit are broadcast and each wanted vector is looked up once for all
     queries that want it; otherwise vectors meet bounded blocks of queries.
     """
-    queries, parts = queries.select("query_id", "qv"), parts_of(vectors)
+    queries, parts = _identified(queries.select("query_id", "qv"), "query_id"), parts_of(vectors)
     vectors = vectors.select("vec_id", "v", *([PART] if parts else []))
     rows = row_budget(8 * dimension + 64) if broadcast_rows is None else broadcast_rows
     if fits(queries.select("query_id"), rows):
@@ -232,15 +240,15 @@ def _measure_in_grid(lists, queries, vectors, dimension, metric, within) -> Data
 
 def _meetings(vectors: DataFrame, queries: DataFrame, by: list[str]):
     """Vector and query rows side by side, grouped by where they meet."""
-    left = vectors.withColumnRenamed("v", "numbers")
-    right = queries.withColumnRenamed("qv", "numbers")
+    left = vectors.withColumnRenamed("v", "numbers").withColumn("of_query", F.lit(False))
+    right = queries.withColumnRenamed("qv", "numbers").withColumn("of_query", F.lit(True))
     return left.unionByName(right, allowMissingColumns=True).groupBy(*by)
 
 
 def _both_sides(batches: Iterator[pa.RecordBatch], dimension: int):
     """Columns and numbers of the vectors and of the queries of one meeting."""
     rows = pa.Table.from_batches(list(batches))
-    of_query = pc.is_valid(rows.column("query_id"))
+    of_query = rows.column("of_query")
     sides = []
     for side in (rows.filter(pc.invert(of_query)), rows.filter(of_query)):
         columns = {name: side.column(name).combine_chunks() for name in side.column_names}
@@ -352,7 +360,8 @@ def exact_radius_search(
     place, and only matches leave the tasks.  More queries than that meet the vectors
     in bounded blocks of a grid, each block pair being one group of a shuffle.
     """
-    vectors, queries = vectors.select("vec_id", "v"), queries.select("query_id", "qv")
+    vectors = _identified(vectors.select("vec_id", "v"), "vec_id")
+    queries = _identified(queries.select("query_id", "qv"), "query_id")
     schema = _HITS.format(
         queries.schema["query_id"].dataType.simpleString(),
         vectors.schema["vec_id"].dataType.simpleString(),

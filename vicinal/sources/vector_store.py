@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.plans.skew import spread
+from vicinal.sources.index_store import next_build, published
 
 PART = "vec_part"
+LAYOUT_SCHEMA = "parts INT, id_type STRING, number BIGINT, build STRING"
 
 
 def id_part(vec_id: Column, parts: int) -> Column:
@@ -21,26 +23,27 @@ def id_part(vec_id: Column, parts: int) -> Column:
 
 
 def save_vectors(vectors: DataFrame, path: str, parts: int = 256) -> None:
-    """Write ``(vec_id, v)`` partitioned by id."""
+    """Write ``(vec_id, v)`` partitioned by id, as a new build that the last step publishes."""
+    spark = vectors.sparkSession
+    number, build = next_build(spark, f"{path}/layout")
     laid_out = vectors.select("vec_id", "v", id_part(F.col("vec_id"), parts).alias(PART))
     (
         laid_out.hint("rebalance", PART)
         .sortWithinPartitions(PART, "vec_id")
         .write.mode("overwrite")
         .partitionBy(PART)
-        .parquet(f"{path}/rows")
+        .parquet(f"{path}/builds/{build}")
     )
-    spark = vectors.sparkSession
     id_type = vectors.schema["vec_id"].dataType.simpleString()
-    layout = spark.createDataFrame([(parts, id_type)], "parts INT, id_type STRING")
-    layout.coalesce(1).write.mode("overwrite").json(f"{path}/layout")
+    layout = spark.createDataFrame([(parts, id_type, number, build)], LAYOUT_SCHEMA)
+    layout.coalesce(1).write.mode("append").json(f"{path}/layout")
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     """``(vec_id, v, vec_part)``; the number of parts rides along as column metadata."""
-    (layout,) = spark.read.schema("parts INT, id_type STRING").json(f"{path}/layout").limit(2).collect()
+    layout = published(spark, f"{path}/layout", LAYOUT_SCHEMA)
     rows = spark.read.schema(f"vec_id {layout['id_type']}, v ARRAY<DOUBLE>, {PART} INT").parquet(
-        f"{path}/rows"
+        f"{path}/builds/{layout['build']}"
     )
     part = F.col(PART).alias(PART, metadata={"parts": layout["parts"]})
     return rows.select("vec_id", "v", part)
