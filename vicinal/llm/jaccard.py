@@ -7,9 +7,10 @@ otherwise each of its members chooses further tokens and the bucket splits by th
 classes at the threshold share a token at each step with a known chance, and the number of
 runs follows from the recall asked for.
 
-Nothing lists the pairs of a bucket.  A task compares two blocks of members by matrix products
-and returns sums and a spanning forest of the links it found.  A pair that meets in several
-buckets counts in the first of them.
+Nothing lists the pairs of a bucket.  A task takes one or two blocks of members.  It first
+compares sketches, and only members with a likely partner bring their sets to a second task,
+which compares them by matrix products and returns sums and a spanning forest of the links
+it found.  A pair that meets in several buckets counts in the first of them.
 """
 
 from __future__ import annotations
@@ -43,11 +44,14 @@ class Settings:
     words: int = 5
     similarity: float = 0.8
     recall: float = 0.99999
-    levels: int = 4
+    levels: int = 3
     bucket: int = 256
     alike: float = 0.4
     block: int = 128
     signature: int = 4
+    #: Bins of a sketch, and how many deviations below the threshold its estimate may lie.
+    bins: int = 128
+    deviations: float = 6.0
 
     @property
     def runs(self) -> int:
@@ -101,6 +105,17 @@ def _classes(k: int):
 
 
 _CHOSEN = "array<struct<run:int,level:int,t:bigint>>"
+_SKETCH_SEED = np.uint64(0x2545F4914F6CDD1D)
+
+
+def sketch(s: np.ndarray, bins: int) -> bytes:
+    """One byte a bin: of the least hash that falls into it; 0 if none does."""
+    hashed = mix(s ^ _SKETCH_SEED)
+    least = np.full(bins, np.uint64(2**64 - 1))
+    np.minimum.at(least, (hashed % np.uint64(bins)).astype(np.int64), hashed >> np.uint64(8))
+    found = (mix(least) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    found[least == np.uint64(2**64 - 1)] = 0
+    return found.tobytes()
 
 
 def _samples(settings: Settings):
@@ -110,13 +125,13 @@ def _samples(settings: Settings):
     for all sets of one size, and nearly so for sets of a similar one.
     """
     chosen = pa.struct([("run", pa.int32()), ("level", pa.int32()), ("t", pa.int64())])
-    schema = pa.schema([("c", pa.binary()), ("chosen", pa.list_(chosen)), ("signature", pa.list_(pa.int64()))])
+    schema = pa.schema([("c", pa.binary()), ("chosen", pa.list_(chosen)), ("signature", pa.list_(pa.int64())), ("sketch", pa.binary())])
     seeds = hash_series(53, settings.runs)[:, None]
     coordinates = hash_series(59, settings.signature)[:, None]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, least, runs, levels, tokens, counts = [], [], [], [], [], [0]
+            keys, least, sketches, runs, levels, tokens, counts = [], [], [], [], [], [], [0]
             for _, s in token_sets(batch.column("text"), settings.words):
                 key = set_key(s)
                 if key is None:
@@ -126,6 +141,7 @@ def _samples(settings: Settings):
                 run, at = np.nonzero(level < settings.levels)
                 keys.append(key)
                 least.append(mix(s[None, :] ^ coordinates).min(1).view(np.int64).tolist())
+                sketches.append(sketch(s, settings.bins))
                 runs.append(run)
                 levels.append(level[run, at])
                 tokens.append(s[at].view(np.int64))
@@ -138,7 +154,8 @@ def _samples(settings: Settings):
             lists = pa.ListArray.from_arrays(
                 pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(chosen))
             )
-            yield pa.record_batch([pa.array(keys, pa.binary()), lists, pa.array(least, pa.list_(pa.int64()))], schema=schema)
+            own = [pa.array(v, schema.field(n).type) for n, v in (("c", keys), ("signature", least), ("sketch", sketches))]
+            yield pa.record_batch([own[0], lists, *own[1:]], schema=schema)
 
     return find
 
@@ -146,10 +163,9 @@ def _samples(settings: Settings):
 def _leaves(samples: DataFrame, settings: Settings) -> DataFrame:
     """``path, c, k``: the members of all buckets to be compared, and how many they are."""
     level = samples.select("c", F.explode(F.filter("chosen", lambda s: s.level == 0)).alias("s"))
-    members = level.select(F.xxhash64("s.run", "s.t").alias("path"), "s.run", "c").distinct()
+    members = level.select(F.xxhash64("s.run", "s.t").alias("path"), "s.run", "c")
     found = []
     for depth in range(settings.levels):
-        members = cut_lineage(members)
         sizes = cut_lineage(members.groupBy("path").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
         last = depth == settings.levels - 1
         # The first token of nearly every class is its own: most members go here.
@@ -174,8 +190,10 @@ def _leaves(samples: DataFrame, settings: Settings) -> DataFrame:
         found.append(split.filter("alike").select("path", "c", "k"))
         onward = split.filter("NOT alike").join(samples.select("c", "chosen"), "c")
         mine = lambda s: (s.run == F.col("run")) & (s.level == depth + 1)  # noqa: E731, B023
-        members = onward.select("path", "run", "c", F.explode(F.filter("chosen", mine)).alias("s")).select(
-            F.xxhash64("path", "s.t").alias("path"), "run", "c"
+        members = cut_lineage(
+            onward.select("path", "run", "c", F.explode(F.filter("chosen", mine)).alias("s")).select(
+                F.xxhash64("path", "s.t").alias("path"), "run", "c"
+            )
         )
     leaves = found[0]
     for more in found[1:]:
@@ -185,9 +203,9 @@ def _leaves(samples: DataFrame, settings: Settings) -> DataFrame:
 
 def _without_repeats(leaves: DataFrame) -> DataFrame:
     """Of buckets with the same members, the lowest path only."""
-    h = F.xxhash64("c")
+    total = lambda h: F.sum(h.cast("decimal(20,0)")).alias
     marks = leaves.groupBy("path").agg(
-        F.count(F.lit(1)).alias("k"), F.bit_xor(h).alias("p"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("q")
+        F.count(F.lit(1)).alias("k"), total(F.xxhash64("c"))("p"), total(F.xxhash64("c", F.lit(1)))("q")
     )
     kept = cut_lineage(marks.groupBy("k", "p", "q").agg(F.min("path").alias("path")).select("path"))
     return cut_lineage(leaves.join(small_side(kept), "path"))
@@ -272,29 +290,47 @@ def common_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     return found
 
 
-def _compare(path: int, rows: list[tuple], similarity: float) -> list[tuple]:
-    """``(class, links, lower class of its tree)`` of the members of one task."""
-    rows = list({r[1]: r for r in rows}.values())  # equal documents may bring a class twice
-    if len(rows) < 2:
-        return []
-    side = np.array([r[0] for r in rows])
-    rows = [r for _, r in sorted(zip(side, rows), key=lambda p: p[1][1])]
-    side = np.array([r[0] for r in rows])
-    weight = np.array([r[2] for r in rows])
-    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+def _pairs_here(path: int, rows: list[dict]) -> np.ndarray:
+    """Which pairs this task decides: across its two blocks, or any within its one block,
+    but for those that share a lower bucket and so meet there."""
+    side = np.array([r["side"] for r in rows])
+    found = (side[:, None] != side[None, :]) | (side[:, None] == 0)
+    np.fill_diagonal(found, False)
+    lower = [np.array(r["keys"], np.int64) for r in rows]
+    lower = [k[k < path].astype(np.uint64) for k in lower]
+    if any(map(len, lower)):
+        found &= common_counts(lower) == 0
+    return found
+
+
+def _likely(path: int, rows: list[dict], settings: Settings) -> list[dict]:
+    """Members with a partner whose sketch does not rule the pair out.
+
+    The share of equal bins estimates the similarity.  A similar pair lies ``deviations``
+    standard deviations below with a chance of about 1e-9.
+    """
+    sketches = np.stack([np.frombuffer(r["sketch"], np.uint8) for r in rows])
+    equal = np.zeros((len(rows), len(rows)), np.int32)
+    used = np.zeros_like(equal)
+    for one in sketches.T:
+        filled = one > 0
+        equal += (one[:, None] == one[None, :]) & filled[:, None]
+        used += filled[:, None] | filled[None, :]
+    t = settings.similarity
+    likely = equal >= t * used - settings.deviations * np.sqrt(used * t * (1 - t))
+    likely &= _pairs_here(path, rows)
+    return [r for r, any_ in zip(rows, likely.any(1)) if any_]
+
+
+def _linked(path: int, rows: list[dict], settings: Settings) -> list[dict]:
+    """``c, links, lower`` of members with a link: the sum of its partners' documents, and the
+    lowest class of its tree."""
+    weight = np.array([r["w"] for r in rows])
+    sets = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
     size = np.array([len(s) for s in sets], np.float64)
     common = common_counts(sets)
-    linked = common >= similarity * (size[:, None] + size[None, :] - common) - 1e-6
-    linked &= (side[:, None] != side[None, :]) | (side[:, None] == 0)
-    np.fill_diagonal(linked, False)
-    if not linked.any():
-        return []
-    # Pairs that share a lower bucket have counted there.
-    lower = [np.array(r[3], np.int64) for r in rows]
-    lower = [k[k < path] for k in lower]
-    seen = np.concatenate(lower)
-    if len(seen):
-        linked &= common_counts([k.astype(np.uint64) for k in lower]) == 0
+    linked = common >= settings.similarity * (size[:, None] + size[None, :] - common) - 1e-6
+    linked &= _pairs_here(path, rows)
     links = linked @ weight
     label = np.arange(len(rows))
     while True:
@@ -303,28 +339,43 @@ def _compare(path: int, rows: list[tuple], similarity: float) -> list[tuple]:
         if (least == label).all():
             break
         label = least
-    return [(rows[i][1], int(links[i]), rows[label[i]][1] if label[i] != i else None) for i in range(len(rows)) if links[i]]
+    return [
+        {"c": r["c"], "links": int(n), "lower": rows[i]["c"] if rows[i] is not r else None}
+        for r, n, i in zip(rows, links, label)
+        if n
+    ]
 
 
-def _verify(similarity: float):
-    schema = pa.schema([("c", pa.binary()), ("links", pa.int64()), ("lower", pa.binary())])
+def _by_task(decide, settings: Settings, schema: pa.Schema):
+    """Apply ``decide(path, members, settings)`` to the members of each task, which come sorted."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, rows = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, members = None, {}
 
         def done():
-            found = _compare(task[0], rows, similarity) if task else []
-            return pa.record_batch([pa.array(v, f.type) for v, f in zip(list(zip(*found)) or [[]] * 3, schema)], schema=schema)
+            rows = [members[c] for c in sorted(members)]
+            return decide(task[0], rows, settings) if len(rows) > 1 else []
 
         for batch in batches:
-            for path, g, *row in zip(*(batch.column(c).to_pylist() for c in ("path", "g", "side", "c", "w", "keys", "tokens"))):
-                if (path, g) != task:
-                    yield done()
-                    task, rows = (path, g), []
-                rows.append(row)
-        yield done()
+            found = []
+            for row in batch.to_pylist():
+                if (row["path"], row["g"]) != task:
+                    found += done()
+                    task, members = (row["path"], row["g"]), {}
+                members[row["c"]] = row  # equal rows bring a class twice
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
+        yield pa.RecordBatch.from_pylist(done(), schema=schema)
 
-    return verify
+    return run
+
+
+def _in_tasks(rows: DataFrame, decide, settings: Settings, schema: pa.Schema, ddl: str) -> DataFrame:
+    dealt = rows.repartition("path", "g").sortWithinPartitions("path", "g")
+    return dealt.mapInArrow(_by_task(decide, settings, schema), ddl)
+
+
+_LIKELY = pa.schema([("path", pa.int64()), ("g", pa.string()), ("side", pa.int32()), ("c", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_LINKED = pa.schema([("c", pa.binary()), ("links", pa.int64()), ("lower", pa.binary())])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -353,18 +404,26 @@ def similar_classes(docs: DataFrame, settings: Settings = SETTINGS) -> DataFrame
     others = members.join(small_side(shared), "c").filter("o != o1 OR x != x1").select("o", "x").distinct()
     single = keyed.join(small_side(cut_lineage(others)), ["o", "x"], "left_anti")
     samples = cut_lineage(
-        single.select("text").mapInArrow(_samples(settings), f"c binary, chosen {_CHOSEN}, signature array<bigint>")
+        single.select("text").mapInArrow(_samples(settings), f"c binary, chosen {_CHOSEN}, signature array<bigint>, sketch binary")
     )
     tasks = _tasks(_without_repeats(_leaves(samples, settings)), settings)
-    taking = cut_lineage(tasks.join(classes, "c"))
+    sketched = tasks.join(samples.select("c", "sketch"), "c").select("c", "keys", "sketch", F.explode("tasks").alias("t"))
+    likely = cut_lineage(
+        _in_tasks(
+            sketched.select("t.path", "t.g", "t.side", "c", "keys", "sketch"), _likely, settings, _LIKELY,
+            "path bigint, g string, side int, c binary, keys array<bigint>",
+        )
+    )
+    again = likely.groupBy("c").agg(
+        F.collect_list(F.struct("path", "g", "side")).alias("tasks"), F.first("keys").alias("keys")
+    )
+    taking = cut_lineage(again.join(classes, "c"))
     sets = single.select("o", "x", "text").join(small_side(taking), ["o", "x"]).select("c", "w", "keys", "tasks", "text")
-    compared = (
-        sets.mapInArrow(_spread(settings.words), "path bigint, g string, side int, c binary, w bigint, keys array<bigint>, tokens binary")
-        .repartition("path", "g")
-        .sortWithinPartitions("path", "g")
-        .mapInArrow(_verify(settings.similarity), "c binary, links bigint, lower binary")
+    spread = sets.mapInArrow(
+        _spread(settings.words),
+        "path bigint, g string, side int, c binary, w bigint, keys array<bigint>, tokens binary",
     )
-    found = cut_lineage(compared)
+    found = cut_lineage(_in_tasks(spread, _linked, settings, _LINKED, "c binary, links bigint, lower binary"))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     labels = components(found.filter("lower IS NOT NULL").select(F.col("c").alias("u"), F.col("lower").alias("v")))
     of_class = classes.join(small_side(labels.withColumnRenamed("node", "c")), "c", "left").select(
