@@ -49,8 +49,8 @@ def _hash_of(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_hash_of(UNITS))
 
 
-def canonical(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every canonical token and whether it is a placeholder.
+def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word, and which words are numbers or units, and which are names.
 
     A number begins with a digit.  A name begins with a capital, goes on without one and does
     not begin a sentence.  A unit is a unit word after a number.
@@ -58,7 +58,7 @@ def canonical(words: Words) -> tuple[np.ndarray, np.ndarray]:
     data, begin, end = words.data, words.begin, words.end
     hashed = words.hashes(lowered(data))
     if not len(begin):
-        return hashed, np.zeros(0, bool)
+        return hashed, np.zeros(0, bool), np.zeros(0, bool)
     first = data[begin]
     second = np.where(end - begin > 1, data[np.minimum(begin + 1, len(data) - 1)], 0)
     third = np.where(end - begin > 2, data[np.minimum(begin + 2, len(data) - 1)], 0)
@@ -75,21 +75,29 @@ def canonical(words: Words) -> tuple[np.ndarray, np.ndarray]:
     unit[1:] = number[:-1] & (words.owner[1:] == words.owner[:-1])
     at = np.searchsorted(_UNIT_HASHES, hashed[unit])
     unit[unit] = _UNIT_HASHES[np.minimum(at, len(_UNIT_HASHES) - 1)] == hashed[unit]
-    found = np.select([number, name, unit], [_NUMBER, _NAME, _UNIT], hashed)
-    return found, number | name | unit
+    return np.select([number, unit], [_NUMBER, _UNIT], hashed), number | unit, name & ~unit
 
 
 def template_windows(words: Words, lengths: list[int]):
-    """``(length, starts, hashes, placeholders)`` of all windows with enough literals."""
-    hashed, hole = canonical(words)
-    holes = np.concatenate([[0], np.cumsum(hole)])
+    """``(length, starts, hashes, placeholders)`` of all windows with enough literals.
+
+    A window with names comes twice: with placeholders for them, and with the words that
+    they are, as a text without capitals has them.
+    """
+    hashed, hole, name = canonical(words)
     left = words.left
-    for k in lengths:
-        value, whole = grams(hashed, left, k)
-        start = np.flatnonzero(whole)
-        literal = k - (holes[start + k] - holes[start])
-        start = start[literal >= min(LITERALS, k - 1)]
-        yield k, start, value[start].view(np.int64), hole
+    names = np.concatenate([[0], np.cumsum(name)])
+    for holes, value in ((hole | name, np.where(name, _NAME, hashed)), (hole, hashed)):
+        before = np.concatenate([[0], np.cumsum(holes)])
+        for k in lengths:
+            gram, whole = grams(value, left, k)
+            start = np.flatnonzero(whole)
+            literal = k - (before[start + k] - before[start])
+            wanted = literal >= min(LITERALS, k - 1)
+            if holes is hole:
+                wanted &= names[start + k] > names[start]
+            start = start[wanted]
+            yield k, start, gram[start].view(np.int64), holes
 
 
 def _slots(words: Words, raw: bytes, start: int, k: int, hole: np.ndarray) -> list[str]:
