@@ -12,6 +12,8 @@ import os
 import sys
 import time
 
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from registered import common
@@ -23,6 +25,8 @@ from vicinal.session import local_session
 from vicinal.sources.vector_store import load_vectors, save_vectors
 
 RADIUS = 0.9
+#: Bucket length of the comparator, and the largest size that it is run at.
+ML_WIDTH, ML_TURNS = 0.1, 10
 
 
 def grown(spark, sf_dir: str, turns: int):
@@ -77,6 +81,26 @@ def measure(spark, sf_dir: str, turns: int, functions: int, width: float, tables
         "planted_recall": round(planted / n_queries, 4),
         "found": found.count(),
         "truth": truth.count(),
+    } | (comparator(vectors, queries, ML_WIDTH, tables) if turns <= ML_TURNS else {})
+
+
+def comparator(vectors, queries, width: float, tables: int) -> dict:
+    """Spark ML's random projection index on the same task: one function a table."""
+    left = vectors.select("vec_id", array_to_vector("v").alias("x"))
+    right = queries.select("query_id", array_to_vector("qv").alias("x"))
+    model = BucketedRandomProjectionLSH(
+        inputCol="x", outputCol="h", bucketLength=width, numHashTables=tables, seed=7
+    ).fit(left)
+
+    def near():
+        return model.approxSimilarityJoin(left, right, RADIUS, "distance").select(
+            "datasetA.vec_id", "datasetB.query_id", "distance"
+        )
+
+    return {
+        "ml_width": width,
+        "ml_sec": drained(near),
+        "ml_planted_recall": round(near().filter("query_id = vec_id").count() / queries.count(), 4),
     }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registered.common import Registry, read, rounded
+from registered.common import LEHMER, Registry, read, rounded
 from vicinal.operators.folds import AggregateFold, OrderedFold
 from vicinal.operators.keyed import KeyedTable, collect_lists
 
@@ -144,6 +144,26 @@ def collect_list(spark, sf_dir):
     return lists.select("l_orderkey", "segment", members.alias("members"))
 
 
+LIST_ROWS = 3
+
+
+@R.add(
+    "keyed_collect_list_split",
+    f"""WITH sized AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+    dealt AS (SELECT l_orderkey, l_partkey, CASE WHEN n > {LIST_ROWS}
+      THEN ({LEHMER.format("l_suppkey")}) % CAST(ceil(n / {LIST_ROWS}) AS BIGINT) ELSE 0 END AS segment FROM sized)
+    SELECT l_orderkey, CAST(segment AS BIGINT) AS segment,
+      string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS members
+    FROM dealt GROUP BY l_orderkey, segment""",
+)
+def collect_list_split(spark, sf_dir):
+    """Lists so short that most keys are dealt over several, by a given column."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    lists = collect_lists(lines, "l_orderkey", "l_partkey", LIST_ROWS, F.col("l_suppkey"))
+    members = F.array_join(F.col("members").cast("array<string>"), ",")
+    return lists.select("l_orderkey", "segment", members.alias("members"))
+
+
 @R.add(
     "keyed_fold_builtin",
     "SELECT l_orderkey, round(max(l_extendedprice), 4) AS value FROM lineitem GROUP BY l_orderkey",

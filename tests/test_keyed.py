@@ -8,6 +8,7 @@ from vicinal.functions.vectors import L2
 from vicinal.operators.folds import AggregateFold, OrderedFold
 from vicinal.operators import keyed
 from vicinal.operators.keyed import KeyedTable, collect_lists, last_wins
+from vicinal.plans import skew
 from vicinal.plans.sizing import fits_bytes
 from vicinal.plans.skew import add_segment, salted_join
 
@@ -29,6 +30,13 @@ def contents(t):
     return got
 
 
+@pytest.fixture(params=["few hot keys", "many hot keys"])
+def hot_keys(request, monkeypatch):
+    """Broadcast hot keys, and look them up through the shuffle."""
+    if request.param == "many hot keys":
+        monkeypatch.setattr(skew, "HEAVY_KEY_ROWS", 0)
+
+
 @pytest.fixture(params=["small", "big"])
 def size(request, monkeypatch):
     """Send requests and updates through the broadcast plan, and through the shuffle."""
@@ -241,7 +249,7 @@ def test_lists_of_one_value_repeated_are_bounded_too(spark):
     assert collect_lists(df, "k", "v", 50).filter("k = 1").count() > 5
 
 
-def test_segments_of_ids_in_step(spark):
+def test_segments_of_ids_in_step(spark, hot_keys):
     """Ids that share a factor with the segment count still spread over all segments."""
     df = spark.range(0, 64_000, 64).select(F.lit(1).alias("k"), "id")
     sizes = add_segment(df, ["k"], F.col("id"), 100).groupBy("segment").count().collect()
@@ -249,7 +257,7 @@ def test_segments_of_ids_in_step(spark):
 
 
 @pytest.mark.parametrize("cap", [10_000, 40])
-def test_salted_join_equals_plain_join(spark, cap):
+def test_salted_join_equals_plain_join(spark, cap, hot_keys):
     left, _ = skewed(spark)
     right = left.filter("at % 7 = 0").select("k", F.col("at").alias("b"))
     plain = sorted(map(tuple, left.join(right, "k").select("k", "at", "b").collect()))

@@ -36,11 +36,18 @@ def last_wins(
 
 
 def collect_lists(
-    pairs: DataFrame, keys: str | Sequence[str], value: str, list_rows: int = 100_000
+    pairs: DataFrame,
+    keys: str | Sequence[str],
+    value: str,
+    list_rows: int = 100_000,
+    row_id: Column | None = None,
 ) -> DataFrame:
-    """``(keys, segment, members)``: all values per key in sorted lists of limited length."""
-    keys = _key_list(keys)
-    return segmented_lists(pairs, keys, value, list_rows)
+    """``(keys, segment, members)``: all values per key in sorted lists of limited length.
+
+    The values of a longer list are dealt by ``row_id``, a BIGINT that should differ within a
+    key, else by themselves.
+    """
+    return segmented_lists(pairs, _key_list(keys), value, list_rows, row_id)
 
 
 @dataclass(frozen=True)

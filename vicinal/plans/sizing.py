@@ -30,7 +30,8 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
     Spark reads partition after partition until it has seen one row too many, so a
-    huge table is found too big after a few partitions; nothing else is returned.
+    huge table is found too big after a few partitions.  The driver sees a row of one number
+    for each row counted, ``max_rows + 1`` at most.
     """
     return not df.select(F.lit(1)).offset(max_rows).limit(1).collect()
 

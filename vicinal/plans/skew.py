@@ -14,15 +14,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.plans.sizing import broadcast_if_fits, cut_lineage, fits
+from vicinal.plans.sizing import cut_lineage, fits, fits_bytes
 
 # Multiplier and modulus of the "minimal standard" Lehmer generator (public constants).
 LEHMER_MULTIPLIER = 48271
 LEHMER_MODULUS = 2147483647
 
-#: Heavy keys are few (at most rows / cap); this many may be broadcast.
+#: Heavy keys are few (at most rows / cap); this many may be broadcast, if their bytes allow.
 HEAVY_KEY_ROWS = 100_000
 
+#: Copies of each heavy key where they are too many to broadcast: its rows look them up from
+#: as many tasks.
+HEAVY_COPIES = 64
+
 
 def spread(row_id: Column) -> Column:
     """Well mixed non-negative BIGINT from a BIGINT id, in plain arithmetic."""
@@ -51,13 +55,27 @@ def add_segment(
     if heavy is None:
         return df.withColumn("segment", F.lit(0).cast("bigint"))
     segment = F.pmod(spread(row_id), F.coalesce("n_segments", F.lit(1)))
-    return df.join(heavy, list(keys), "left").withColumn("segment", segment).drop("n_segments")
+    return _look_up(df, heavy, keys, row_id).withColumn("segment", segment).drop("n_segments")
 
 
 def _settled(heavy: DataFrame) -> DataFrame | None:
-    """Heavy keys worked out once, broadcast when few, None when there are none."""
+    """Heavy keys worked out once, None when there are none."""
     heavy = cut_lineage(heavy)
-    return None if fits(heavy, 0) else broadcast_if_fits(heavy, HEAVY_KEY_ROWS)
+    return None if fits(heavy, 0) else heavy
+
+
+def _look_up(df: DataFrame, heavy: DataFrame, keys: Sequence[str], row_id: Column) -> DataFrame:
+    """``df`` with the columns of its key in ``heavy``, NULL for an ordinary one.
+
+    Any number of heavy keys will do: those that cannot be broadcast are copied, and the
+    rows of a key meet them dealt over the copies, so that no key is met by one task.
+    """
+    if fits(heavy, HEAVY_KEY_ROWS) and fits_bytes(heavy):
+        return df.join(F.broadcast(heavy), list(keys), "left")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.lit(HEAVY_COPIES - 1).cast("bigint"))
+    dealt = df.withColumn("_copy", F.pmod(spread(row_id), F.lit(HEAVY_COPIES).cast("bigint")))
+    copied = heavy.withColumn("_copy", F.explode(copies))
+    return dealt.join(copied.hint("merge"), [*keys, "_copy"], "left").drop("_copy")
 
 
 def segmented_lists(
@@ -115,14 +133,14 @@ def salted_join(
     nl, nr = F.coalesce("nl", one), F.coalesce("nr", one)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
     salted_left = (
-        left.join(heavy, keys, "left")
+        _look_up(left, heavy, keys, left_id)
         .withColumn("sl", F.pmod(spread(left_id), nl))
         .withColumn("sr", every(nr))
         .drop("nl", "nr")
     )
     own = F.lit(0).cast("bigint") if right_id is None else F.pmod(spread(right_id), nr)
     salted_right = (
-        right.join(heavy, keys, "left")
+        _look_up(right, heavy, keys, F.lit(0) if right_id is None else right_id)
         .withColumn("sr", own)
         .withColumn("sl", every(nl))
         .drop("nl", "nr")
