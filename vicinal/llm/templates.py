@@ -9,7 +9,7 @@ enough documents have, and that keeps enough constant tokens, is boilerplate.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -72,27 +72,39 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([o[first + found[0]], x[first + found[0]], found[1]], names=["o", "x", "leaf"])
 
 
-_PARSED = "o bigint, x bigint, line int, leaf bigint, tokens array<bigint>"
+_PARSED = "o bigint, x bigint, line int, leaf bigint, id binary, tokens array<bigint>"
+
+
+def _line_ids(hashed: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """16 bytes that stand for the tokens of each line, in order."""
+    size = np.diff(begin)
+    place = np.arange(len(hashed)) - np.repeat(begin[:-1], size)
+    halves = []
+    for seed in (np.uint64(1), np.uint64(2)):
+        sums = np.zeros(len(hashed) + 1, np.uint64)
+        np.cumsum(mix(hashed ^ mix(place.astype(np.uint64) * np.uint64(4) + seed)), out=sums[1:])
+        halves.append(sums[begin[1:]] - sums[begin[:-1]])
+    return [row.tobytes() for row in np.stack(halves, axis=1)]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of the wanted leaves of every document, as tokens after the leading ones."""
     schema = pa.schema(
-        [("o", pa.int64()), ("x", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("tokens", pa.list_(pa.int64()))]
+        [("o", pa.int64()), ("x", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("id", pa.binary()), ("tokens", pa.list_(pa.int64()))]
     )
     for batch in batches:
         o, x = (batch.column(c).to_numpy() for c in ("o", "x"))
         wanted = batch.column("leaves")
         for first, data, at in chunks(batch.column("text")):
             hashed, owner, line, begin = _lines(data, at)
-            leaf = _leaf_keys(hashed, begin)
+            leaf, ids = _leaf_keys(hashed, begin), _line_ids(hashed, begin)
             rows = []
             edges = np.searchsorted(owner, np.arange(len(at)))
             for i in range(len(at) - 1):
                 lines = np.arange(edges[i], edges[i + 1])
                 for j in lines[np.isin(leaf[lines], np.asarray(wanted[first + i].as_py(), np.int64))].tolist():
                     tokens = hashed[begin[j] : begin[j + 1]].view(np.int64).tolist()
-                    rows.append((o[first + i], x[first + i], line[j], leaf[j], tokens))
+                    rows.append((o[first + i], x[first + i], line[j], leaf[j], ids[j], tokens))
             if rows:
                 yield pa.record_batch([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -134,39 +146,47 @@ def boilerplate_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
         leaves.join(small_side(reached), "leaf").groupBy(*key).agg(F.collect_list("leaf").alias("leaves"))
     )
     lines = cut_lineage(keyed.join(small_side(wanted), key).select(*key, "text", "leaves").mapInArrow(_parsed, _PARSED))
-    # A line counts once for a document and text; equal lines of many documents add up before the shuffle.
-    same = lines.select("o", "x", "leaf", "tokens").distinct().groupBy("leaf", "tokens").agg(F.count(F.lit(1)).alias("k"))
-    same = cut_lineage(same)
-    places = same.select("leaf", "tokens", "k", F.posexplode("tokens").alias("i", "t")).filter(F.col("i") >= DEPTH)
-    constant = places.groupBy("leaf", "i", "t").agg(F.sum("k").alias("n")).filter(F.col("n") >= documents)
-    marked = places.join(constant.drop("n"), ["leaf", "i", "t"]).groupBy("leaf", "tokens").agg(
-        F.sort_array(F.collect_list(F.struct("i", "t"))).alias("fixed")
+    # A line counts once a document; equal lines of many documents add up before the shuffle.
+    counts = lines.select(*key, "id").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    same = lines.groupBy("id").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
+    same = cut_lineage(same.join(counts, "id"))
+    places = same.select("id", "leaf", "k", F.posexplode("tokens").alias("i", "t")).filter(F.col("i") >= DEPTH)
+    constant = cut_lineage(
+        places.groupBy("leaf", "i", "t").agg(F.sum("k").alias("n")).filter(F.col("n") >= documents).drop("n")
+    )
+    marked = (
+        places.join(small_side(constant), ["leaf", "i", "t"])
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("fixed"))
     )
     nothing = F.array().cast("array<struct<i:int,t:bigint>>")
-    templates = same.join(marked, ["leaf", "tokens"], "left").select(
-        "leaf", "tokens", F.coalesce("fixed", nothing).alias("fixed")
+    lead = F.filter(F.slice("tokens", 1, DEPTH), lambda t: t != F.lit(int(_ANY.view(np.int64))))
+    templates = same.join(marked, "id", "left").select(
+        "id", "leaf", F.size("tokens").alias("size"), F.size(lead).alias("leading"), F.coalesce("fixed", nothing).alias("fixed")
     )
-    lead = F.slice("tokens", 1, DEPTH)
-    held = F.size(F.filter(lead, lambda t: t != F.lit(int(_ANY.view(np.int64))))) + F.size("fixed")
-    solid = (held >= F.least(F.lit(FEWEST), F.size("tokens"))) & (held >= F.size("tokens") * CONSTANT)
+    held = F.col("leading") + F.size("fixed")
+    enough = (held >= F.least(F.lit(FEWEST), "size")) & (held >= F.col("size") * CONSTANT)
+    solid = cut_lineage(templates.filter(enough).select("id", F.struct("leaf", "fixed").alias("template")))
     # Documents are counted, not lines: one document full of a template is no recurrence.
-    solid = cut_lineage(templates.filter(solid).select("leaf", "tokens", "fixed"))
-    held_by = lines.join(small_side(solid), ["leaf", "tokens"]).select("o", "x", "leaf", "fixed").distinct()
-    recurring = held_by.groupBy("leaf", "fixed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= documents)
-    dropped = cut_lineage(solid.join(recurring.drop("n"), ["leaf", "fixed"]).select("leaf", "tokens"))
+    held_by = lines.join(small_side(solid), "id").select(*key, "template").distinct()
+    recurring = held_by.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= documents)
+    dropped = cut_lineage(solid.join(recurring.drop("n"), "template").select("id"))
     return cut_lineage(
-        lines.join(small_side(dropped), ["leaf", "tokens"]).groupBy(*key).agg(F.collect_set("line").alias("lines"))
+        lines.join(small_side(dropped), "id").groupBy(*key).agg(F.collect_set("line").alias("lines"))
     )
 
 
-def drop_templates(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
-    """``row`` (all columns of ``docs``) with ``n_lines, n_dropped, kept_text``.
+def drop_templates(
+    docs: DataFrame, documents: int = DOCUMENTS, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """``row`` (``columns`` of ``docs``, all if not told) with ``n_lines, n_dropped, kept_text``.
 
     Lines are parted by line feeds.  A null text stays null; an empty table stays empty.
     """
     found = boilerplate_lines(docs.select("doc_id", "text"), documents)
+    carried = F.struct(*(columns or ["*"])).alias("row")
     rows = docs.select(
-        F.struct("*").alias("row"), "text", F.coalesce("doc_id", F.lit(_LAST)).alias("o"), F.xxhash64("text").alias("x")
+        carried, "text", F.coalesce("doc_id", F.lit(_LAST)).alias("o"), F.xxhash64("text").alias("x")
     )
     marked = rows.join(small_side(found), ["o", "x"], "left").select("row", "text", F.col("lines").alias("drop"))
     row = rows.schema["row"].dataType.simpleString()
@@ -175,7 +195,7 @@ def drop_templates(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
 
 def line_report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256`` of every document."""
-    found = drop_templates(docs.select("doc_id", "text"))
+    found = drop_templates(docs, columns=["doc_id"])
     return found.select(
         "row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
     )
