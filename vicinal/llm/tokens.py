@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken together up to about this many bytes; a longer text stands alone.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 _U = np.uint64
 #: Base of the polynomial over the bytes of a word, and its inverse modulo 2**64.
