@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.frames import small_side, word_count
+from vicinal.llm.frames import small_side
 from vicinal.llm.tokens import chunks, grams, slide_min, split_words
 from vicinal.plans.sizing import cut_lineage
 
@@ -39,6 +39,13 @@ PIECE = 16
 #: more of them are told apart one by one instead, by an aggregation that no key can overload.
 SHARD_PIECES = 256
 
+#: Anchors that are looked for ahead of the shuffle, as so many rows have them.
+HOT_ANCHORS = 100_000
+#: Rows in every 64th document that make an anchor so frequent.
+HOT_LEAST = 64
+#: Places that the rows of each of them are dealt to.
+HOT_PLACES = 4096
+
 _LAST = 2**63 - 1
 
 
@@ -255,14 +262,15 @@ def remove_repeats(
             _pieces(window, gram), "h bigint, o bigint, x bigint, start int, n int, held int"
         )
     )
-    repeated = cut_lineage(pieces.groupBy("h").agg(F.sum("held").alias("k")).filter("k > 1").select("h"))
     wanted = cut_lineage(
-        pieces.join(small_side(repeated), "h")
-        .groupBy(*key)
-        .agg(F.collect_list(F.struct("start", "n", "h")).alias("pieces"))
+        _repeated(pieces).groupBy(*key).agg(F.collect_list(F.struct("start", "n", "h")).alias("pieces"))
     )
+    # The ids alone are few enough to reach the documents in place; only texts of the wanted
+    # ones are moved.
+    ids = cut_lineage(wanted.select(*key))
     cut = (
-        unique.join(small_side(wanted), key)
+        unique.join(small_side(ids), key, "left_semi")
+        .join(wanted, key)
         .select("o", "x", "text", "pieces")
         .mapInArrow(_cut(window), "h bigint, o bigint, x bigint, start int, n int, words string")
     )
@@ -284,13 +292,36 @@ def remove_repeats(
     firsts = automata.unionByName(_single_windows(different, crowded, window))
     stays = firsts.groupBy(*key).agg(F.collect_list(F.struct("start", "mask")).alias("firsts"))
     marks = cut_lineage(wanted.join(stays, key, "left"))
-    rest = keyed.join(small_side(copies.withColumn("copy", F.lit(True))), key, "left").join(
-        small_side(marks), key, "left"
+    # A copy has no pieces of its own, so that its key is in no row of ``marks``.
+    touched = keyed.join(small_side(ids), key, "left_semi").join(marks, key).withColumn("copy", F.lit(False))
+    others = keyed.join(small_side(ids), key, "left_anti").join(
+        small_side(copies.withColumn("copy", F.lit(True))), key, "left"
     )
+    both = others.unionByName(touched, allowMissingColumns=True)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
-    return rest.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "pieces", "firsts").mapInArrow(
-        _keep(window, ["doc_id"]), schema
+    return both.select(
+        "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "pieces", "firsts"
+    ).mapInArrow(_keep(window, ["doc_id"]), schema)
+
+
+def _repeated(pieces: DataFrame) -> DataFrame:
+    """Pieces whose anchor stands twice or more, from one shuffle.
+
+    Anchors so frequent that their rows would overload a task show in every 64th document
+    already.  They are repeated, and their rows need not meet; at most ``HOT_ANCHORS`` can be
+    so frequent, which bounds what is broadcast.  All other rows meet by anchor.
+    """
+    part = pieces.filter(F.pmod("x", F.lit(64)) == 0)
+    least = max(HOT_LEAST, -(-pieces.count() // (64 * HOT_ANCHORS)))
+    hot = F.broadcast(
+        cut_lineage(part.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > least))
+        .select("h", F.lit(True).alias("hot"))
     )
+    # One pass for both: rows of frequent anchors are dealt over many places.
+    deal = F.when(F.col("hot"), F.pmod(F.xxhash64("o", "x", "start"), F.lit(HOT_PLACES))).otherwise(0)
+    met = pieces.join(hot, "h", "left").withColumn("deal", deal)
+    held = F.sum("held").over(Window.partitionBy("h", "deal"))
+    return met.withColumn("k", held).filter("hot OR k > 1").select(*pieces.columns)
 
 
 def _copies(keyed: DataFrame) -> DataFrame:
