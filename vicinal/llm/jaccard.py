@@ -36,7 +36,8 @@ _LAST = 2**63 - 1
 class Settings:
     """``words`` of an n-gram, least ``similarity``, ``recall`` of a pair at that similarity.
 
-    ``levels`` tokens deep at most; ``bucket`` members are compared without further splitting, as
+    ``levels`` tokens deep at most, ``deeper`` times as many of them after the first, so that few
+    pairs part on the way down; ``bucket`` members are compared without further splitting, as
     are those whose mean similarity reaches ``alike``; ``block`` members of a larger bucket
     are one side of a task.
     """
@@ -45,6 +46,7 @@ class Settings:
     similarity: float = 0.8
     recall: float = 0.99999
     levels: int = 3
+    deeper: int = 2
     bucket: int = 256
     alike: float = 0.4
     block: int = 128
@@ -56,7 +58,8 @@ class Settings:
     @property
     def runs(self) -> int:
         """A class samples ``1 / similarity`` tokens on average, so that a pair misses all shared
-        ones with a chance of ``1/e`` at most in one run."""
+        ones with a chance of ``1/e`` at most in one run (and of ``exp(-deeper)`` at each further
+        level, for the tokens whose buckets are large and mixed)."""
         return math.ceil(-math.log(1 - self.recall))
 
 
@@ -137,7 +140,8 @@ def _samples(settings: Settings):
                 if key is None:
                     continue
                 share = mix(s[None, :] ^ seeds).astype(np.float64) / 2.0**64
-                level = (share * (settings.similarity * len(s))).astype(np.int64)
+                place = share * (settings.similarity * len(s))
+                level = np.where(place < 1, 0, 1 + (place - 1) // settings.deeper).astype(np.int64)
                 run, at = np.nonzero(level < settings.levels)
                 keys.append(key)
                 least.append(mix(s[None, :] ^ coordinates).min(1).view(np.int64).tolist())

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm.frames import small_side
-from vicinal.llm.tokens import NOT_SPACE, byte_class, chunks, hash_series, mix, split_words
+from vicinal.llm.tokens import byte_class, chunks, hash_series, mix, split_words
 from vicinal.plans.sizing import cut_lineage
 
 #: Leading tokens that lead to a leaf (all of them in a shorter line).
