@@ -26,6 +26,7 @@ from vicinal.plans.sizing import (
     cut_lineage,
     fits,
     row_budget,
+    share,
 )
 from vicinal.plans.skew import HEAVY_KEY_ROWS, salted_join, segmented_lists, spread
 from vicinal.sources.vector_store import PART, id_part, parts_of
@@ -191,7 +192,7 @@ def _measure_with_broadcast(asked: DataFrame, block: pa.Table, dimension, metric
     schema = _hits_schema(asked)
     if not block.num_rows:
         return asked.sparkSession.createDataFrame([], schema)
-    shared = asked.sparkSession.sparkContext.broadcast(block.combine_chunks())
+    shared = share(asked.sparkSession, block.combine_chunks())
 
     def measure(batches):
         held = shared.value
@@ -376,7 +377,7 @@ def _scan_with_broadcast(vectors, queries, radius, dimension, inclusive, metric,
     block = queries.toArrow().combine_chunks()
     if not block.num_rows:
         return queries.sparkSession.createDataFrame([], schema)
-    shared = queries.sparkSession.sparkContext.broadcast(block)
+    shared = share(queries.sparkSession, block)
 
     def scan(batches):
         held = shared.value

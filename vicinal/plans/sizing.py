@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from itertools import count
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,7 +88,7 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_stage: ContextVar[tuple[str, Iterator[int]] | None] = ContextVar("stage", default=None)
+_stage: ContextVar[tuple[str, Iterator[int], list[Broadcast]] | None] = ContextVar("stage", default=None)
 
 
 @contextmanager
@@ -95,13 +96,26 @@ def staged_in(folder: str):
     """Let ``cut_lineage`` overwrite numbered tables in ``folder``.
 
     For work repeated without end, such as the batches of a stream: a repetition takes
-    the place of the one before instead of leaving more tables behind.
+    the place of the one before instead of leaving more tables behind, and what it
+    shared with the executors is removed.
     """
-    token = _stage.set((folder, count()))
+    shared: list[Broadcast] = []
+    token = _stage.set((folder, count(), shared))
     try:
         yield
     finally:
         _stage.reset(token)
+        for value in shared:
+            value.destroy()
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """Send a value of checked size to the executors, for as long as ``staged_in`` lasts if
+    that is in force."""
+    sent, stage = spark.sparkContext.broadcast(value), _stage.get()
+    if stage is not None:
+        stage[2].append(sent)
+    return sent
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
