@@ -46,7 +46,7 @@ class Settings:
     similarity: float = 0.8
     recall: float = 0.99999
     levels: int = 3
-    deeper: int = 2
+    deeper: int = 1
     bucket: int = 256
     alike: float = 0.4
     block: int = 128
