@@ -24,12 +24,12 @@ from vicinal.functions.vectors import COSINE
 from vicinal.operators import search
 from vicinal.operators.index import build_index
 from vicinal.operators.keyed import KeyedTable
-from vicinal.plans.jobs import answer_stream, index_vectors
+from vicinal.plans.jobs import answer_stream, answer_table, index_text_file, index_vectors
 from vicinal.plans.sizing import work_path
 from vicinal.sources.messages import file_messages
 from vicinal.sources.text_vectors import vector_line
 from vicinal.sources.vector_store import load_vectors, save_vectors
-from vicinal.streaming.answers import read_answers, read_rejects
+from vicinal.streaming.answers import preview, read_answers, read_rejects
 
 R = Registry()
 FAMILY = PARAMS.family()
@@ -283,6 +283,39 @@ def stream_rejects(spark, sf_dir):
     return rejects.select("query_id", "value")
 
 
+@R.add(
+    "answer_table_preview",
+    f"""{_NEAR}, hits AS (SELECT * FROM near WHERE d < {RADIUS}),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank,
+      count(*) OVER (PARTITION BY query_id) AS neighbors FROM hits)
+    SELECT query_id, neighbors, CAST(rank AS INTEGER) AS rank, vec_id AS neighbor_id, round(d, 6) AS distance
+    FROM ranked WHERE rank <= 5""",
+)
+def answers_preview(spark, sf_dir):
+    """The batch form of the query job, and its preview."""
+    data = vectors(spark, sf_dir)
+    found = answer_table(queries_of(spark, sf_dir), data, _index(spark, sf_dir), RADIUS)
+    shown = preview(found.withColumnRenamed("vec_id", "neighbor_id"))
+    return shown.withColumn("distance", rounded("distance"))
+
+
+@R.add(
+    "index_text_job",
+    f"WITH {index_sql(SIGN_FAMILY)} SELECT vec_id, table_id, array_to_string(bins, ',') AS bins FROM pkeys",
+)
+def index_text(spark, sf_dir):
+    """The index job: a text file of vectors to a saved index, here of the sign family."""
+    path = work_path(spark, "text-vectors")
+    lines = vectors(spark, sf_dir).orderBy("vec_id").select(vector_line(F.col("v")).alias("value"))
+    lines.write.text(path)
+    p = SIGN_PARAMS
+    index = index_text_file(
+        spark, path, work_path(spark, "index"), p.num_tables, p.dimension, p.num_functions, p.bin_length, p.seed, PARTS, p.kind
+    )
+    text = F.array_join(F.col("bins").cast("array<string>"), ",").alias("bins")
+    return index.postings.select("vec_id", "table_id", text)
+
+
 _REPEATS = "range(1 + (query_id % 3)::BIGINT)"
 
 

@@ -15,13 +15,12 @@ from registered.common import (
     planes_sql,
     read,
     rounded,
-    sig_sql,
     vectors,
 )
 from vicinal.functions import hashing, vectors as vf
 from vicinal.operators.index import bucket_keys, build_index, posting_lists
 from vicinal.plans.sizing import work_path
-from vicinal.sources.text_vectors import load_text_vectors, vector_line
+from vicinal.sources.text_vectors import load_text_table, load_text_vectors, vector_line
 
 R = Registry()
 FAMILY, SIGNS = PARAMS.family(), SIGN_PARAMS.family()
@@ -61,6 +60,18 @@ def load_text(spark, sf_dir):
     return _summary(load_text_vectors(spark, path))
 
 
+@R.add(
+    "load_text_table",
+    f"WITH {EMB} SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, {_SUMMARY} FROM emb",
+)
+def text_table(spark, sf_dir):
+    """The same as a keyed table, partitioned by id."""
+    path = work_path(spark, "text-vectors")
+    lines = vectors(spark, sf_dir).orderBy("vec_id").select(vector_line(F.col("v")).alias("value"))
+    lines.write.text(path)
+    return _summary(load_text_table(spark, path, 8).df)
+
+
 @R.add("parse_vector", f"WITH {EMB} SELECT vec_id, {_SUMMARY} FROM emb")
 def parse(spark, sf_dir):
     lines = vectors(spark, sf_dir).select("vec_id", vector_line(F.col("v")).alias("value"))
