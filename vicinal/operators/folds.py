@@ -18,6 +18,8 @@ from inspect import signature
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.plans.sizing import cut_lineage, fits_bytes
+
 #: Values of one key folded by one task at a time.
 RUN_ROWS = 10_000
 
@@ -71,16 +73,33 @@ class OrderedFold:
             *[F.col(c).alias(o) for c, o in zip(self.order, order)],
             _with_key(self.lift, 1, _key(keys))(F.col(value)).alias("_acc"),
         )
-        # No key has more rows than the table, so the row count bounds the levels needed.
-        partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        bound, limit = pairs.count(), self.run_rows + partitions + 1
+        hot = self._hot_keys(acc, keys)
+        if hot.isEmpty():
+            whole = self._folded(acc, keys, [*order, "_acc"])
+        else:
+            same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+            small = F.broadcast(hot) if fits_bytes(hot) else hot
+            ordinary = self._folded(acc.join(small, same, "left_anti"), keys, [*order, "_acc"])
+            (most,) = hot.agg(F.max("_n")).first()
+            long = self._fold_long(acc.join(small, same, "left_semi"), keys, order, most)
+            whole = ordinary.unionByName(long)
+        finish = _with_key(self.finish, 1, _key(keys))
+        return whole.select(*keys, finish(F.col("_acc")).alias(value))
+
+    def _hot_keys(self, acc: DataFrame, keys: list[str]) -> DataFrame:
+        """Keys with more values than one task folds at a time, counted ahead of the shuffle."""
+        counts = acc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > self.run_rows)
+        return cut_lineage(counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_n"))
+
+    def _fold_long(self, acc: DataFrame, keys: list[str], order: list[str], bound: int) -> DataFrame:
+        """Fold keys of ``bound`` values at most, in as many levels as that needs."""
+        partitions = int(acc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        limit = self.run_rows + partitions + 1
         while bound > limit:
             acc = self._fold_runs(acc, keys, order)
             order = ["_o0"]
             bound = -(-bound // self.run_rows) + partitions + 1
-        whole = self._folded(acc, keys, [*order, "_acc"])
-        finish = _with_key(self.finish, 1, _key(keys))
-        return whole.select(*keys, finish(F.col("_acc")).alias(value))
+        return self._folded(acc, keys, [*order, "_acc"])
 
     def _fold_runs(self, acc: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         """Sort by key and order over all tasks, then fold runs of neighbouring rows."""
