@@ -25,6 +25,7 @@ from vicinal.plans.sizing import (
     broadcast_if_fits,
     cut_lineage,
     fits,
+    fits_bytes,
     row_budget,
     share,
 )
@@ -53,6 +54,12 @@ def _row_hash(c: str) -> Column:
     return F.xxhash64(c)
 
 
+def _few(queries: DataFrame, rows: int) -> bool:
+    """True when the queries may be broadcast: by their number and, as ids may be long
+    strings and vectors of any length, by their measured bytes."""
+    return fits(queries, rows) and fits_bytes(queries)
+
+
 def _identified(df: DataFrame, id_col: str) -> DataFrame:
     """``df`` whose ids are checked as they are read: a NULL id is an error in every plan."""
     kind = df.schema[id_col].dataType
@@ -93,7 +100,7 @@ def candidate_lists(
     if broadcast_rows is None:
         row_bytes = 16 * (len(family.a) + family.num_functions + 8) * len(family.tables)
         broadcast_rows = row_budget(row_bytes)
-    if fits(queries.select("query_id"), broadcast_rows):
+    if _few(queries.select("query_id"), broadcast_rows):
         groups = signed.groupBy("q_sig").agg(F.collect_list("query_id").alias("asked"))
         keys = table_keys(groups, family, index.parts, "q_sig")
         if index.parts:
@@ -136,7 +143,7 @@ def _measured(
     queries, parts = _identified(queries.select("query_id", "qv"), "query_id"), parts_of(vectors)
     vectors = vectors.select("vec_id", "v", *([PART] if parts else []))
     rows = row_budget(8 * dimension + 64) if broadcast_rows is None else broadcast_rows
-    if fits(queries.select("query_id"), rows):
+    if _few(queries, rows):
         asked = _asked_vectors(lists, vectors, parts, rows)
         return _measure_with_broadcast(asked, queries.toArrow(), dimension, metric, within)
     return _measure_in_grid(lists, queries, vectors, dimension, metric, within)
@@ -368,7 +375,7 @@ def exact_radius_search(
         vectors.schema["vec_id"].dataType.simpleString(),
     )
     rows = row_budget(8 * dimension, block_bytes)
-    if fits(queries, rows):
+    if _few(queries, rows):
         return _scan_with_broadcast(vectors, queries, radius, dimension, inclusive, metric, schema)
     return _grid_of_blocks(vectors, queries, radius, dimension, inclusive, metric, schema, rows)
 

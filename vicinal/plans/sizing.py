@@ -46,6 +46,10 @@ def _width(c: Column, kind: T.DataType) -> Column:
     """Bytes of a value, 8 for anything of fixed size."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
         width = F.octet_length(c)
+    elif isinstance(kind, T.ArrayType) and not isinstance(
+        kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)
+    ):
+        width = F.size(c) * 16
     elif isinstance(kind, T.ArrayType):
         element = F.transform(c, lambda x: _width(x, kind.elementType))
         width = F.aggregate(element, F.lit(0).cast("bigint"), lambda s, x: s + x)
