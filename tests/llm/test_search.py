@@ -77,6 +77,25 @@ def test_join_of_copies_nulls_and_empty_tables(spark):
     assert kept == [1, 3, 4, 5, 6]
 
 
+@pytest.mark.parametrize("settings", [jaccard.Settings(), jaccard.Settings(deeper=2), jaccard.Settings(levels=2)])
+def test_recall_holds_where_every_bucket_splits(settings):
+    rng = random.Random(8)
+    texts = []
+    for i in range(600):
+        # 80 shared shingles; 10 own ones on both sides, or 20 on one.
+        common, own = prose(rng, 84, 10**9), (10, 10) if i % 2 else (0, 20)
+        texts += [f"{common} {prose(rng, k, 10**9)}" for k in own]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    (found,) = jaccard._samples(settings)(iter([batch]))
+    chosen = [{(c["run"], c["level"], c["t"]) for c in row} for row in found.column("chosen").to_pylist()]
+    met = 0
+    for a, b in zip(chosen[::2], chosen[1::2]):
+        shared = {(run, level) for run, level, _ in a & b}
+        met += sum(all((run, d) in shared for d in range(settings.levels)) for run in range(settings.runs))
+    chance = met / (len(texts) // 2 * settings.runs)
+    assert (1 - chance) ** settings.runs <= 1 - settings.recall
+
+
 def test_keep_one_keeps_columns(spark):
     docs = with_extras(table(spark, documents()))
     kept = jaccard.keep_one(docs)

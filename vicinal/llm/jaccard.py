@@ -1,11 +1,11 @@
 """Similarity join of word n-gram sets by chosen paths.
 
 Documents with one set of n-grams are a class and take part once.  In every run each class
-samples few tokens (n-grams) of its set; classes that share a sampled token meet in its
-bucket.  A bucket is brute-forced when it is small, or when its members are alike anyway;
-otherwise each of its members chooses further tokens and the bucket splits by them.  Two
-classes at the threshold share a token at each step with a known chance, and the number of
-runs follows from the recall asked for.
+chooses the token (n-gram) of its set with the least hash; classes that choose one token meet
+in its bucket.  A bucket is brute-forced when it is small, or when its members are alike anyway;
+otherwise each of its members chooses again, by another hash, and the bucket splits.  Two classes
+choose alike at each step with a chance that is their similarity, and the number of runs
+follows from the recall asked for on the longest path.
 
 Nothing lists the pairs of a bucket.  A task takes one or two blocks of members.  It first
 compares sketches, and only members with a likely partner bring their sets to a second task,
@@ -36,8 +36,8 @@ _LAST = 2**63 - 1
 class Settings:
     """``words`` of an n-gram, least ``similarity``, ``recall`` of a pair at that similarity.
 
-    ``levels`` tokens deep at most, ``deeper`` times as many of them after the first, so that few
-    pairs part on the way down; ``bucket`` members are compared without further splitting, as
+    ``levels`` tokens deep at most, with ``deeper`` choices at each level after the first;
+    ``bucket`` members are compared without further splitting, as
     are those whose mean similarity reaches ``alike``; ``block`` members of a larger bucket
     are one side of a task.
     """
@@ -57,10 +57,11 @@ class Settings:
 
     @property
     def runs(self) -> int:
-        """A class samples ``1 / similarity`` tokens on average, so that a pair misses all shared
-        ones with a chance of ``1/e`` at most in one run (and of ``exp(-deeper)`` at each further
-        level, for the tokens whose buckets are large and mixed)."""
-        return math.ceil(-math.log(1 - self.recall))
+        """Enough for a pair whose shared tokens all have buckets that split at every level: it
+        meets in one run if it chooses alike at the first level and at each further one."""
+        further = 1 - (1 - self.similarity) ** self.deeper
+        met = self.similarity * further ** (self.levels - 1)
+        return math.ceil(math.log(1 - self.recall) / math.log(1 - met)) if met < 1 else 1
 
 
 SETTINGS = Settings()
@@ -124,13 +125,17 @@ def sketch(s: np.ndarray, bins: int) -> bytes:
 def _samples(settings: Settings):
     """For every run, the tokens that a class chooses at each level, and its signature.
 
-    A token's hash in a run says at which level it is chosen, if at any; it does so alike
-    for all sets of one size, and nearly so for sets of a similar one.
+    Each choice is the token with the least hash of its own, so that two sets choose alike
+    with a chance of their similarity, whatever their sizes are.
     """
     chosen = pa.struct([("run", pa.int32()), ("level", pa.int32()), ("t", pa.int64())])
     schema = pa.schema([("c", pa.binary()), ("chosen", pa.list_(chosen)), ("signature", pa.list_(pa.int64())), ("sketch", pa.binary())])
     seeds = hash_series(53, settings.runs)[:, None]
     coordinates = hash_series(59, settings.signature)[:, None]
+    of_choice = np.array([0] + [d for d in range(1, settings.levels) for _ in range(settings.deeper)])
+    factors = hash_series(61, len(of_choice))
+    all_runs = np.tile(np.arange(settings.runs), len(of_choice))
+    all_levels = np.repeat(of_choice, settings.runs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,15 +144,13 @@ def _samples(settings: Settings):
                 key = set_key(s)
                 if key is None:
                     continue
-                share = mix(s[None, :] ^ seeds).astype(np.float64) / 2.0**64
-                place = share * (settings.similarity * len(s))
-                level = np.where(place < 1, 0, 1 + (place - 1) // settings.deeper).astype(np.int64)
-                run, at = np.nonzero(level < settings.levels)
+                hashed = mix(s[None, :] ^ seeds)
+                at = np.concatenate([(hashed * f).argmin(1) for f in factors])
                 keys.append(key)
                 least.append(mix(s[None, :] ^ coordinates).min(1).view(np.int64).tolist())
                 sketches.append(sketch(s, settings.bins))
-                runs.append(run)
-                levels.append(level[run, at])
+                runs.append(all_runs)
+                levels.append(all_levels)
                 tokens.append(s[at].view(np.int64))
                 counts.append(counts[-1] + len(at))
             if not keys:
@@ -195,7 +198,7 @@ def _leaves(samples: DataFrame, settings: Settings) -> DataFrame:
         onward = split.filter("NOT alike").join(samples.select("c", "chosen"), "c")
         mine = lambda s: (s.run == F.col("run")) & (s.level == depth + 1)  # noqa: E731, B023
         members = cut_lineage(
-            onward.select("path", "run", "c", F.explode(F.filter("chosen", mine)).alias("s")).select(
+            onward.select("path", "run", "c", F.explode(F.array_distinct(F.filter("chosen", mine))).alias("s")).select(
                 F.xxhash64("path", "s.t").alias("path"), "run", "c"
             )
         )
