@@ -216,6 +216,17 @@ def test_leaks(spark, text, leaked):
     assert decontam.decontaminate(docs, bench).count() == int(not leaked)
 
 
+def test_leaks_with_one_inconsistent_slot_and_shared_values(spark):
+    rng = random.Random(9)
+    long = f"{prose(rng, 20, 5000)} in Paris {prose(rng, 18, 5000)} in Paris".replace(".", "").replace("\n", " ")
+    sums = "the farmer puts 3 red apples and then another 5 green apples into the large old basket by the door"
+    bench = table(spark, [(1, long), (2, sums)], "item_id bigint, text string")
+    texts = [long[: -len("Paris")] + "Rome", sums.replace("3", "4").replace("5", "4"), sums.replace("3", "4").replace("5", "7")]
+    docs = table(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    found = {(r.doc_id, r.item_id): (r.n_windows - r.n_matched, r.n_changed) for r in decontam.leak_report(docs, bench).collect()}
+    assert found == {(0, 1): (1, 0), (1, 2): (0, 2), (2, 2): (0, 2)}
+
+
 def test_leaks_in_tables(spark):
     rng = random.Random(6)
     items = [(i, prose(rng, rng.choice([5, 7, 20, 60]), 5000)) for i in range(30)]

@@ -3,7 +3,7 @@
 Texts become sequences of canonical tokens: lower-case words, and typed placeholders
 for numbers, names and units.  Windows of such tokens are joined by hash to those of the
 benchmark.  Aligned windows must then fill the placeholders consistently: one value of the item
-always becomes one value of the document, and the other way round.
+always becomes one value of the document.  Windows without a changed value count in any case.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``x`` is a hash of the document's text, which tells rows of one ``doc_id`` (or of null
     ones) apart.  ``n_windows`` are the item's windows, ``n_matched`` those found in consistent
-    alignments, ``n_changed`` the placeholders with another value.  Null or empty texts and items
+    alignments or unchanged in any, ``n_changed`` the placeholders with another value.  Null or empty texts and items
     match nothing; equal rows count as one; items of one id are parts of one item.  Items with
     fewer than ``SHORTEST`` tokens or mostly placeholders cannot be told from ordinary text
     and are not searched.
@@ -193,18 +193,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "x", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"),
         F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs"),
     )
+    same = F.forall("pairs", lambda p: p["a"] == p["b"])
     # All windows of one alignment: bounded by the item's windows.
     aligned = met.groupBy("doc_id", "x", "item_id", "shift").agg(
         F.collect_set("item_at").alias("places"),
+        F.collect_set(F.when(same, F.col("item_at"))).alias("unchanged"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     pairs = F.col("pairs")
-    side = lambda name: F.size(F.array_distinct(F.transform(pairs, lambda p: p[name])))
-    consistent = (side("a") == F.size(pairs)) & (side("b") == F.size(pairs))
-    changed = F.size(F.filter(pairs, lambda p: p["a"] != p["b"]))
+    consistent = F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"]))) == F.size(pairs)
+    places = F.when(consistent, F.col("places")).otherwise(F.col("unchanged"))
+    changed = F.when(consistent, F.size(F.filter(pairs, lambda p: p["a"] != p["b"]))).otherwise(0)
     by_item = (
-        aligned.filter(consistent)
-        .select("doc_id", "x", "item_id", F.explode("places").alias("item_at"), changed.alias("changed"))
+        aligned.select("doc_id", "x", "item_id", F.explode(places).alias("item_at"), changed.alias("changed"))
         .groupBy("doc_id", "x", "item_id")
         .agg(F.countDistinct("item_at").alias("n_matched"), F.max("changed").cast("bigint").alias("n_changed"))
     )
