@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, con, sf_dir, name):
 
 
 def test_one_query_for_each_operator():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(registered.queries())
 
 
@@ -34,6 +34,7 @@ def test_one_query_for_each_operator():
         ("op5_language", ["doc_id", "held_out", "lang_pred", "score"]),
         ("op6_chat", ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]),
         ("op10_substrings", ["doc_id", "n_words", "n_removed", "kept_sha256"]),
+        ("op13_packing", ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]),
     ],
 )
 def test_columns_and_rows(spark, sf_dir, name, columns):
@@ -43,6 +44,8 @@ def test_columns_and_rows(spark, sf_dir, name, columns):
     whole = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     if name == "op6_chat":
         assert df.count() == whole.select("conv_id").distinct().count() + 1
+    elif name == "op13_packing":
+        assert df.filter("piece = 0").count() == whole.count()
     elif name != "op1_decontamination":
         assert df.count() == whole.count()
 

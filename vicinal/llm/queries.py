@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinal.llm import chat, decontam, jaccard, langid, mixing, quality, shards, substrings, templates, url_rules
+from vicinal.llm import (
+    chat,
+    decontam,
+    hardneg,
+    jaccard,
+    langid,
+    mixing,
+    packing,
+    quality,
+    shards,
+    spelling,
+    substrings,
+    templates,
+    url_rules,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +66,23 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats_report(_read(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_read(spark, sf_dir, "documents")))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.negatives_report(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """``vocabulary`` names a file of ranks; the public byte-level one of 50,000 tokens if not told otherwise.  It
+    gives the ids of ``byte_bpe_50k.json``."""
+    import public_tokenizers
+
+    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return packing.pack_report(_read(spark, sf_dir, "documents"), f.read(), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,7 +96,17 @@ QUERIES = {
         op8_shards,
         op9_quality,
         op10_substrings,
+        op11_spelling,
+        op12_negatives,
+        op13_packing,
     )
 }
 
-SQL = {"op2_mix": mixing.SQL, "op7_urls": url_rules.SQL, "op8_shards": shards.SQL, "op9_quality": quality.SQL}
+SQL = {
+    "op2_mix": mixing.SQL,
+    "op7_urls": url_rules.SQL,
+    "op8_shards": shards.SQL,
+    "op9_quality": quality.SQL,
+    "op11_spelling": spelling.SQL,
+    "op12_negatives": hardneg.SQL,
+}
