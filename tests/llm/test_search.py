@@ -104,6 +104,29 @@ def test_keep_one_keeps_columns(spark):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def _passages(n, seed=6):
+    """Documents in pairs of near copies, all of which share a passage of half their length."""
+    rng = random.Random(seed)
+    passage, rows = prose(rng, 80, 10**9), []
+    for i in range(n // 2):
+        own = prose(rng, 80, 10**9)
+        rows += [(2 * i, f"{own} {passage}"), (2 * i + 1, f"{own} {passage} more")]
+    return rows
+
+
+@pytest.mark.parametrize("group", [lambda n: _near_group(n)[::2], _passages])
+def test_tasks_grow_with_the_documents(spark, group):
+    settings = jaccard.SETTINGS
+    schema = f"c binary, chosen {jaccard._CHOSEN}, signature array<bigint>, sketch binary"
+    for n in (800, 1600):
+        rows = group(n)
+        samples = table(spark, rows, PAIRS).select("text").mapInArrow(jaccard._samples(settings), schema).persist()
+        tasks = jaccard._tasks(jaccard._without_repeats(jaccard._leaves(samples, settings)), settings)
+        made = tasks.selectExpr("sum(size(tasks))").first()[0]
+        samples.unpersist()
+        assert made < 30 * n
+
+
 def test_common_counts_in_blocks():
     import numpy as np
 
@@ -114,6 +137,8 @@ def test_common_counts_in_blocks():
         for j in range(9):
             if i != j:
                 assert jaccard.common_counts(sets, columns=7)[i, j] == want[i][j]
+    across = jaccard.common_counts(sets[:4], sets[4:], columns=7)
+    assert across.tolist() == [row[4:] for row in want[:4]]
 
 
 def test_components_of_a_chain_and_a_star(spark):

@@ -7,10 +7,12 @@ otherwise each of its members chooses again, by another hash, and the bucket spl
 choose alike at each step with a chance that is their similarity, and the number of runs
 follows from the recall asked for on the longest path.
 
-Nothing lists the pairs of a bucket.  A task takes one or two blocks of members.  It first
+Nothing lists the pairs of a bucket.  A task takes a small bucket, or one or two blocks of members of
+large ones, whichever and however many these are.  It first
 compares sketches, and only members with a likely partner bring their sets to a second task,
 which compares them by matrix products and returns sums and a spanning forest of the links
-it found.  A pair that meets in several buckets counts in the first of them.
+it found.  A pair that meets in several buckets counts in one of them: with the large ones if it shares one, else in
+the lowest.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from vicinal.llm.components import components
 from vicinal.llm.frames import small_side
 from vicinal.llm.tokens import ALNUM, chunks, grams, hash_series, lowered, mix, split_words
-from vicinal.plans.sizing import cut_lineage
+from vicinal.plans.sizing import cut_lineage, settle
 
 _LAST = 2**63 - 1
 
@@ -38,7 +40,7 @@ class Settings:
 
     ``levels`` tokens deep at most, with ``deeper`` choices at each level after the first;
     ``bucket`` members are compared without further splitting, as
-    are those whose mean similarity reaches ``alike``; ``block`` members of a larger bucket
+    are those whose mean similarity reaches ``alike``; ``block`` members of larger buckets
     are one side of a task.
     """
 
@@ -49,7 +51,7 @@ class Settings:
     deeper: int = 1
     bucket: int = 256
     alike: float = 0.4
-    block: int = 128
+    block: int = 512
     signature: int = 4
     #: Bins of a sketch, and how many deviations below the threshold its estimate may lie.
     bins: int = 128
@@ -219,156 +221,189 @@ def _without_repeats(leaves: DataFrame) -> DataFrame:
 
 
 def _tasks(leaves: DataFrame, settings: Settings) -> DataFrame:
-    """``c, keys, tasks``: of every class all its buckets, and the block pairs it takes part in.
+    """``c, keys, crowds, tasks``: of every class its small buckets, its large ones, and where it is compared.
 
-    The members of a large bucket are parted by the first bucket of each, and then into
-    blocks.  Two blocks with one first bucket have met there and are not paired again.
+    A small bucket is one task.  Groups of many near copies fill a large bucket in nearly every run, so
+    these are not compared one by one: a class lies in one block of its largest bucket, and two blocks are
+    compared once, if they meet in any large bucket.  So a class takes part in as many tasks as the blocks it meets.
     """
-    keys = cut_lineage(leaves.groupBy("c").agg(F.sort_array(F.collect_set("path")).alias("keys")))
-    placed = leaves.join(keys.select("c", F.col("keys")[0].alias("f")), "c")
-    placed = cut_lineage(placed.withColumn("large", F.col("k") > settings.bucket))
-    small = placed.filter("NOT large").select(
-        "c", F.struct("path", F.lit("").alias("g"), F.lit(0).alias("side")).alias("task")
+    large = F.col("k") > settings.bucket
+    of = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("path"))))
+    keys = cut_lineage(
+        leaves.groupBy("c").agg(
+            of(~large).alias("keys"), of(large).alias("crowds"), F.max(F.when(large, F.struct("k", "path"))).alias("home")
+        ).select("c", "keys", "crowds", F.col("home.path").alias("home"))
     )
-    large = placed.filter("large")
-    counts = cut_lineage(large.groupBy("path", "f").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("blocks")))
-    block = F.pmod(F.xxhash64("c", F.lit(7)), F.col("blocks")).cast("int")
-    own = large.join(small_side(counts), ["path", "f"]).select("path", "c", "f", block.alias("b"))
-    each = counts.select("path", F.col("f").alias("f2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b2"))
-    # The blocks of a bucket are one per ``block`` members, so that this join makes
-    # ``block`` times fewer rows than the bucket has pairs.
-    met = own.join(small_side(cut_lineage(each)), "path").filter((F.col("f") != F.col("f2")) | (F.col("f") == F.col("path")))
-    mine, other = F.struct("f", "b"), F.struct(F.col("f2").alias("f"), F.col("b2").alias("b"))
-    low, high = F.least(mine, other), F.greatest(mine, other)
-    paired = met.select(
-        "c",
-        F.struct(
-            "path",
-            F.concat_ws(":", low["f"], low["b"], high["f"], high["b"]).alias("g"),
-            F.when(mine == other, 0).when(mine == low, 1).otherwise(2).alias("side"),
-        ).alias("task"),
+    homed = keys.filter("home IS NOT NULL")
+    homes = cut_lineage(homed.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("bigint").alias("blocks")))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("c", F.lit(7)), F.col("blocks")))
+    placed = cut_lineage(homed.join(small_side(homes), "home").select("c", "crowds", block.alias("block")))
+    where = cut_lineage(placed.select("block", F.explode("crowds").alias("path")).distinct())
+    pairs = cut_lineage(
+        where.withColumnRenamed("block", "p").join(where.withColumnRenamed("block", "q"), "path").filter("p <= q").select("p", "q").distinct()
     )
-    tasks = small.unionByName(paired).groupBy("c").agg(F.collect_list("task").alias("tasks"))
-    return cut_lineage(tasks.join(keys, "c"))
+    both = pairs.withColumn("block", F.explode(F.array_distinct(F.array("p", "q"))))
+    side = F.when(F.col("p") == F.col("q"), 0).when(F.col("block") == F.col("p"), 1).otherwise(2)
+    met = placed.select("c", "block").join(both, "block").select("c", F.struct(F.lit(True).alias("large"), "p", "q", side.alias("side")).alias("task"))
+    alone = leaves.filter(~large).select(
+        "c", F.struct(F.lit(False).alias("large"), F.col("path").alias("p"), F.col("path").alias("q"), F.lit(0).alias("side")).alias("task")
+    )
+    tasks = alone.unionByName(met).groupBy("c").agg(F.collect_list("task").alias("tasks"))
+    return cut_lineage(tasks.join(keys.select("c", "keys", "crowds"), "c"))
 
 
 def _spread(words: int):
     """The set of every class, once for each task it takes part in."""
-    schema = pa.schema(
-        [("path", pa.int64()), ("g", pa.string()), ("side", pa.int32()), ("c", pa.binary()), ("w", pa.int64())]
-        + [("keys", pa.list_(pa.int64())), ("tokens", pa.binary())]
-    )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tasks, keys = batch.column("tasks"), batch.column("keys")
-            c, w = batch.column("c"), batch.column("w")
+            tasks, own = batch.column("tasks"), [batch.column(n) for n in ("c", "w", "keys", "crowds")]
             rows, size = [], 0
             for i, s in token_sets(batch.column("text"), words):
-                raw = s.tobytes()
+                raw, mine = s.tobytes(), [v[i].as_py() for v in own]
                 for t in tasks[i].as_py():
-                    rows.append((t["path"], t["g"], t["side"], c[i].as_py(), w[i].as_py(), keys[i].as_py(), raw))
+                    rows.append((t["large"], t["p"], t["q"], t["side"], *mine, raw))
                     size += len(raw)
                 if size > 8_000_000:
-                    yield pa.record_batch([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+                    yield pa.record_batch([pa.array(v, f.type) for v, f in zip(zip(*rows), _SETS)], schema=_SETS)
                     rows, size = [], 0
             if rows:
-                yield pa.record_batch([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+                yield pa.record_batch([pa.array(v, f.type) for v, f in zip(zip(*rows), _SETS)], schema=_SETS)
 
     return spread
 
 
-def common_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """Shared tokens of any two sets, by products of blocks of their incidence matrix."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def common_counts(sets: list[np.ndarray], others: list[np.ndarray] | None = None, columns: int = 8192) -> np.ndarray:
+    """Shared tokens of any two sets (of any of ``sets`` and any of ``others``), by products of blocks
+    of their incidence matrices."""
+    n, m = len(sets), len(sets) if others is None else len(others)
+    every = sets if others is None else [*sets, *others]
+    owner = np.repeat(np.arange(len(every)), [len(s) for s in every])
+    _, token, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
     shared = count[token] > 1
     number = np.cumsum(count > 1) - 1
     owner, token = owner[shared], number[token[shared]]
-    found = np.zeros((n, n), np.float32)
+    found = np.zeros((n, m), np.float32)
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
     for a in range(0, int(token[-1]) + 1 if len(token) else 0, columns):
         i, j = np.searchsorted(token, [a, a + columns])
-        part = np.zeros((n, min(columns, int(token[-1]) + 1 - a)), np.float32)
+        part = np.zeros((len(every), min(columns, int(token[-1]) + 1 - a)), np.float32)
         part[owner[i:j], token[i:j] - a] = 1
-        found += part @ part.T
+        found += part[:n] @ (part if others is None else part[n:]).T
     return found
 
 
-def _pairs_here(path: int, rows: list[dict]) -> np.ndarray:
-    """Which pairs this task decides: across its two blocks, or any within its one block,
-    but for those that share a lower bucket and so meet there."""
-    side = np.array([r["side"] for r in rows])
-    found = (side[:, None] != side[None, :]) | (side[:, None] == 0)
-    np.fill_diagonal(found, False)
-    lower = [np.array(r["keys"], np.int64) for r in rows]
-    lower = [k[k < path].astype(np.uint64) for k in lower]
-    if any(map(len, lower)):
-        found &= common_counts(lower) == 0
-    return found
-
-
-def _likely(path: int, rows: list[dict], settings: Settings) -> list[dict]:
+class _Task:
+    """The members of a task: the rows and columns of its matrix of pairs are one side and the other."""
+
+    def __init__(self, large: bool, path: int, rows: list[dict]):
+        self.large, self.path, self.rows = large, path, rows
+        self.across = large and any(r["side"] for r in rows)
+        self.left = [r for r in rows if r["side"] != 2]
+        self.right = [r for r in rows if r["side"] == 2] if self.across else self.left
+
+    def common(self, of) -> np.ndarray:
+        """Shared numbers of any pair, of a list that ``of`` a member tells."""
+        sets = [of(r) for r in self.left]
+        return common_counts(sets, [of(r) for r in self.right] if self.across else None)
+
+    def decided(self) -> np.ndarray:
+        """The pairs that are decided here: in large buckets those that share one; else those
+        that share neither a large bucket nor a lower small one."""
+        if self.large:
+            met = self.common(lambda r: np.array(r["crowds"], np.int64).astype(np.uint64)) > 0
+        else:
+            met = np.ones((len(self.left), len(self.right)), bool)
+            elsewhere = [[*(k for k in r["keys"] if k < self.path), *r["crowds"]] for r in self.rows]
+            if any(elsewhere):
+                met &= common_counts([np.array(k, np.int64).astype(np.uint64) for k in elsewhere]) == 0
+        if not self.across:
+            np.fill_diagonal(met, False)
+        return met
+
+
+def _likely(task: _Task, settings: Settings) -> list[dict]:
     """Members with a partner whose sketch does not rule the pair out.
 
     The share of equal bins estimates the similarity.  A similar pair lies ``deviations``
     standard deviations below with a chance of about 1e-9.
     """
-    sketches = np.stack([np.frombuffer(r["sketch"], np.uint8) for r in rows])
-    equal = np.zeros((len(rows), len(rows)), np.int32)
-    used = np.zeros_like(equal)
-    for one in sketches.T:
-        filled = one > 0
-        equal += (one[:, None] == one[None, :]) & filled[:, None]
-        used += filled[:, None] | filled[None, :]
+    left, right = (np.stack([np.frombuffer(r["sketch"], np.uint8) for r in side]) for side in (task.left, task.right))
+    likely = task.decided()
     t = settings.similarity
-    likely = equal >= t * used - settings.deviations * np.sqrt(used * t * (1 - t))
-    likely &= _pairs_here(path, rows)
-    return [r for r, any_ in zip(rows, likely.any(1)) if any_]
+    for a in range(0, len(left), 64):
+        equal = np.zeros((len(left[a : a + 64]), len(right)), np.int16)
+        empty = np.zeros_like(equal)
+        for one, other in zip(left[a : a + 64].T, right.T):
+            same = one[:, None] == other[None, :]
+            filled = one > 0
+            if filled.all():
+                equal += same
+            else:
+                equal += same & filled[:, None]
+                empty += ~filled[:, None] & (other == 0)[None, :]
+        used = settings.bins - empty
+        likely[a : a + 64] &= equal >= t * used - settings.deviations * np.sqrt(used * t * (1 - t))
+    shown = [r for r, some in zip(task.left, likely.any(1)) if some]
+    if task.across:
+        shown += [r for r, some in zip(task.right, likely.any(0)) if some]
+    return shown
 
 
-def _linked(path: int, rows: list[dict], settings: Settings) -> list[dict]:
+def _linked(task: _Task, settings: Settings) -> list[dict]:
     """``c, links, lower`` of members with a link: the sum of its partners' documents, and the
     lowest class of its tree."""
-    weight = np.array([r["w"] for r in rows])
-    sets = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
-    size = np.array([len(s) for s in sets], np.float64)
-    common = common_counts(sets)
-    linked = common >= settings.similarity * (size[:, None] + size[None, :] - common) - 1e-6
-    linked &= _pairs_here(path, rows)
-    links = linked @ weight
-    label = np.arange(len(rows))
+    sets = lambda r: np.frombuffer(r["tokens"], np.uint64)
+    size = [np.array([len(r["tokens"]) / 8 for r in side]) for side in (task.left, task.right)]
+    weight = [np.array([r["w"] for r in side]) for side in (task.left, task.right)]
+    common = task.common(sets)
+    linked = common >= settings.similarity * (size[0][:, None] + size[1][None, :] - common) - 1e-6
+    linked &= task.decided()
+    if task.across:
+        rows = task.left + task.right
+        links = np.r_[linked @ weight[1], weight[0] @ linked]
+    else:
+        rows, links = task.left, linked @ weight[1]
+    n = len(task.left)
+    place = np.argsort(np.argsort([r["c"] for r in rows]))
+    label, by_place = place.copy(), np.argsort(place)
+    far = len(rows)
     while True:
-        least = np.minimum(label, np.where(linked, label[None, :], len(rows)).min(1))
-        least = least[least]
+        other = label[n:] if task.across else label
+        least = label.copy()
+        least[:n] = np.minimum(least[:n], np.where(linked, other[None, :], far).min(1, initial=far))
+        if task.across:
+            least[n:] = np.minimum(least[n:], np.where(linked, least[:n, None], far).min(0, initial=far))
+        least = least[by_place[least]]
         if (least == label).all():
             break
         label = least
     return [
-        {"c": r["c"], "links": int(n), "lower": rows[i]["c"] if rows[i] is not r else None}
-        for r, n, i in zip(rows, links, label)
-        if n
+        {"c": r["c"], "links": int(k), "lower": rows[by_place[low]]["c"] if low != own else None}
+        for r, k, low, own in zip(rows, links, label, place)
+        if k
     ]
 
 
 def _by_task(decide, settings: Settings, schema: pa.Schema):
-    """Apply ``decide(path, members, settings)`` to the members of each task, which come sorted."""
+    """Apply ``decide(task, settings)`` to the members of each task, which come sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, members = None, {}
+        key, members = None, {}
 
         def done():
-            rows = [members[c] for c in sorted(members)]
-            return decide(task[0], rows, settings) if len(rows) > 1 else []
+            if len(members) < 2:
+                return []
+            task = _Task(key[0], key[1], [members[c] for c in sorted(members)])
+            return decide(task, settings) if task.left and task.right else []
 
         for batch in batches:
             found = []
             for row in batch.to_pylist():
-                if (row["path"], row["g"]) != task:
+                if (row["large"], row["p"], row["q"]) != key:
                     found += done()
-                    task, members = (row["path"], row["g"]), {}
+                    key, members = (row["large"], row["p"], row["q"]), {}
                 members[row["c"]] = row  # equal rows bring a class twice
             yield pa.RecordBatch.from_pylist(found, schema=schema)
         yield pa.RecordBatch.from_pylist(done(), schema=schema)
@@ -377,12 +412,17 @@ def _by_task(decide, settings: Settings, schema: pa.Schema):
 
 
 def _in_tasks(rows: DataFrame, decide, settings: Settings, schema: pa.Schema, ddl: str) -> DataFrame:
-    dealt = rows.repartition("path", "g").sortWithinPartitions("path", "g")
+    dealt = rows.repartition("large", "p", "q").sortWithinPartitions("large", "p", "q")
     return dealt.mapInArrow(_by_task(decide, settings, schema), ddl)
 
 
-_LIKELY = pa.schema([("path", pa.int64()), ("g", pa.string()), ("side", pa.int32()), ("c", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_PLACE = [("large", pa.bool_()), ("p", pa.int64()), ("q", pa.int64()), ("side", pa.int32()), ("c", pa.binary())]
+_BUCKETS = [("keys", pa.list_(pa.int64())), ("crowds", pa.list_(pa.int64()))]
+_LIKELY = pa.schema([*_PLACE, *_BUCKETS])
+_SETS = pa.schema([*_PLACE, ("w", pa.int64()), *_BUCKETS, ("tokens", pa.binary())])
 _LINKED = pa.schema([("c", pa.binary()), ("links", pa.int64()), ("lower", pa.binary())])
+_PLACE_DDL = "large boolean, p bigint, q bigint, side int, c binary"
+_BUCKETS_DDL = "keys array<bigint>, crowds array<bigint>"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -414,22 +454,20 @@ def similar_classes(docs: DataFrame, settings: Settings = SETTINGS) -> DataFrame
         single.select("text").mapInArrow(_samples(settings), f"c binary, chosen {_CHOSEN}, signature array<bigint>, sketch binary")
     )
     tasks = _tasks(_without_repeats(_leaves(samples, settings)), settings)
-    sketched = tasks.join(samples.select("c", "sketch"), "c").select("c", "keys", "sketch", F.explode("tasks").alias("t"))
+    sketched = tasks.join(samples.select("c", "sketch"), "c").select("c", "keys", "crowds", "sketch", F.explode("tasks").alias("t"))
     likely = cut_lineage(
         _in_tasks(
-            sketched.select("t.path", "t.g", "t.side", "c", "keys", "sketch"), _likely, settings, _LIKELY,
-            "path bigint, g string, side int, c binary, keys array<bigint>",
+            sketched.select("t.*", "c", "keys", "crowds", "sketch"), _likely, settings, _LIKELY, f"{_PLACE_DDL}, {_BUCKETS_DDL}"
         )
     )
     again = likely.groupBy("c").agg(
-        F.collect_list(F.struct("path", "g", "side")).alias("tasks"), F.first("keys").alias("keys")
+        F.collect_list(F.struct("large", "p", "q", "side")).alias("tasks"),
+        F.first("keys").alias("keys"),
+        F.first("crowds").alias("crowds"),
     )
     taking = cut_lineage(again.join(classes, "c"))
-    sets = single.select("o", "x", "text").join(small_side(taking), ["o", "x"]).select("c", "w", "keys", "tasks", "text")
-    spread = sets.mapInArrow(
-        _spread(settings.words),
-        "path bigint, g string, side int, c binary, w bigint, keys array<bigint>, tokens binary",
-    )
+    sets = single.select("o", "x", "text").join(small_side(taking), ["o", "x"]).select("c", "w", "keys", "crowds", "tasks", "text")
+    spread = sets.mapInArrow(_spread(settings.words), f"{_PLACE_DDL}, w bigint, {_BUCKETS_DDL}, tokens binary")
     found = cut_lineage(_in_tasks(spread, _linked, settings, _LINKED, "c binary, links bigint, lower binary"))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     labels = components(found.filter("lower IS NOT NULL").select(F.col("c").alias("u"), F.col("lower").alias("v")))
@@ -454,9 +492,9 @@ def join_report(docs: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
 
     The group of a document without words is its own.  Among null ids ``class_id`` is null.
     """
-    found = similar_classes(docs.select("doc_id", "text"), settings)
     class_id = F.when(F.col("first") != _LAST, F.col("first"))
-    return found.select("doc_id", class_id.alias("class_id"), F.col("links").alias("n_links"))
+    told = ["doc_id", class_id.alias("class_id"), F.col("links").alias("n_links")]
+    return settle(docs.sparkSession, lambda: similar_classes(docs.select("doc_id", "text"), settings).select(*told))
 
 
 def keep_one(docs: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
@@ -464,8 +502,9 @@ def keep_one(docs: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
 
     Of equal rows one stays; documents without words stay, but for repeats of a row.
     """
-    found = cut_lineage(similar_classes(docs.select("doc_id", "text"), settings))
     key = ["o", "x"]
+    spark, pair = docs.sparkSession, docs.select("doc_id", "text")
+    found = settle(spark, lambda: similar_classes(pair, settings).select(*key, "first", "first_x"))
     rows = docs.select(
         F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(_LAST)).alias("o"), F.xxhash64("text").alias("x")
     )
