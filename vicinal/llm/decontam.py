@@ -4,6 +4,10 @@ Texts become sequences of canonical tokens: lower-case words, and typed placehol
 for numbers, names and units.  Windows of such tokens are joined by hash to those of the
 benchmark.  Aligned windows must then fill the placeholders consistently: one value of the item
 always becomes one value of the document.  Windows without a changed value count in any case.
+
+Whether a capital makes a name cannot be told for sure, so that a text is read in several ways: with names,
+with capitalised words at the head of a sentence as names too, and with names as plain words.  Windows of too few
+literal words are compared word for word, with their numbers and names as they stand.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from vicinal.plans.sizing import cut_lineage
 WINDOW = 8
 #: ... unless it has fewer than this many tokens, which ordinary text would hold by chance.
 SHORTEST = 5
-#: Literal words of a window at least; one of placeholders mostly says nothing.
+#: Literal words of a window at least; one of placeholders mostly is found only as it stands.
 LITERALS = 4
 #: Item windows that make a leak: this many (13 tokens in a row), or half of the item's.
 LEAK = 6
@@ -38,7 +42,7 @@ UNITS = (
 ).split()
 
 _ENDERS = byte_class(b".!?:;\n\r\"()[]")
-_NUMBER, _NAME, _UNIT = hash_series(41, 3)
+_NUMBER, _NAME, _UNIT, _AS_IT_STANDS = hash_series(41, 4)
 
 
 def _hash_of(words: list[str]) -> np.ndarray:
@@ -49,16 +53,41 @@ def _hash_of(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_hash_of(UNITS))
 
 
-def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every word, and which words are numbers or units, and which are names.
+def _starts_with_digit(words: Words) -> np.ndarray:
+    first = words.data[words.begin]
+    return (first >= 48) & (first <= 57)
+
+
+def _glued(words: Words, member: np.ndarray, between: bytes) -> tuple[Words, np.ndarray]:
+    """``words`` with neighbouring members, parted by one byte of ``between``, as one; and the first
+    word of each that is left."""
+    glue = np.zeros(len(words.begin), bool)
+    if len(glue) > 1:
+        gap = words.end[:-1]
+        glue[1:] = member[1:] & member[:-1] & (words.begin[1:] == gap + 1) & (words.owner[1:] == words.owner[:-1])
+        glue[1:] &= byte_class(between)[words.data[np.minimum(gap, len(words.data) - 1)]]
+    first = np.flatnonzero(~glue)
+    last = np.append(first[1:], len(glue)) - 1
+    kept = np.concatenate([[0], np.cumsum(~glue)])
+    return Words(words.data, words.text_at, words.begin[first], words.end[last] if len(first) else words.end, kept[words.word_at]), first
+
+
+def numbers_joined(words: Words) -> Words:
+    """``words`` in which a number such as 1,200 or 2.5 is one word."""
+    return _glued(words, _starts_with_digit(words), b",.")[0] if len(words.begin) else words
+
 
-    A number begins with a digit.  A name begins with a capital, goes on without one and does
-    not begin a sentence.  A unit is a unit word after a number.
+def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word, which words are numbers or units, which are names, and which may be one.
+
+    A number begins with a digit.  A name begins with a capital and goes on without one; at the head of
+    a sentence such a word only may be one.  A unit is a unit word after a number.
     """
     data, begin, end = words.data, words.begin, words.end
     hashed = words.hashes(lowered(data))
     if not len(begin):
-        return hashed, np.zeros(0, bool), np.zeros(0, bool)
+        none = np.zeros(0, bool)
+        return hashed, none, none, none
     first = data[begin]
     second = np.where(end - begin > 1, data[np.minimum(begin + 1, len(data) - 1)], 0)
     third = np.where(end - begin > 2, data[np.minimum(begin + 2, len(data) - 1)], 0)
@@ -69,43 +98,74 @@ def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     head[words.word_at[:-1][np.diff(words.word_at) > 0]] = True
     enders = np.concatenate([[0], np.cumsum(_ENDERS[data])])
     head[1:] |= enders[begin[1:]] > enders[end[:-1]]
-    number = (first >= 48) & (first <= 57)
-    name = capital & ~((after >= 65) & (after <= 90)) & ~head
+    number = _starts_with_digit(words)
     unit = np.zeros(len(begin), bool)
     unit[1:] = number[:-1] & (words.owner[1:] == words.owner[:-1])
     at = np.searchsorted(_UNIT_HASHES, hashed[unit])
     unit[unit] = _UNIT_HASHES[np.minimum(at, len(_UNIT_HASHES) - 1)] == hashed[unit]
-    return np.select([number, unit], [_NUMBER, _UNIT], hashed), number | unit, name & ~unit
-
-
-def template_windows(words: Words, lengths: list[int]):
-    """``(length, starts, hashes, placeholders)`` of all windows with enough literals.
-
-    A window with names comes twice: with placeholders for them, and with the words that
-    they are, as a text without capitals has them.
+    named = capital & ~((after >= 65) & (after <= 90)) & ~unit
+    return np.select([number, unit], [_NUMBER, _UNIT], hashed), number | unit, named & ~head, named & head
+
+
+class Reading:
+    """A text's tokens with some words as names; ``at`` is the word at which each token begins."""
+
+    def __init__(self, words: Words, hashed: np.ndarray, hole: np.ndarray, name: np.ndarray):
+        self.words, self.at = _glued(words, name, b" ")
+        self.name, self.hole = name[self.at], (hole | name)[self.at]
+        self.value = np.where(self.name, _NAME, hashed[self.at])
+        self.left = self.words.left
+        self.holes_before = np.concatenate([[0], np.cumsum(self.hole)])
+
+    def windows(self, k: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First token of each window of ``k``, its hash, and whether it has enough literals."""
+        gram, whole = grams(self.value, self.left, k)
+        if own and k < WINDOW:
+            whole = whole & (np.diff(self.words.word_at)[self.words.owner] == k)
+        start = np.flatnonzero(whole)
+        literal = k - (self.holes_before[start + k] - self.holes_before[start])
+        return start, gram[start], literal >= min(LITERALS, k - 1)
+
+    def slots(self, start: int, k: int) -> list[str]:
+        data, begin, end = self.words.data, self.words.begin, self.words.end
+        return [
+            data[begin[i] : end[i]].tobytes().decode(errors="replace").lower() for i in range(start, start + k) if self.hole[i]
+        ]
+
+
+def template_windows(words: Words, lengths: list[int], own: bool = False):
+    """``(length, places, hashes, slots)`` of all windows (``own``: shorter ones than ``WINDOW`` only where
+    they are all of a text); ``slots(i)`` are the values of the placeholders of the
+    ``i``-th one.  A place is the word at which a window begins.
+
+    With names, all windows of enough literals; with words at heads as names too, those that have one;
+    with names as plain words, those that have one; and those of too few literals as they stand.
     """
-    hashed, hole, name = canonical(words)
-    left = words.left
-    names = np.concatenate([[0], np.cumsum(name)])
-    for holes, value in ((hole | name, np.where(name, _NAME, hashed)), (hole, hashed)):
-        before = np.concatenate([[0], np.cumsum(holes)])
-        for k in lengths:
-            gram, whole = grams(value, left, k)
-            start = np.flatnonzero(whole)
-            literal = k - (before[start + k] - before[start])
-            wanted = literal >= min(LITERALS, k - 1)
-            if holes is hole:
-                wanted &= names[start + k] > names[start]
-            start = start[wanted]
-            yield k, start, gram[start].view(np.int64), holes
-
-
-def _slots(words: Words, raw: bytes, start: int, k: int, hole: np.ndarray) -> list[str]:
-    return [
-        raw[words.begin[i] : words.end[i]].decode(errors="replace").lower()
-        for i in range(start, start + k)
-        if hole[i]
-    ]
+    raw = words.hashes(lowered(words.data))
+    hashed, hole, name, maybe = canonical(words)
+    nothing = np.zeros(len(hashed), bool)
+    named, both, plain = (Reading(words, hashed, hole, x) for x in (name, name | maybe, nothing))
+    stands = Reading(words, raw ^ _AS_IT_STANDS, nothing, nothing)
+    names = [np.concatenate([[0], np.cumsum(x)]) for x in (name, maybe)]
+    for k in lengths:
+        sparse = np.zeros(len(hashed), bool)
+        for reading, wanted in ((named, None), (both, names[1]), (plain, names[0])):
+            start, gram, enough = reading.windows(k, own)
+            if reading is not plain:
+                sparse[reading.at[start[~enough]]] = True
+            if wanted is not None:
+                begin, end = reading.at[start], np.append(reading.at, len(hashed))[start + k]
+                enough &= wanted[end] > wanted[begin]
+            start = start[enough]
+            yield k, reading.at[start], gram[enough].view(np.int64), lambda i, r=reading, s=start, k=k: r.slots(int(s[i]), k)
+        # Also where the plain words of a window, whatever is joined in it, are too few.
+        whole = np.flatnonzero(stands.left >= k)
+        for x in (hole | name, hole | name | maybe):
+            before = np.concatenate([[0], np.cumsum(x)])
+            sparse[whole[k - (before[whole + k] - before[whole]) < min(LITERALS, k - 1)]] = True
+        start, gram, _ = stands.windows(k, own)
+        here = sparse[start]
+        yield k, start[here], gram[here].view(np.int64), lambda i: []
 
 
 def _windows(columns: list[str], lengths: list[int] | None, bitmap: np.ndarray | None):
@@ -117,26 +177,20 @@ def _windows(columns: list[str], lengths: list[int] | None, bitmap: np.ndarray |
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, at in chunks(batch.column("text")):
-                words = split_words(data, at, ALNUM)
-                raw = data.tobytes()
+                words = numbers_joined(split_words(data, at, ALNUM))
                 owner = words.owner
-                size = np.diff(words.word_at)
                 tried = lengths or list(range(SHORTEST, WINDOW + 1))
                 rows, places, values, slots, widths = [], [], [], [], []
-                for k, start, value, hole in template_windows(words, tried):
-                    if lengths is None and k < WINDOW:
-                        keep = size[owner[start]] == k
-                        start, value = start[keep], value[keep]
-                    if bitmap is not None:
-                        keep = bitmap[value & (SLOTS - 1)]
-                        start, value = start[keep], value[keep]
-                    if not len(start):
+                for k, start, value, slot in template_windows(words, tried, lengths is None):
+                    here = np.arange(len(start)) if bitmap is None else np.flatnonzero(bitmap[value & (SLOTS - 1)])
+                    if not len(here):
                         continue
+                    start = start[here]
                     rows.append(first + owner[start])
                     places.append(start - words.word_at[owner[start]])
-                    values.append(value)
+                    values.append(value[here])
                     widths.append(np.full(len(start), k))
-                    slots += [_slots(words, raw, s, k, hole) for s in start.tolist()]
+                    slots += [slot(i) for i in here.tolist()]
                 if not rows:
                     continue
                 owners = pa.array(np.concatenate(rows))
@@ -164,8 +218,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ones) apart.  ``n_windows`` are the item's windows, ``n_matched`` those found in consistent
     alignments or unchanged in any, ``n_changed`` the placeholders with another value.  Null or empty texts and items
     match nothing; equal rows count as one; items of one id are parts of one item.  Items with
-    fewer than ``SHORTEST`` tokens or mostly placeholders cannot be told from ordinary text
-    and are not searched.
+    fewer than ``SHORTEST`` tokens cannot be told from ordinary text
+    and are not searched (``too_short`` gives them).
     """
     items = cut_lineage(
         benchmark.select("item_id", "text")
@@ -218,6 +272,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def too_short(benchmark: DataFrame) -> DataFrame:
+    """The items that ``leaks`` cannot search."""
+    sought = benchmark.select("item_id", "text").mapInArrow(_windows(["item_id"], None, None), f"item_id bigint, {_WINDOW_COLUMNS}")
+    return benchmark.join(sought.select("item_id").distinct(), "item_id", "left_anti")
+
+
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_windows, n_matched, n_changed`` of every leak."""
     return leaks(docs, benchmark).drop("x")
