@@ -160,15 +160,15 @@ class ByteNet:
 
 
 def training_sample(labelled: DataFrame, settings: Settings) -> DataFrame:
-    """At most ``per_lang`` rows ``text, lang`` of every language, by a hash of the id.
+    """At most ``per_lang`` rows ``text, lang`` of every language, by a hash of id and text.
 
     A share of each language is drawn that holds twice as many on average, so that a
     language with a third of all rows sends no more than a small one; the lowest hashes of
     those are taken.
     """
-    rows = labelled.select("text", "lang", F.xxhash64("doc_id").alias("h"))
+    rows = labelled.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     counts = cut_lineage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("k")))
-    share = F.col("k") * F.pmod("h", F.lit(1 << 30)) <= F.lit(2.0 * settings.per_lang * (1 << 30))
+    share = F.col("k").cast("double") * F.pmod("h", F.lit(1 << 30)) <= F.lit(2.0 * settings.per_lang * (1 << 30))
     drawn = rows.join(small_side(counts), "lang").filter(share)
     rank = F.expr("row_number() OVER (PARTITION BY lang ORDER BY h, text)")
     return drawn.select("lang", "text", "h", rank.alias("rank")).filter(F.col("rank") <= settings.per_lang)
