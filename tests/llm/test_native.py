@@ -140,3 +140,24 @@ def test_quality_keeps_columns_repeats_and_empty_tables(spark, docs):
     assert all(n == 2 for n in Counter(r.doc_id for r in kept.collect()).values())
     assert quality.quality_filter(docs.limit(0)).count() == 0
     assert quality.quality_report(docs.limit(0)).count() == 0
+
+
+def test_fences_follow_their_group(spark):
+    """A repeat that is common in one source is far out in another."""
+    import random
+
+    rng = random.Random(3)
+
+    def text(repeats):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(repeats):
+            at = rng.randrange(0, 190)
+            words += words[at : at + 3]
+        return " ".join(words)
+
+    rows = [(i, text(0), "en", "plain", 0) for i in range(300)]
+    rows += [(1000 + i, text(rng.randrange(0, 9)), "en", "forum", 0) for i in range(300)]
+    rows += [(5000, text(9), "en", "plain", 0), (6000, text(9), "en", "forum", 0)]
+    kept = {r.doc_id for r in quality.quality_filter(table(spark, rows)).collect()}
+    assert 6000 in kept and 5000 not in kept
+    assert len(kept) >= 595

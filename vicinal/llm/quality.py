@@ -13,17 +13,20 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "[#*$%&|<>]"
 #: Documents of its language that every (language, source) group is blended with.
 PRIOR = 50
-#: A fence lies this many quartile distances beyond its quartile.
+#: A fence lies this many times the distance of two quantiles beyond the outer one.
 FENCE = 3
 #: Significant bits that a sketch keeps of a value: a relative error of at most 1/32.
 BITS = 6
-#: Adaptive measures: (name, numerator, denominator, scale, slack of the fence, also from below).
+#: Adaptive measures: (name, numerator, denominator, scale, slack of the fence, inner and outer percentile, lower
+#: one).  Rates are 0 in most documents, so that their fences follow the median and the highest tenth; the slack is
+#: a few occurrences in a short document.
 MEASURES = (
-    ("symbol_rate", "n_symbols", "word_chars", 1000, 10, False),
-    ("repeat_rate", "n_repeat_words", "n_words", 1000, 300, False),
-    ("dup_line_rate", "n_dup_lines", "n_words", 1000, 40, False),
-    ("word_length", "word_chars", "n_words", 100, 150, True),
+    ("symbol_rate", "n_symbols", "word_chars", 1000, 10, 50, 90, None),
+    ("repeat_rate", "n_repeat_words", "n_words", 1000, 60, 50, 90, None),
+    ("dup_line_rate", "n_dup_lines", "n_words", 1000, 10, 50, 90, None),
+    ("word_length", "word_chars", "n_words", 100, 150, 25, 75, 25),
 )
+PERCENTILES = sorted({p for m in MEASURES for p in m[5:] if p is not None})
 
 
 def repeated_words(w: Column) -> Column:
@@ -109,7 +112,7 @@ def sketches(measured: DataFrame, lang: str, source: str) -> DataFrame:
     pairs = F.array(
         *(
             F.struct(F.lit(n).alias("name"), bucket(measure(a, b, k)).alias("bucket"))
-            for n, a, b, k, _, _ in MEASURES
+            for n, a, b, k, *_ in MEASURES
         )
     )
     sound = measured.filter(~F.col("base_failed")).select(
@@ -123,8 +126,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
     A group's sketch is merged with its language's, weighed down to ``PRIOR`` documents, so
     that small groups lean on their language and large ones stand alone, without a switch.
-    Fences lie ``FENCE`` quartile distances and a small slack beyond the quartiles, so that
-    a group of ordinary documents loses none, whatever its level is.
+    A fence lies ``FENCE`` times the distance of two quantiles and a small slack beyond the outer one, so that
+    a group of ordinary documents loses few, whatever its level is.
     """
     sketch = cut_lineage(sketch)
     wide = "decimal(38,0)"
@@ -154,18 +157,16 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     ranked = blended.select(
         "*", running.cast(wide).alias("up_to"), F.sum("weight").over(group).cast(wide).alias("whole")
     )
-    quartile = lambda q: F.min(F.when(F.col("up_to") * 4 >= F.col("whole") * q, F.col("bucket")))
-    quartiles = ranked.groupBy("lang", "source", "name").agg(
-        quartile(1).alias("q1"), quartile(3).alias("q3")
-    )
+    quantile = lambda p: F.min(F.when(F.col("up_to") * 100 >= F.col("whole") * p, F.col("bucket")))
+    quantiles = ranked.groupBy("lang", "source", "name").agg(*(quantile(p).alias(f"p{p}") for p in PERCENTILES))
     fences = []
-    for name, _, _, _, slack, below in MEASURES:
+    for name, _, _, _, slack, inner, outer, below in MEASURES:
         mine = F.col("name") == name
-        reach = (F.col("q3") - F.col("q1")) * FENCE + slack
-        low = F.col("q1") - reach if below else F.lit(-1)
+        reach = (F.col(f"p{outer}") - F.col(f"p{inner}")) * FENCE + slack
+        low = F.lit(-1) if below is None else F.col(f"p{below}") - reach
         fences.append(F.max(F.when(mine, low)).cast("bigint").alias(f"{name}_low"))
-        fences.append(F.max(F.when(mine, F.col("q3") + reach)).cast("bigint").alias(f"{name}_high"))
-    return quartiles.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*fences)
+        fences.append(F.max(F.when(mine, F.col(f"p{outer}") + reach)).cast("bigint").alias(f"{name}_high"))
+    return quantiles.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*fences)
 
 
 def judged(measured: DataFrame, lang: str, source: str) -> DataFrame:
@@ -179,7 +180,7 @@ def judged(measured: DataFrame, lang: str, source: str) -> DataFrame:
         "left",
     )
     held = ~F.col("base_failed")
-    for name, a, b, k, _, _ in MEASURES:
+    for name, a, b, k, *_ in MEASURES:
         held &= measure(a, b, k).between(F.col(f"{name}_low"), F.col(f"{name}_high"))
     return both.withColumn("kept", F.coalesce(held, F.lit(False))).drop(*limits.columns)
 
@@ -210,17 +211,17 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def _measured_sql() -> str:
     return ", ".join(
-        f"CAST({a} * {k} // greatest({b}, 1) AS BIGINT) AS {n}" for n, a, b, k, _, _ in MEASURES
+        f"CAST({a} * {k} // greatest({b}, 1) AS BIGINT) AS {n}" for n, a, b, k, *_ in MEASURES
     )
 
 
 def _held_sql() -> str:
     found = []
-    for name, _, _, _, slack, below in MEASURES:
-        reach = f"({FENCE} * (q3 - q1) + {slack})"
-        low = f"q1 - {reach}" if below else "-1"
+    for name, _, _, _, slack, inner, outer, below in MEASURES:
+        reach = f"({FENCE} * (p{outer} - p{inner}) + {slack})"
+        low = "-1" if below is None else f"p{below} - {reach}"
         found.append(
-            f"max(CASE WHEN name = '{name}' THEN CASE WHEN {name} BETWEEN {low} AND q3 + {reach} THEN 1 ELSE 0 END END)"
+            f"max(CASE WHEN name = '{name}' THEN CASE WHEN {name} BETWEEN {low} AND p{outer} + {reach} THEN 1 ELSE 0 END END)"
         )
     return " AND ".join(f"{x} = 1" for x in found)
 
@@ -268,12 +269,12 @@ blended AS (
 ranked AS (
   SELECT *, sum(weight) OVER (PARTITION BY lang, source, name ORDER BY bucket) AS up_to,
     sum(weight) OVER (PARTITION BY lang, source, name) AS whole FROM blended),
-quartiles AS (
-  SELECT lang, source, name, min(bucket) FILTER (4 * up_to >= whole) AS q1,
-    min(bucket) FILTER (4 * up_to >= 3 * whole) AS q3 FROM ranked GROUP BY ALL),
+quantiles AS (
+  SELECT lang, source, name, {", ".join(f"min(bucket) FILTER (100 * up_to >= {p} * whole) AS p{p}" for p in PERCENTILES)}
+  FROM ranked GROUP BY ALL),
 held AS (
   SELECT r, {_held_sql()} AS held
-  FROM failed f JOIN quartiles q ON f.lang IS NOT DISTINCT FROM q.lang AND f.source IS NOT DISTINCT FROM q.source
+  FROM failed f JOIN quantiles q ON f.lang IS NOT DISTINCT FROM q.lang AND f.source IS NOT DISTINCT FROM q.source
   GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(held, FALSE) AS kept
