@@ -189,3 +189,32 @@ def test_rules_hang_on_their_rarest_token(spark):
     assert set(url_rules.rule_index(rules, counts)) == {"rare", "com"}
     assert url_rules.judge_urls(pages.limit(0)).count() == 0
     assert url_rules.judge_urls(pages, rules=()).count() == 9
+
+
+def test_rules_of_a_table(spark):
+    rules = url_rules.read_rules(
+        spark.createDataFrame(
+            [("host", "block", "bad.org/"), ("token", "block", "casino"), ("token", "block", "casino"), (None, "block", "x")],
+            "kind string, verdict string, name string",
+        )
+    )
+    assert len(rules) == 2
+    urls = ["http://a.bad.org/x", "https://m.casino-win.de/", "https://big-casino.de", "https://casinos.de/casino", "https://x.de/?casino"]
+    pages = table(spark, [(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules).collect()}
+    assert found == {0: ("bad.org/", "block"), 1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow")}
+
+
+def test_documents_of_one_id_are_all_learned_from(spark):
+    rows = [(7, f"der die das {i}", "de") for i in range(400)] + [(8, f"the of and {i}", "en") for i in range(40)]
+    settings = langid.Settings()
+    drawn = langid.training_sample(table(spark, rows, "doc_id bigint, text string, lang string"), settings)
+    counts = {r.lang: r.n for r in drawn.groupBy("lang").count().withColumnRenamed("count", "n").collect()}
+    assert counts["en"] == 40 and settings.per_lang * 0.9 <= counts["de"] <= settings.per_lang
+
+
+def test_share_of_a_language_of_any_size(spark):
+    k = spark.range(1).selectExpr("cast(9e9 as bigint) as k", "cast(1073741823 as bigint) as h")
+    from pyspark.sql import functions as F
+
+    assert k.select(F.col("k").cast("double") * F.pmod("h", F.lit(1 << 30))).first()[0] > 9e18

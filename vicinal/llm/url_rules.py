@@ -35,9 +35,22 @@ def host_rule(verdict: str, name: str) -> Rule:
     return Rule(name, verdict, rf"^(?:[^/]*\.)?{re.escape(host.lower())}/{re.escape(path)}", tuple(tokens))
 
 
-def host_words_rule(verdict: str, words: str) -> Rule:
-    """A rule for hosts with a label that is ``words``, joined by hyphens."""
-    return Rule("", verdict, rf"^(?:[^/]*\.)?{re.escape(words)}\.[^/]*(?:/|$)", tuple(words.split("-")))
+def host_token_rule(verdict: str, token: str) -> Rule:
+    """A nameless rule for hosts one of whose words, parted by dots and hyphens, is ``token``."""
+    return Rule("", verdict, rf"^(?:[^/]*[.-])?{re.escape(token)}(?:[.-][^/]*)?(?:/|$)", tuple(re.findall(TOKEN, token)))
+
+
+#: Most rules that a table may hold: they are sent to every task.
+TABLE_RULES = 2_000_000
+
+
+def read_rules(table: DataFrame) -> list[Rule]:
+    """Rules of a table ``kind, verdict, name``: ``host`` rules (``host/path``) and ``token`` rules (a word of the host)."""
+    rows = table.select("kind", "verdict", "name").dropna().distinct().limit(TABLE_RULES + 1).collect()
+    if len(rows) > TABLE_RULES:
+        raise ValueError(f"more than {TABLE_RULES} rules")
+    make = {"host": host_rule, "token": host_token_rule}
+    return [make[r.kind](r.verdict, r.name) for r in sorted(rows)]
 
 
 #: Rules of the query: the given ones, then the method's own for the rest.
@@ -47,7 +60,9 @@ RULES = (
     host_rule("block", "example.com/de/"),
     host_rule("allow", "org/fr/"),
 )
-OWN_RULES = tuple(host_words_rule("block", w) for w in ("spam-farm", "cheap-pills", "free-casino"))
+#: Words of hosts that sell what no corpus wants, by a common notion of such hosts.
+HOST_WORDS = "spam ads adserver casino casinos poker bets betting gambling pills viagra cialis pharma porn xxx adult escort payday loans replica warez torrent".split()
+OWN_RULES = tuple(host_token_rule("block", w) for w in HOST_WORDS)
 DEFAULT = "allow"
 
 
