@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from registered.common import LEHMER, Registry, read, rounded
+from vicinal.operators.bucketed import BucketedTable
 from vicinal.operators.folds import AggregateFold, OrderedFold
 from vicinal.operators.keyed import KeyedTable, collect_lists
+from vicinal.operators.steps import StepFold
 
 R = Registry()
 # A third never ends in decimals, so no result sits on the edge between two roundings.
@@ -15,11 +20,11 @@ LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def orders(spark, sf_dir):
-    return KeyedTable.of(read(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice")
+    return KeyedTable.of(read(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", trusted=True)
 
 
 def customers(spark, sf_dir):
-    return KeyedTable.of(read(spark, sf_dir, "customer"), "c_custkey", "c_acctbal")
+    return KeyedTable.of(read(spark, sf_dir, "customer"), "c_custkey", "c_acctbal", trusted=True)
 
 
 def shown(table: KeyedTable, value: str = "value", digits: int = 4):
@@ -281,7 +286,7 @@ def upsert_chain(spark, sf_dir):
     for i in range(CHAIN):
         known = o.filter(F.col("o_custkey") % CHAIN == i).select("o_orderkey", (F.col("o_orderkey") + i).cast("double").alias("u"))
         fresh = spark.range(1).select(F.lit(-1 - i).cast("bigint"), F.lit(float(i)))
-        updates = KeyedTable.of(known.union(fresh), "o_orderkey", "u")
+        updates = KeyedTable.of(known.union(fresh), "o_orderkey", "u", trusted=True)
         table = table.multiput(updates, merge=lambda k, old, new: old + new)
     return shown(table)
 
@@ -317,7 +322,7 @@ _SPENDING = "spent AS (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders
 )
 def full_outer(spark, sf_dir):
     spent = _spending(spark, sf_dir).df.withColumn("c_custkey", F.col("c_custkey") + 100)
-    other = KeyedTable.of(spent, "c_custkey", "o_totalprice")
+    other = KeyedTable.of(spent, "c_custkey", "o_totalprice", trusted=True)
     joined = customers(spark, sf_dir).full_outer_join(
         other, lambda k, a, b: F.coalesce(a, F.lit(-1)) + F.coalesce(b, F.lit(-2))
     )
@@ -403,3 +408,101 @@ def diff(spark, sf_dir):
     )
     table = KeyedTable.of(ours, "o_orderkey", "v")
     return shown(table.diff(KeyedTable.of(theirs, "o_orderkey", "v")))
+
+
+# -- tables in buckets -----------------------------------------------------------------------
+
+
+def in_buckets(df, key, value, order=()):
+    """``df`` as a stored table of its own."""
+    return BucketedTable.store(df, key, value, f"keyed_{uuid.uuid4().hex}", order, buckets=8)
+
+
+@R.add(
+    "keyed_join_bucketed",
+    f"""WITH {_SPENDING},
+    last AS (SELECT o_custkey AS k, max_by(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) AS p
+      FROM orders GROUP BY o_custkey),
+    joined AS (SELECT l.k, l.p + coalesce(c.c_acctbal, 0) AS v FROM last l LEFT JOIN customer c ON c.c_custkey = l.k),
+    outer_joined AS (SELECT coalesce(j.k, s.k) AS k, coalesce(j.v, -1) + coalesce(s.s, -2) / 100 AS v
+      FROM joined j FULL JOIN (SELECT k + 100 AS k, s FROM spent) s ON j.k = s.k)
+    SELECT k AS o_custkey, round(v, 4) AS value FROM outer_joined""",
+)
+def join_bucketed(spark, sf_dir):
+    """Last prices, in buckets: a left join and an outer one, the table staying where it is."""
+    table = in_buckets(read(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", ["o_orderdate", "o_orderkey"])
+    spent = _spending(spark, sf_dir)
+    shifted = KeyedTable(spent.df.withColumn("c_custkey", F.col("c_custkey") + 100), spent.keys, spent.value)
+    joined = table.left_join(customers(spark, sf_dir), lambda k, a, b: a + F.coalesce(b, F.lit(0.0)))
+    joined = joined.full_outer_join(shifted, lambda k, a, b: F.coalesce(a, F.lit(-1.0)) + F.coalesce(b, F.lit(-2.0)) / 100)
+    return shown(joined)
+
+
+def _puts(lo, hi):
+    return " + ".join(f"CASE WHEN o.o_custkey % {CHAIN} >= {i} THEN o.o_orderkey % 100 + {i} ELSE 0 END" for i in range(lo, hi))
+
+
+@R.add(
+    "keyed_upsert_bucketed",
+    f"""SELECT o.o_orderkey, round(CASE WHEN o.o_custkey % 11 = 3 THEN 0 ELSE {_puts(0, 2)}
+        + CASE WHEN o.o_orderkey % 3 <> 0 THEN o.o_totalprice ELSE 0 END END + {_puts(2, CHAIN)}, 4) AS value
+    FROM orders o WHERE o.o_custkey % 11 <> 3 OR o.o_custkey % {CHAIN} >= 2""",
+)
+def upsert_bucketed(spark, sf_dir):
+    """A third of all keys is not stored: upserts change old keys and add new ones, step by step, with a delete
+    between two of them.  A key deleted and put again starts anew."""
+    o = read(spark, sf_dir, "orders")
+    table = in_buckets(o.filter(F.col("o_orderkey") % 3 != 0), "o_orderkey", "o_totalprice")
+    for i in range(CHAIN):
+        some = o.filter(F.col("o_custkey") % CHAIN >= i)
+        added = some.select("o_orderkey", (F.col("o_orderkey") % 100 + i).cast("double").alias("u"))
+        table = table.multiput(KeyedTable.of(added, "o_orderkey", "u", trusted=True), merge=lambda k, old, new: old + new)
+        if i == 1:
+            table = table.delete(o.filter(F.col("o_custkey") % 11 == 3).select("o_orderkey"))
+    return shown(table)
+
+
+@R.add(
+    "keyed_diff_stored",
+    """SELECT o_orderkey, round(o_totalprice, 4) AS value FROM orders
+    WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_orderstatus)""",
+)
+def diff_stored(spark, sf_dir):
+    """Two stored tables that differ in few keys: only the buckets of these are read."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    changed = o.groupBy("o_orderstatus").agg(F.min("o_orderkey").alias("o_orderkey")).select("o_orderkey", F.lit(1.0).alias("by"))
+    table = BucketedTable.store(o, "o_orderkey", "o_totalprice", f"keyed_{uuid.uuid4().hex}", buckets=64)
+    added = table.left_join(KeyedTable.of(changed, "o_orderkey", "by", trusted=True), lambda k, a, b: a + F.coalesce(b, F.lit(0.0)))
+    other = added.save(f"keyed_{uuid.uuid4().hex}")
+    return table.diff(other).select("o_orderkey", rounded("o_totalprice", 4).alias("value"))
+
+
+# -- folds of any step -------------------------------------------------------------------------
+
+
+@R.add(
+    "keyed_fold_stepwise",
+    """SELECT user_id, round(list_reduce(list(value::DOUBLE ORDER BY ts, event_id, value),
+      lambda a, x: CASE WHEN a > 100 THEN a / 3 - x ELSE abs(a - x) + 10 END), 4) AS value
+    FROM events WHERE value IS NOT NULL GROUP BY user_id""",
+)
+def fold_stepwise(spark, sf_dir):
+    """A step that depends on the accumulator's size, so that runs cannot be folded apart."""
+    fold = StepFold(["ts", "event_id"], f=lambda k, a, x: np.where(a > 100, a / 3 - x, np.abs(a - x) + 10))
+    events = read(spark, sf_dir, "events").withColumn("value", F.col("value").cast("double"))
+    return shown(KeyedTable.fold(events, "user_id", "value", fold))
+
+
+@R.add(
+    "keyed_update_join_stepwise",
+    f"""WITH s AS (SELECT l_orderkey AS k, list(l_extendedprice ORDER BY {", ".join(LINE_ORDER)}, l_extendedprice) AS us
+      FROM lineitem GROUP BY l_orderkey)
+    SELECT o_orderkey, round(CASE WHEN us IS NULL THEN o_totalprice
+      ELSE list_reduce(list_prepend(o_totalprice, us), lambda a, u: CASE WHEN u > a THEN a / 3 ELSE a - u / 2 END) END, 4) AS value
+    FROM orders LEFT JOIN s ON o_orderkey = k""",
+)
+def update_join_stepwise(spark, sf_dir):
+    """Lines are applied to their order one after the other."""
+    lines = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    fold = StepFold(LINE_ORDER, f=lambda k, a, u: np.where(u > a, a / 3, a - u / 2))
+    return shown(orders(spark, sf_dir).update_join(lines, "l_extendedprice", fold))

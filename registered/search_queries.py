@@ -15,6 +15,7 @@ from registered.common import (
     Registry,
     candidates_sql,
     index_sql,
+    moved,
     queries_of,
     read,
     rounded,
@@ -24,9 +25,12 @@ from vicinal.functions.vectors import COSINE
 from vicinal.operators import search
 from vicinal.operators.index import build_index
 from vicinal.operators.keyed import KeyedTable
+from vicinal.operators.probing import exact_knn_search, knn_probed
 from vicinal.plans.jobs import answer_stream, answer_table, index_text_file, index_vectors
 from vicinal.plans.sizing import work_path
+from vicinal.sources.index_store import compact_index, delete_vectors, load_index, upsert_vectors
 from vicinal.sources.messages import file_messages
+from vicinal.sources.pivot_store import load_pivot_vectors, save_pivot_vectors
 from vicinal.sources.text_vectors import vector_line
 from vicinal.sources.vector_store import load_vectors, save_vectors
 from vicinal.streaming.answers import preview, read_answers, read_rejects
@@ -35,6 +39,8 @@ R = Registry()
 FAMILY = PARAMS.family()
 PARTS = 4
 EXACT_CLOSE = 1.1
+#: Stated queries that meet all vectors: those whose id is divisible by this.
+EVERY = 100
 _NEAR = f"WITH {candidates_sql(FAMILY)}, {MEASURED}"
 
 
@@ -171,20 +177,87 @@ def _exact(name, radius, inclusive):
         )
 
 
+_EXACT = f"WITH {EMB}, {QRY} SELECT query_id, vec_id, round(list_distance(v, qv), 6) AS distance FROM emb, qry"
+
+
+@R.add("range_search_exact_rounds", f"{_EXACT} WHERE list_distance(v, qv) <= {EXACT_CLOSE}")
+def exact_rounds(spark, sf_dir):
+    """More queries than one block holds: they come to the vectors in rounds."""
+    data, queries = vectors(spark, sf_dir), queries_of(spark, sf_dir)
+    block = 8 * DIMENSION * 300
+    return _ids_and_distance(search.exact_radius_search(data, queries, EXACT_CLOSE, DIMENSION, block_bytes=block))
+
+
+@R.add("range_search_pivots", f"{_EXACT} WHERE list_distance(v, qv) <= 0.5")
+def exact_pivots(spark, sf_dir):
+    """Vectors laid out by pivots; cells that no query reaches are passed over."""
+    path = work_path(spark, "pivots")
+    save_pivot_vectors(vectors(spark, sf_dir), path, pivots=16, bands=4)
+    stored = load_pivot_vectors(spark, path)
+    return _ids_and_distance(search.exact_radius_search(stored, queries_of(spark, sf_dir), 0.5, DIMENSION))
+
+
+@R.add("knn_lsh_probed")
+def knn_of_all(spark, sf_dir):
+    """Ten answers for every query: neighbouring buckets are probed until there are enough candidates."""
+    near = knn_probed(_index(spark, sf_dir), vectors(spark, sf_dir), queries_of(spark, sf_dir), 10)
+    return near.select("query_id", "vec_id", rounded("distance").alias("distance"), "rank")
+
+
+@R.add(
+    "knn_exact",
+    f"""WITH {EMB}, {QRY} SELECT query_id, vec_id, round(list_distance(v, qv), 6) AS distance,
+      CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_distance(v, qv), vec_id) AS INTEGER) AS rank
+    FROM emb, qry WHERE query_id % {EVERY} = 0 QUALIFY rank <= 10""",
+)
+def knn_exact(spark, sf_dir):
+    """The stated queries against all vectors."""
+    queries = queries_of(spark, sf_dir).filter(F.col("query_id") % EVERY == 0)
+    near = exact_knn_search(vectors(spark, sf_dir), queries, 10, DIMENSION)
+    return near.select("query_id", "vec_id", rounded("distance").alias("distance"), "rank")
+
+
+_CHANGED = EMB.replace("emb AS", "stored AS") + f""", emb AS (
+  SELECT vec_id, CASE WHEN vec_id % 5 = 1 AND vec_id % 14 <> 2
+    THEN (SELECT qv FROM moved WHERE query_id = vec_id) ELSE v END AS v
+  FROM stored WHERE vec_id % 7 <> 2 OR vec_id % 14 = 2)"""
+_MOVED = QRY.replace("qry AS", "moved AS").replace("FROM emb", "FROM stored")
+
+
+@R.add(
+    "index_upsert_delete",
+    f"WITH {_CHANGED.replace(', emb AS', ', ' + _MOVED + ', emb AS')}, {index_sql(FAMILY).removeprefix(EMB + ', ')} "
+    "SELECT vec_id, table_id, array_to_string(bins, ',') AS bins FROM pkeys",
+)
+def index_changes(spark, sf_dir):
+    """A saved index changed by segments, compacted on the way, and read as one."""
+    data, path = vectors(spark, sf_dir), work_path(spark, "index")
+    index_vectors(data.filter(F.col("vec_id") % 4 != 0), PARAMS, path, PARTS)
+    near = data.withColumn("v", moved(F.col("v"), F.col("vec_id")))
+    upsert_vectors(data.filter(F.col("vec_id") % 4 == 0), path)
+    upsert_vectors(near.filter(F.col("vec_id") % 5 == 1), path)
+    compact_index(spark, path)
+    delete_vectors(data.filter(F.col("vec_id") % 7 == 2), path)
+    upsert_vectors(data.filter(F.col("vec_id") % 14 == 2), path)
+    text = F.array_join(F.col("bins").cast("array<string>"), ",").alias("bins")
+    return load_index(spark, path).whole.select("vec_id", "table_id", text)
+
+
 _exact("range_search_exact", RADIUS, True)
 _exact("range_search_exact_strict", EXACT_CLOSE, False)
 
 
 @R.add(
     "lsh_recall",
-    f"""{_NEAR}, found AS (SELECT query_id, count(*) AS found_count FROM near WHERE d <= {EXACT_CLOSE} GROUP BY query_id),
+    f"""WITH {candidates_sql(FAMILY, QRY.replace("FROM emb", f"FROM emb WHERE vec_id % {EVERY} = 0"))}, {MEASURED}, found AS (SELECT query_id, count(*) AS found_count FROM near WHERE d <= {EXACT_CLOSE} GROUP BY query_id),
     truth AS (SELECT query_id, count(*) AS exact_count FROM emb, qry
       WHERE list_distance(v, qv) <= {EXACT_CLOSE} GROUP BY query_id)
     SELECT query_id, exact_count, coalesce(found_count, 0) AS found_count,
       round(coalesce(found_count, 0) / exact_count, 6) AS recall FROM truth LEFT JOIN found USING (query_id)""",
 )
 def lsh_recall(spark, sf_dir):
-    data, queries = vectors(spark, sf_dir), queries_of(spark, sf_dir)
+    data = vectors(spark, sf_dir)
+    queries = queries_of(spark, sf_dir).filter(F.col("query_id") % EVERY == 0)
     found = search.radius_search(_index(spark, sf_dir), data, queries, EXACT_CLOSE, inclusive=True)
     exact = search.exact_radius_search(data, queries, EXACT_CLOSE, DIMENSION)
     result = search.recall(found, exact)
@@ -198,7 +271,7 @@ def lsh_recall(spark, sf_dir):
     WHERE list_distance(v, qv) < 1.4""",
 )
 def keyed_multifilter(spark, sf_dir):
-    table = KeyedTable.of(vectors(spark, sf_dir), "vec_id", "v")
+    table = KeyedTable.of(vectors(spark, sf_dir), "vec_id", "v", trusted=True)
     queries = queries_of(spark, sf_dir)
     shift = F.explode(F.sequence(F.lit(0), F.lit(4)))
     wanted = queries.select("query_id", shift.alias("s")).select(

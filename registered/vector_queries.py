@@ -17,7 +17,7 @@ from registered.common import (
     rounded,
     vectors,
 )
-from vicinal.functions import hashing, vectors as vf
+from vicinal.functions import hashing, sparse as sp, vectors as vf
 from vicinal.operators.index import bucket_keys, build_index, posting_lists
 from vicinal.plans.sizing import work_path
 from vicinal.sources.text_vectors import load_text_table, load_text_vectors, vector_line
@@ -219,3 +219,42 @@ def postings(spark, sf_dir):
     return lists.select(
         "table_id", text(F.col("bins")).alias("bins"), "segment", text(F.col("members")).alias("members")
     )
+
+
+# -- sparse vectors ----------------------------------------------------------------------
+
+SPARSE_SEED, SPARSE_FUNCTIONS, LEAST = 5, 6, 0.1
+_THINNED = "thin AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN abs(x) >= 0.1 THEN x ELSE 0 END) AS v FROM emb)"
+
+
+def _thinned(spark, sf_dir):
+    """Vectors without their small components, kept sparse."""
+    thin = F.transform("v", lambda x: F.when(F.abs(x) >= LEAST, x).otherwise(0.0))
+    return vectors(spark, sf_dir).select("vec_id", vf.dense_to_sparse(thin).alias("s"))
+
+
+@R.add(
+    "hash_sign_sparse",
+    f"""WITH {EMB}, {_THINNED},
+    planes AS (SELECT f, list({sp.entry_sql(SPARSE_SEED, "f", "d")} ORDER BY d) AS a
+      FROM range({SPARSE_FUNCTIONS}) AS fs(f), range(64) AS ds(d) GROUP BY f)
+    SELECT vec_id, string_agg(CASE WHEN list_dot_product(v, a) > 0 THEN '1' ELSE '0' END, '' ORDER BY f) AS bins
+    FROM thin, planes GROUP BY vec_id""",
+)
+def hash_sign_sparse(spark, sf_dir):
+    bins = sp.sign_signature(F.col("s"), SPARSE_SEED, SPARSE_FUNCTIONS)
+    return _thinned(spark, sf_dir).select("vec_id", F.array_join(bins.cast("array<string>"), "").alias("bins"))
+
+
+@R.add(
+    "vector_dot_sparse",
+    f"""WITH {EMB}, {_THINNED} SELECT a.vec_id, round(list_dot_product(a.v, b.v), 6) + 0.0 AS dot,
+      round(list_distance(a.v, b.v), 6) AS l2
+    FROM thin a JOIN thin b ON b.vec_id = a.vec_id + 1""",
+)
+def vector_dot_sparse(spark, sf_dir):
+    ours = _thinned(spark, sf_dir)
+    next_ones = ours.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("t"))
+    a, b = F.col("s"), F.col("t")
+    met = ours.join(next_ones, "vec_id")
+    return met.select("vec_id", (rounded(sp.sparse_dot(a, b)) + 0.0).alias("dot"), rounded(sp.sparse_l2(a, b)).alias("l2"))

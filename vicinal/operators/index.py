@@ -46,16 +46,31 @@ class IndexParams:
 
 @dataclass(frozen=True)
 class LshIndex:
-    """Hash family plus postings ``(table_id, bins, vec_id, sig[, part])``.
+    """Hash family plus postings ``(table_id, bins, vec_id, sig[, part, key])``.
 
     ``parts`` is the number of key partitions of a saved index (0 when not laid out);
-    then ``part`` is a partition column and a query reads only the parts it names.
+    then ``part`` is a partition column and a query reads only the parts it names.  ``fresh`` are postings of
+    vectors that were added to a saved index since; no vector is in both.  ``heavy`` holds the buckets
+    that were found large when the index was saved, ``(table_id, bins, part, n)``.
     """
 
     params: IndexParams
     family: HashFamily = field(repr=False)
     postings: DataFrame = field(repr=False)
     parts: int = 0
+    fresh: DataFrame | None = field(default=None, repr=False)
+    heavy: DataFrame | None = field(default=None, repr=False)
+
+    @property
+    def layers(self) -> list[DataFrame]:
+        """All postings, as the tables in which they lie."""
+        return [self.postings] if self.fresh is None else [self.postings, self.fresh]
+
+    @property
+    def whole(self) -> DataFrame:
+        """All postings ``(table_id, bins, vec_id, sig)``."""
+        shown = [layer.select("table_id", "bins", "vec_id", "sig") for layer in self.layers]
+        return shown[0] if len(shown) == 1 else shown[0].unionByName(shown[1])
 
 
 def bucket_keys(
@@ -72,11 +87,14 @@ def table_keys(signed: DataFrame, family: HashFamily, parts: int = 0, sig: str =
     return keys if not parts else keys.withColumn("part", key_part(F.col("bins"), family, parts))
 
 
+def layout_key(bins: Column, family: HashFamily) -> Column:
+    """One number for a bucket, by which postings are partitioned and sorted."""
+    return compact_key(bins, key_multipliers(family.num_functions, LAYOUT_SEED))
+
+
 def key_part(bins: Column, family: HashFamily, parts: int) -> Column:
     """Layout partition of a bucket."""
-    return bucket_partition(
-        compact_key(bins, key_multipliers(family.num_functions, LAYOUT_SEED)), parts
-    )
+    return bucket_partition(layout_key(bins, family), parts)
 
 
 def build_index(vectors: DataFrame, params: IndexParams) -> LshIndex:
@@ -96,7 +114,7 @@ def posting_lists(index: LshIndex, list_rows: int = LIST_ROWS) -> DataFrame:
     the whole list of a hot bucket.
     """
     return segmented_lists(
-        index.postings.select("table_id", "bins", "vec_id"),
+        index.whole.select("table_id", "bins", "vec_id"),
         ["table_id", "bins"],
         "vec_id",
         list_rows,

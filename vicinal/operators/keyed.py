@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vicinal.functions.vectors import L2, Metric
 from vicinal.operators import search
 from vicinal.operators.folds import AggregateFold, OrderedFold
+from vicinal.operators.steps import StepFold
 from vicinal.plans.sizing import cut_lineage, fits_bytes
 from vicinal.plans.skew import segmented_lists
 
@@ -65,10 +66,19 @@ class KeyedTable:
     # -- construction ------------------------------------------------------------------
 
     @classmethod
-    def of(cls, df: DataFrame, keys: str | Sequence[str], value: str) -> KeyedTable:
-        """Declare a frame whose keys are already unique; pairs whose keys may repeat, on
-        either side of an operation, go through ``from_pairs`` or ``fold``."""
+    def of(cls, df: DataFrame, keys: str | Sequence[str], value: str, trusted: bool = False) -> KeyedTable:
+        """A frame whose keys are unique; pairs whose keys may repeat, on
+        either side of an operation, go through ``from_pairs`` or ``fold``.
+
+        One count of the keys alone makes sure of it, and a repeated key is an error.  ``trusted`` says
+        that the keys are known to be unique (a primary key, the result of a grouping) and saves that.
+        """
         keys = _key_list(keys)
+        if not trusted:
+            counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            repeated = counts.filter(F.col("_n") > 1).limit(1).collect()
+            if repeated:
+                raise ValueError(f"key {tuple(repeated[0])[:-1]} stands {repeated[0]._n} times")
         return cls(df.select(*keys, value), tuple(keys), value)
 
     @classmethod
@@ -84,7 +94,7 @@ class KeyedTable:
         pairs: DataFrame,
         keys: str | Sequence[str],
         value: str,
-        how: AggregateFold | OrderedFold,
+        how: AggregateFold | OrderedFold | StepFold,
     ) -> KeyedTable:
         """Table from pairs with all values of a key folded into one."""
         keys = _key_list(keys)
@@ -252,14 +262,17 @@ class KeyedTable:
         self,
         pairs: DataFrame,
         value: str,
-        how: AggregateFold | OrderedFold,
-        f: Callable[..., Column],
+        how: AggregateFold | OrderedFold | StepFold,
+        f: Callable[..., Column] | None = None,
     ) -> KeyedTable:
         """Keep every key; where ``pairs`` has it, the value becomes ``f(key, old, folded)``.
 
         Repeated keys of ``pairs`` are first folded into one, so applying them one after
-        the other must equal applying their fold.
+        the other must equal applying their fold.  A ``StepFold`` does apply them one after the
+        other, onto the old value, and takes no ``f``.
         """
+        if isinstance(how, StepFold):
+            return KeyedTable(how.onto(self.df, pairs, self.keys, self.value, value), self.keys, self.value)
         other = KeyedTable.fold(pairs, self.keys, value, how)
         old, new = F.col(OLD), F.col(NEW)
         both = self._joined(other, "left")

@@ -9,6 +9,7 @@ hot query can overload.  Both give the same rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from vicinal.plans.sizing import (
     fits_bytes,
     row_budget,
     share,
+    work_path,
 )
 from vicinal.plans.skew import HEAVY_KEY_ROWS, salted_join, segmented_lists, spread
+from vicinal.sources.pivot_store import CELL, Cells, cells_of, nearest_pivot
 from vicinal.sources.vector_store import PART, id_part, parts_of
 
 #: Rows of one (hot key, segment) pair in a salted join.
@@ -106,16 +109,23 @@ def candidate_lists(
         if index.parts:
             # A filter on the key side lets Spark prune the partitions of the postings.
             keys = keys.filter(F.col("part") < index.parts)
-        met = index.postings.join(F.broadcast(keys), on)
+        met = [layer.join(F.broadcast(keys), on).select("vec_id", "table_id", "sig", "q_sig", "asked") for layer in index.layers]
     else:
         own = _row_hash("query_id")
         groups = segmented_lists(signed, ["q_sig"], "query_id", LIST_QUERIES, own)
         groups = groups.withColumnRenamed("members", "asked")
         keys = table_keys(groups, family, index.parts, "q_sig")
         group_hash = F.xxhash64("q_sig", "segment")
-        met = salted_join(index.postings, keys, on, _row_hash("vec_id"), group_hash, salt_cap)
+        # The keys of the queries are read for both layers and for their own count.
+        keys = cut_lineage(keys)
+        met = [
+            salted_join(layer, keys, on, _row_hash("vec_id"), group_hash, salt_cap, index.heavy).select(
+                "vec_id", "table_id", "sig", "q_sig", "asked"
+            )
+            for layer in index.layers
+        ]
     first = family.first_match(F.col("table_id"), F.col("sig"), F.col("q_sig"))
-    return met.filter(first).select("vec_id", "asked")
+    return reduce(DataFrame.unionByName, met).filter(first).select("vec_id", "asked")
 
 
 def measured(
@@ -364,56 +374,97 @@ def exact_radius_search(
 ) -> DataFrame:
     """Exhaustive range search ``(query_id, vec_id, distance)``; inclusive by default.
 
-    A query frame of one block is broadcast: the vectors are then scanned once, in
-    place, and only matches leave the tasks.  More queries than that meet the vectors
-    in bounded blocks of a grid, each block pair being one group of a shuffle.
+    The vectors stay in place.  A query frame of one block is broadcast and the vectors are scanned once; more
+    queries come in rounds of one block each.  Only matches leave the tasks.  Of a
+    table that is laid out by pivots (``load_pivot_vectors``) and measured by L2, a round reads only the cells that
+    a query of its block can reach, and within them measures only those queries.
     """
-    vectors = _identified(vectors.select("vec_id", "v"), "vec_id")
+    cells = cells_of(vectors) if metric.name == L2.name else None
+    vectors = _identified(vectors.select("vec_id", "v", *([CELL] if cells else [])), "vec_id")
     queries = _identified(queries.select("query_id", "qv"), "query_id")
     schema = _HITS.format(
         queries.schema["query_id"].dataType.simpleString(),
         vectors.schema["vec_id"].dataType.simpleString(),
     )
     rows = row_budget(8 * dimension, block_bytes)
+    scan = partial(_scan_round, vectors, cells, radius, dimension, inclusive, metric, schema)
     if _few(queries, rows):
-        return _scan_with_broadcast(vectors, queries, radius, dimension, inclusive, metric, schema)
-    return _grid_of_blocks(vectors, queries, radius, dimension, inclusive, metric, schema, rows)
+        return scan(queries)[0]
+    return _rounds(queries, cells, rows, scan, schema)
 
 
-def _scan_with_broadcast(vectors, queries, radius, dimension, inclusive, metric, schema):
+def _scan_round(vectors, cells, radius, dimension, inclusive, metric, schema, queries):
+    """The matches of one block of queries and what was shared for them."""
     block = queries.toArrow().combine_chunks()
     if not block.num_rows:
-        return queries.sparkSession.createDataFrame([], schema)
-    shared = share(queries.sparkSession, block)
-
-    def scan(batches):
-        held = shared.value
-        query_ids = held.column("query_id").combine_chunks()
-        q = matrix(held.column("qv").combine_chunks(), dimension)
-        for batch in batches:
-            x = matrix(batch.column("v"), dimension)
-            yield from _hits(batch.column("vec_id"), x, query_ids, q, radius, inclusive, metric)
-
-    return vectors.mapInArrow(scan, schema)
-
-
-def _grid_of_blocks(vectors, queries, radius, dimension, inclusive, metric, schema, rows):
-    # Half-full blocks on average leave room for the unevenness of the hash.
-    n_v = max(1, -(-2 * vectors.count() // rows))
-    n_q = max(1, -(-2 * queries.count() // rows))
-
-    def dealt(df, own, other, id_col, n_own, n_other):
-        return df.withColumn(own, F.pmod(spread(_row_hash(id_col)), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint")))
-        )
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ours, x, theirs, q = _both_sides(batches, dimension)
-        yield from _hits(ours["vec_id"], x, theirs["query_id"], q, radius, inclusive, metric)
-
-    left = dealt(vectors, "vb", "qb", "vec_id", n_v, n_q)
-    right = dealt(queries, "qb", "vb", "query_id", n_q, n_v)
-    return _meetings(left, right, ["vb", "qb"]).applyInArrow(meet, schema)
+        return queries.sparkSession.createDataFrame([], schema), []
+    sent = [share(queries.sparkSession, block)]
+    if cells is None:
+        return vectors.mapInArrow(partial(_scan, sent[0], radius, dimension, inclusive, metric), schema), sent
+    reached = cells.reached(matrix(block.column("qv").combine_chunks(), dimension), radius)
+    wanted = {int(c): np.flatnonzero(r) for c, r in zip(cells.ids, reached.T) if r.any()}
+    # A list of partitions: the files of the other cells are not opened.
+    near = vectors.filter(F.col(CELL).isin(list(wanted)))
+    sent.append(share(queries.sparkSession, wanted))
+    return near.mapInArrow(partial(_scan_cells, *sent, radius, dimension, inclusive, metric), schema), sent
+
+
+def _scan(shared, radius, dimension, inclusive, metric, batches):
+    held = shared.value
+    query_ids = held.column("query_id").combine_chunks()
+    q = matrix(held.column("qv").combine_chunks(), dimension)
+    for batch in batches:
+        x = matrix(batch.column("v"), dimension)
+        yield from _hits(batch.column("vec_id"), x, query_ids, q, radius, inclusive, metric)
+
+
+def _scan_cells(shared, wanted, radius, dimension, inclusive, metric, batches):
+    held = shared.value
+    query_ids = held.column("query_id").combine_chunks()
+    q = matrix(held.column("qv").combine_chunks(), dimension)
+    for batch in batches:
+        cell = batch.column(CELL).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(cell)) + 1), len(cell)]
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                few, part = wanted.value[int(cell[a])], batch.slice(a, b - a)
+                x = matrix(part.column("v"), dimension)
+                yield from _hits(part.column("vec_id"), x, query_ids.take(pa.array(few)), q[few], radius, inclusive, metric)
+
+
+def _rounds(queries: DataFrame, cells: Cells | None, rows: int, scan, schema: str) -> DataFrame:
+    """Blocks of about ``rows`` queries, one after the other; with cells, queries of neighbouring pivots share a block."""
+    queries = cut_lineage(queries if cells is None else queries.withColumn("at", nearest_pivot(F.col("qv"), cells.pivots)["pivot"]))
+    at = F.lit(0) if cells is None else F.col("at")
+    counts = {r.at: r.n for r in queries.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = work_path(queries.sparkSession, "hits")
+    queries.sparkSession.createDataFrame([], schema).write.parquet(found)
+    for group, parts in _blocks(counts, rows):
+        some = queries.filter(at.isin(group))
+        for i in range(parts):
+            dealt = some.filter(F.pmod(spread(_row_hash("query_id")), F.lit(parts)) == i)
+            hits, sent = scan(dealt.select("query_id", "qv"))
+            hits.write.mode("append").parquet(found)
+            for value in sent:
+                value.unpersist()
+    return queries.sparkSession.read.schema(schema).parquet(found)
+
+
+def _blocks(counts: dict[int, int], rows: int) -> list[tuple[list[int], int]]:
+    """Pivots whose queries make up a block, and in how many blocks the queries of a crowded pivot are dealt.
+
+    Dealt blocks are half full on average, to leave room for the unevenness of the hash.
+    """
+    found, group, held = [], [], 0
+    for pivot, n in sorted(counts.items()):
+        if n > rows:
+            found.append(([pivot], -(-2 * n // rows)))
+            continue
+        if held + n > rows:
+            found.append((group, 1))
+            group, held = [], 0
+        group, held = [*group, pivot], held + n
+    return [*found, (group, 1)] if group else found
 
 
 # -- recall ----------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from itertools import count
@@ -113,6 +113,26 @@ def staged_in(folder: str):
             value.destroy()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, on whatever storage it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settle(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()`` as a written table.  All that was staged on the way is removed, also if it fails."""
+    stage = _stage.get()
+    path = work_path(spark, "stage") if stage is None else f"{stage[0]}/{next(stage[1])}"
+    folder = work_path(spark, "scratch")
+    try:
+        with staged_in(folder):
+            df = build()
+            df.write.mode("overwrite").parquet(path)
+    finally:
+        remove(spark, folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def share(spark: SparkSession, value) -> Broadcast:
     """Send a value of checked size to the executors, for as long as ``staged_in`` lasts if
     that is in force."""
@@ -124,7 +144,8 @@ def share(spark: SparkSession, value) -> Broadcast:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder: worked out once, columnar, and
-    safe if executors are lost.  Tables stay there until the folder is emptied."""
+    safe if executors are lost.  Within ``settle`` a table goes when the whole is written; others
+    stay until the folder is emptied."""
     spark, stage = df.sparkSession, _stage.get()
     path = work_path(spark, "stage") if stage is None else f"{stage[0]}/{next(stage[1])}"
     df.write.mode("overwrite").parquet(path)

@@ -110,14 +110,20 @@ def salted_join(
     left_id: Column,
     right_id: Column | None,
     cap: int,
+    left_heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Inner equi-join on ``keys`` that splits hot keys of both sides, exactly.
 
     ``right_id=None`` declares ``keys`` unique on the right, so that only the left
-    is measured.  Each pair of rows meets in exactly one (left, right) segment.
+    is measured.  Each pair of rows meets in exactly one (left, right) segment.  ``left_heavy``
+    (``keys, n``) are known large keys of the left, which then is not counted; a key missed there
+    is not split, and no row depends on it.
     """
     keys = list(keys)
-    heavy = heavy_keys(left, keys, cap, "nl")
+    if left_heavy is None:
+        heavy = heavy_keys(left, keys, cap, "nl")
+    else:
+        heavy = left_heavy.filter(F.col("n") > cap).select(*keys, F.ceil(F.col("n") / cap).cast("bigint").alias("nl"))
     if right_id is None:
         heavy = heavy.withColumn("nr", F.lit(1).cast("bigint"))
     else:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.plans.skew import spread
-from vicinal.sources.index_store import next_build, published
+from vicinal.sources.index_store import check_published, next_build, published
 
 PART = "vec_part"
 LAYOUT_SCHEMA = "parts INT, id_type STRING, number BIGINT, build STRING"
@@ -37,6 +37,7 @@ def save_vectors(vectors: DataFrame, path: str, parts: int = 256) -> None:
     id_type = vectors.schema["vec_id"].dataType.simpleString()
     layout = spark.createDataFrame([(parts, id_type, number, build)], LAYOUT_SCHEMA)
     layout.coalesce(1).write.mode("append").json(f"{path}/layout")
+    check_published(spark, f"{path}/layout", number, build)
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
