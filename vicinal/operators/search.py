@@ -23,7 +23,6 @@ from vicinal.functions.vectors import L2, MEASURED_NUMBERS, Metric
 from vicinal.operators.index import LshIndex, table_keys
 from vicinal.plans.sizing import (
     BROADCAST_BYTES,
-    broadcast_if_fits,
     cut_lineage,
     fits,
     fits_bytes,
@@ -31,9 +30,9 @@ from vicinal.plans.sizing import (
     share,
     work_path,
 )
-from vicinal.plans.skew import HEAVY_KEY_ROWS, salted_join, segmented_lists, spread
+from vicinal.plans.skew import salted_join, segmented_lists, spread
 from vicinal.sources.pivot_store import CELL, Cells, cells_of, nearest_pivot
-from vicinal.sources.vector_store import PART, id_part, parts_of
+from vicinal.sources.vector_store import buckets_of, load_vectors, save_vectors
 
 #: Rows of one (hot key, segment) pair in a salted join.
 SALT_CAP = 100_000
@@ -44,8 +43,8 @@ BLOCK_BYTES = 32 * 1024 * 1024
 #: Queries of one signature that go through the salted join as one row.
 LIST_QUERIES = 4096
 
-#: Pairs measured in one meeting of a block of queries with the vectors they want.
-GRID_PAIRS = 1 << 22
+#: Wanted vectors that are looked up by their ids themselves.
+LITERAL_IDS = 200
 
 #: Rows of either side measured in one matrix product.
 TILE = 1024
@@ -148,37 +147,33 @@ def _measured(
     """Distances for ``(vec_id, asked)``; ``within = (radius, inclusive)`` keeps the near.
 
     Queries that fit are broadcast and each wanted vector is looked up once for all
-    queries that want it; otherwise vectors meet bounded blocks of queries.
+    queries that want it; more queries come in rounds of one block each.
     """
-    queries, parts = _identified(queries.select("query_id", "qv"), "query_id"), parts_of(vectors)
-    vectors = vectors.select("vec_id", "v", *([PART] if parts else []))
+    queries = _identified(queries.select("query_id", "qv"), "query_id")
+    stored = buckets_of(vectors) is not None
+    vectors = vectors.select("vec_id", "v")
     rows = row_budget(8 * dimension + 64) if broadcast_rows is None else broadcast_rows
     if _few(queries, rows):
-        asked = _asked_vectors(lists, vectors, parts, rows)
-        return _measure_with_broadcast(asked, queries.toArrow(), dimension, metric, within)
-    return _measure_in_grid(lists, queries, vectors, dimension, metric, within)
+        asked = _asked_vectors(lists, vectors, stored)
+        return _measure_with_broadcast(asked, queries.toArrow(), dimension, metric, within)[0]
+    return _measure_in_rounds(lists, queries, vectors, stored, dimension, metric, within)
 
 
-def _asked_vectors(lists, vectors, parts: int | None, rows: int) -> DataFrame:
+def _asked_vectors(lists, vectors, stored: bool) -> DataFrame:
     """``(vec_id, v, asked)``: each wanted vector with the queries that want it.
 
     No list is longer than the queries, which fit a broadcast.  Ids are unique on both
     sides of the join.
     """
-    lists = lists.groupBy("vec_id").agg(F.flatten(F.collect_list("asked")).alias("asked"))
-    if fits(vectors.select("vec_id"), rows):
-        return lists.join(F.broadcast(vectors), "vec_id").select("vec_id", "v", "asked")
-    lists = cut_lineage(lists)
+    lists = cut_lineage(lists.groupBy("vec_id").agg(F.flatten(F.collect_list("asked")).alias("asked")))
+    if stored and fits(lists, LITERAL_IDS):
+        # Of a table in buckets only those of the ids are opened, and row groups that may hold them.
+        ids = [r.vec_id for r in lists.select("vec_id").collect()]
+        vectors = vectors.filter(F.col("vec_id").isin(ids))
     (size,) = lists.agg(F.sum(64 + 8 * F.size("asked"))).first()
-    if (size or 0) > BROADCAST_BYTES:
-        # Long lists pack into small files: do not let their file size suggest a broadcast.
-        return vectors.join(lists.hint("merge"), "vec_id").select("vec_id", "v", "asked")
-    on = ["vec_id"]
-    if parts:
-        # Equality on the partition column: only parts that own a wanted id are read.
-        lists, on = lists.withColumn(PART, id_part(F.col("vec_id"), parts)), ["vec_id", PART]
-        lists = lists.filter(F.col(PART) < parts)
-    return vectors.join(F.broadcast(lists), on).select("vec_id", "v", "asked")
+    # Long lists pack into small files: do not let their file size suggest a broadcast.
+    small = (size or 0) <= BROADCAST_BYTES
+    return vectors.join(F.broadcast(lists) if small else lists.hint("merge"), "vec_id").select("vec_id", "v", "asked")
 
 
 def _hits_schema(asked: DataFrame) -> str:
@@ -205,10 +200,10 @@ def _list_hits(x, vec_ids, lists, q, query_ids, metric, within):
 
 
 def _measure_with_broadcast(asked: DataFrame, block: pa.Table, dimension, metric, within):
-    """Measure each vector against the queries that want it, on Arrow batches."""
+    """Measure each vector against the queries that want it, on Arrow batches; and what was shared."""
     schema = _hits_schema(asked)
     if not block.num_rows:
-        return asked.sparkSession.createDataFrame([], schema)
+        return asked.sparkSession.createDataFrame([], schema), []
     shared = share(asked.sparkSession, block.combine_chunks())
 
     def measure(batches):
@@ -219,59 +214,40 @@ def _measure_with_broadcast(asked: DataFrame, block: pa.Table, dimension, metric
             x, vec_ids = matrix(batch.column("v"), dimension), batch.column("vec_id")
             yield from _list_hits(x, vec_ids, batch.column("asked"), q, query_ids, metric, within)
 
-    return asked.mapInArrow(measure, schema)
+    return asked.mapInArrow(measure, schema), [shared]
 
 
-def _measure_in_grid(lists, queries, vectors, dimension, metric, within) -> DataFrame:
-    """The same for any number of queries, dealt over blocks by a hash of their id.
+def _measure_in_rounds(lists, queries, vectors, stored, dimension, metric, within) -> DataFrame:
+    """The same for any number of queries, a block of them after the other.
 
-    A vector is sent once to every block that holds a query wanting it, so no id is
-    hot.  A block wanted by many vectors, or for very many pairs, is copied to as many
-    segments as keep each meeting of vectors and queries small.
+    The pairs are worked out once and dealt by a hash of the query; each round sends those of its block to
+    the vectors.  A table in buckets stays in place for that; any other one is put into buckets first, once.
     """
+    spark = vectors.sparkSession
     rows = row_budget(8 * dimension, BLOCK_BYTES)
     # Half-full blocks on average leave room for the unevenness of the hash.
+    queries = cut_lineage(queries)
     blocks = max(1, -(-2 * queries.count() // rows))
     deal = F.pmod(spread(_row_hash("query_id")), F.lit(blocks).cast("bigint"))
-    pairs = lists.select(F.explode("asked").alias("query_id"), "vec_id")
-    asked = cut_lineage(
-        pairs.groupBy("vec_id", deal.alias("qb")).agg(F.collect_list("query_id").alias("asked"))
-    )
-    vector_load = F.ceil(2 * F.count(F.lit(1)) / F.lit(rows))
-    pair_load = F.ceil(2 * F.sum(F.size("asked")) / F.lit(GRID_PAIRS))
-    loads = asked.groupBy("qb").agg(F.greatest(vector_load, pair_load).alias("segments"))
-    loads = broadcast_if_fits(loads, HEAVY_KEY_ROWS)
-    segment = F.pmod(spread(_row_hash("vec_id")), F.col("segments"))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("segments") - 1))
-    left = vectors.join(asked.hint("merge"), "vec_id").join(loads, "qb")
-    left = left.withColumn("segment", segment).drop("segments", PART)
-    right = queries.withColumn("qb", deal).join(loads, "qb")
-    right = right.withColumn("segment", every).drop("segments")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ours, x, theirs, q = _both_sides(batches, dimension)
-        vec_ids, lists, query_ids = ours["vec_id"], ours["asked"], theirs["query_id"]
-        yield from _list_hits(x, vec_ids, lists, q, query_ids, metric, within)
-
-    return _meetings(left, right, ["qb", "segment"]).applyInArrow(meet, _hits_schema(asked))
-
-
-def _meetings(vectors: DataFrame, queries: DataFrame, by: list[str]):
-    """Vector and query rows side by side, grouped by where they meet."""
-    left = vectors.withColumnRenamed("v", "numbers").withColumn("of_query", F.lit(False))
-    right = queries.withColumnRenamed("qv", "numbers").withColumn("of_query", F.lit(True))
-    return left.unionByName(right, allowMissingColumns=True).groupBy(*by)
-
-
-def _both_sides(batches: Iterator[pa.RecordBatch], dimension: int):
-    """Columns and numbers of the vectors and of the queries of one meeting."""
-    rows = pa.Table.from_batches(list(batches))
-    of_query = rows.column("of_query")
-    sides = []
-    for side in (rows.filter(pc.invert(of_query)), rows.filter(of_query)):
-        columns = {name: side.column(name).combine_chunks() for name in side.column_names}
-        sides += [columns, matrix(columns["numbers"], dimension)]
-    return sides
+    pairs = lists.select(F.explode("asked").alias("query_id"), "vec_id").withColumn("block", deal)
+    path = work_path(spark, "pairs")
+    pairs.write.partitionBy("block").parquet(path)
+    pairs = spark.read.schema(pairs.schema).parquet(path)
+    if blocks > 1 and not stored:
+        path = work_path(spark, "vectors")
+        save_vectors(vectors, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        vectors, stored = load_vectors(spark, path), True
+    found, schema = work_path(spark, "hits"), None
+    for i in range(blocks):
+        block = queries.filter(deal == i).toArrow()
+        mine = pairs.filter(F.col("block") == i).select("vec_id", F.array("query_id").alias("asked"))
+        asked = _asked_vectors(mine, vectors, stored)
+        hits, sent = _measure_with_broadcast(asked, block, dimension, metric, within)
+        hits.write.mode("append").parquet(found)
+        schema = hits.schema
+        for value in sent:
+            value.unpersist()
+    return spark.read.schema(schema).parquet(found)
 
 
 # -- radius and k nearest --------------------------------------------------------------

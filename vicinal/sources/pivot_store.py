@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.hashing import matrix
 from vicinal.functions.vectors import MEASURED_NUMBERS
-from vicinal.sources.index_store import check_published, next_build, published
+from vicinal.sources.index_store import next_build, publish, published
 
 CELL = "cell"
 LAYOUT_SCHEMA = "dimension INT, id_type STRING, number BIGINT, build STRING"
@@ -83,9 +83,7 @@ def save_pivot_vectors(vectors: DataFrame, path: str, pivots: int = 64, bands: i
     cells.coalesce(1).write.mode("overwrite").parquet(f"{folder}/cells")
     rows = [(i, p.tolist()) for i, p in enumerate(chosen)]
     spark.createDataFrame(rows, PIVOTS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/pivots")
-    layout = spark.createDataFrame([(dimension, id_type, number, build)], LAYOUT_SCHEMA)
-    layout.coalesce(1).write.mode("append").json(f"{path}/layout")
-    check_published(spark, f"{path}/layout", number, build)
+    publish(spark, f"{path}/layout", (dimension, id_type, number, build), LAYOUT_SCHEMA, number, build)
 
 
 def _far_apart(x: np.ndarray, n: int) -> np.ndarray:

@@ -1,57 +1,55 @@
 """Vectors as a table laid out for look-ups by id.
 
-Rows are partitioned by a hash of the id and sorted by it within a file.  A search
-that has worked out a few candidate ids then reads only the partitions that own them
-(dynamic partition pruning) instead of scanning every vector.
+Rows lie in buckets of a hash of the id and are sorted by it within a file.  A search that has worked
+out few candidate ids reads only their buckets and, there, the row groups that may hold them; one with
+many candidates sends these to the buckets.  The vectors themselves are never shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.plans.skew import spread
-from vicinal.sources.index_store import check_published, next_build, published
+from vicinal.sources.index_store import next_build, publish, published
 
-PART = "vec_part"
 LAYOUT_SCHEMA = "parts INT, id_type STRING, number BIGINT, build STRING"
 
 
-def id_part(vec_id: Column, parts: int) -> Column:
-    """Partition that owns an id."""
-    return F.pmod(spread(F.xxhash64(vec_id)), F.lit(parts).cast("bigint")).cast("int")
-
-
 def save_vectors(vectors: DataFrame, path: str, parts: int = 256) -> None:
-    """Write ``(vec_id, v)`` partitioned by id, as a new build that the last step publishes."""
+    """Write ``(vec_id, v)`` in ``parts`` buckets of the id, as a new build that the last step publishes."""
     spark = vectors.sparkSession
     number, build = next_build(spark, f"{path}/layout")
-    laid_out = vectors.select("vec_id", "v", id_part(F.col("vec_id"), parts).alias(PART))
+    laid_out = vectors.select("vec_id", "v").repartition(parts, "vec_id")
     (
-        laid_out.hint("rebalance", PART)
-        .sortWithinPartitions(PART, "vec_id")
-        .write.mode("overwrite")
-        .partitionBy(PART)
-        .parquet(f"{path}/builds/{build}")
+        laid_out.write.bucketBy(parts, "vec_id")
+        .sortBy("vec_id")
+        .format("parquet")
+        .option("path", f"{path}/builds/{build}")
+        .option("parquet.bloom.filter.enabled#vec_id", "true")
+        .saveAsTable(_name(build))
     )
     id_type = vectors.schema["vec_id"].dataType.simpleString()
-    layout = spark.createDataFrame([(parts, id_type, number, build)], LAYOUT_SCHEMA)
-    layout.coalesce(1).write.mode("append").json(f"{path}/layout")
-    check_published(spark, f"{path}/layout", number, build)
+    publish(spark, f"{path}/layout", (parts, id_type, number, build), LAYOUT_SCHEMA, number, build)
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """``(vec_id, v, vec_part)``; the number of parts rides along as column metadata."""
+    """``(vec_id, v)``; the number of buckets rides along as column metadata."""
     layout = published(spark, f"{path}/layout", LAYOUT_SCHEMA)
-    rows = spark.read.schema(f"vec_id {layout['id_type']}, v ARRAY<DOUBLE>, {PART} INT").parquet(
-        f"{path}/builds/{layout['build']}"
-    )
-    part = F.col(PART).alias(PART, metadata={"parts": layout["parts"]})
-    return rows.select("vec_id", "v", part)
+    name = _name(layout["build"])
+    if not spark.catalog.tableExists(name):
+        # The catalog of this session does not know the files yet; they stay where they are.
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} (vec_id {layout['id_type']}, v ARRAY<DOUBLE>) USING parquet"
+            f" CLUSTERED BY (vec_id) SORTED BY (vec_id) INTO {layout['parts']} BUCKETS"
+            f" LOCATION '{path}/builds/{layout['build']}'"
+        )
+    return spark.table(name).select("vec_id", F.col("v").alias("v", metadata={"buckets": layout["parts"]}))
+
+
+def _name(build: str) -> str:
+    return f"vectors_{build}"
 
 
-def parts_of(vectors: DataFrame) -> int | None:
-    """Number of id partitions of a loaded vector table, None for any other frame."""
-    if PART not in vectors.columns:
-        return None
-    return vectors.schema[PART].metadata.get("parts")
+def buckets_of(vectors: DataFrame) -> int | None:
+    """Number of buckets of a loaded vector table, None for any other frame."""
+    return vectors.schema["v"].metadata.get("buckets")
