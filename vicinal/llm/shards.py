@@ -17,8 +17,9 @@ SHARDS = 24
 PRIME = 2147483647
 #: Hex digits of the key digest in each of its two numbers.
 DIGITS = 7
-#: Slots are numbered within this many ranges of the key hash in each shard.
-RANGES = 4096
+#: Slots are numbered within this many ranges of the key hash in each shard, and in each of those within so many
+#: of the text's checksum: rows of one key with different texts are dealt over these.
+RANGES, CRC_RANGES = 256, 64
 
 
 def shard_factors(shard: int) -> tuple[int, int, int, int]:
@@ -82,9 +83,10 @@ def manifest(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document.
 
     ``size`` is the text's UTF-8 bytes plus 8 (8 for a null text, whose checksum is null).
-    ``slot`` numbers the rows of a shard from 0 without a gap, in order of the key's hash and
-    then of the row.  Equal rows are counted first and numbered as a run, so that a hot
-    key is one row; the others are numbered in ranges of the hash, whose sizes are summed up.
+    ``slot`` numbers the rows of a shard from 0 without a gap, in order of ranges of the key's hash and of the
+    checksum and then of the row.  Equal rows are counted first and numbered as a run, so that a hot
+    row is one; the others are numbered within the ranges, whose sizes are summed up, so that a hot key with
+    different texts (a null one, say) is shared by many tasks.
     """
     text = F.col("text")
     rows = docs.select(
@@ -100,7 +102,10 @@ def manifest(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
         y.alias("y"),
         rendezvous(F.col("doc_id"), (1.0,) * n_shards).alias("shard"),
         rendezvous(F.col("doc_id"), (1.0,) * (n_shards + 1)).alias("grown_shard"),
-    ).withColumn("part", F.floor(F.col("x") * RANGES / F.lit(16**DIGITS)).cast("int"))
+    )
+    at_key = F.floor(F.col("x") * RANGES / F.lit(16**DIGITS))
+    at_text = F.floor(F.coalesce("text_crc32", F.lit(0)) * CRC_RANGES / F.lit(2**32))
+    placed = placed.withColumn("part", (at_key * CRC_RANGES + at_text).cast("int"))
     placed = cut_lineage(placed)
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut_lineage(
@@ -159,7 +164,8 @@ sums AS (
       lambda c, v: xor(c >> 4, [{_CRC}][1 + (xor(c, v) & 15)]::BIGINT))) END AS crc FROM nibbles)
 SELECT s.doc_id, coalesce(octet_length(encode(s.text)), 0)::BIGINT + 8 AS size, crc AS text_crc32,
   'key' AS law, now.shard,
-  row_number() OVER (PARTITION BY now.shard ORDER BY x, y, s.doc_id NULLS FIRST, size, crc NULLS FIRST) - 1 AS slot,
+  row_number() OVER (PARTITION BY now.shard ORDER BY x * {RANGES} // {16**DIGITS},
+    coalesce(crc, 0) * {CRC_RANGES} // {2**32}, x, y, s.doc_id NULLS FIRST, size, crc NULLS FIRST) - 1 AS slot,
   grown.shard AS grown_shard
 FROM sums s JOIN points p ON p.key = coalesce(CAST(s.doc_id AS VARCHAR), 'null')
 JOIN now ON now.key = p.key JOIN grown ON grown.key = p.key
