@@ -156,8 +156,19 @@ def test_fences_follow_their_group(spark):
         return " ".join(words)
 
     rows = [(i, text(0), "en", "plain", 0) for i in range(300)]
-    rows += [(1000 + i, text(rng.randrange(0, 9)), "en", "forum", 0) for i in range(300)]
-    rows += [(5000, text(9), "en", "plain", 0), (6000, text(9), "en", "forum", 0)]
+    rows += [(1000 + i, text(rng.randrange(0, 12)), "en", "forum", 0) for i in range(300)]
+    rows += [(5000, text(12), "en", "plain", 0), (6000, text(12), "en", "forum", 0)]
     kept = {r.doc_id for r in quality.quality_filter(table(spark, rows)).collect()}
     assert 6000 in kept and 5000 not in kept
     assert len(kept) >= 595
+
+
+def test_slots_of_one_key_with_many_texts(spark):
+    rows = [(None, f"text {i}", "en", "a", 0) for i in range(3000)] + [(i, "t", "en", "a", 0) for i in range(50)]
+    found = shards.manifest(table(spark, rows)).collect()
+    by_shard = defaultdict(list)
+    for r in found:
+        by_shard[r.shard].append(r.slot)
+    assert sum(map(len, by_shard.values())) == 3050
+    assert all(sorted(slots) == list(range(len(slots))) for slots in by_shard.values())
+    assert len({r.shard for r in found if r.doc_id is None}) == 1

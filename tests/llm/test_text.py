@@ -166,7 +166,7 @@ def test_escapes():
         ("http://x.net?/", "x.net", "", None, "allow"),
         ("http://a.spam-farm.example.org/en", "a.spam-farm.example.org", "/en", None, "block"),
         ("http://spam-farm.example.org/fr/1", "spam-farm.example.org", "/fr/1", "org/fr/", "allow"),
-        ("http://my-spam-farm.org/", "my-spam-farm.org", "/", None, "allow"),
+        ("http://my-spam-farm.org/", "my-spam-farm.org", "/", None, "block"),
         ("no scheme.net/", "", "", None, "allow"),
         ("a://b://c.net/", "b:", "//c.net/", None, "allow"),
         ("://net/", "net", "/", "net/", "block"),

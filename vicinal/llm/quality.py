@@ -22,7 +22,7 @@ BITS = 6
 #: a few occurrences in a short document.
 MEASURES = (
     ("symbol_rate", "n_symbols", "word_chars", 1000, 10, 50, 90, None),
-    ("repeat_rate", "n_repeat_words", "n_words", 1000, 60, 50, 90, None),
+    ("repeat_rate", "n_repeat_words", "n_words", 1000, 150, 50, 90, None),
     ("dup_line_rate", "n_dup_lines", "n_words", 1000, 10, 50, 90, None),
     ("word_length", "word_chars", "n_words", 100, 150, 25, 75, 25),
 )
