@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vicinal.llm import decontam, jaccard, mixing, quality, shards
-from vicinal.plans.sizing import work_path
+from vicinal.plans.sizing import remove, work_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -48,17 +48,19 @@ STAGES: list[tuple[str, Stage]] = [
     ("shards", sharding),
 ]
 
-#: SQL cannot express the similarity join; the tests compare ``run`` with plain loops.
+#: SQL cannot express the similarity join.  The tests compare ``run`` with its stages one after the other, and each
+#: stage's operator with plain loops or SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = work_path(spark, f"pipeline-{i}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """All stages over ``documents``; each but the last is written and read again, and removed once the next
+    one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        path = work_path(spark, f"pipeline-{i}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if last is not None:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
