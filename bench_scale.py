@@ -2,14 +2,17 @@
 
 The stored vectors of one scale factor are multiplied by turning their components
 (each turn is a new vector with the same statistics), the queries stay the same.
-Prints one JSON line per size.
+Settings come from the collision model, for a recall of 95 % of the planted neighbours.
+Prints one JSON line per size, with the bytes that a search shuffles (from Spark's event log).
 """
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -17,14 +20,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from registered import common
-from vicinal.operators import search
-from vicinal.operators.index import IndexParams
+from vicinal.operators import search, tuning
 from vicinal.plans.jobs import index_vectors
 from vicinal.plans.sizing import work_path
 from vicinal.session import local_session
 from vicinal.sources.vector_store import load_vectors, save_vectors
 
 RADIUS = 0.9
+#: Distance of a planted query from its vector, and how many of them are to be found.
+PLANTED, RECALL = 0.162, 0.95
 #: Bucket length of the comparator, and the largest size that it is run at.
 ML_WIDTH, ML_TURNS = 0.1, 10
 
@@ -52,13 +56,34 @@ def drained(make) -> float:
     return min(runs)
 
 
-def measure(spark, sf_dir: str, turns: int, functions: int, width: float, tables: int) -> dict:
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    total = 0
+    for path in glob.glob(f"{spark.conf.get('spark.eventLog.dir').removeprefix('file://')}/*"):
+        with open(path) as log:
+            for event in (json.loads(line) for line in log if "SparkListenerStageCompleted" in line and line.endswith("}\n")):
+                for a in event["Stage Info"]["Accumulables"]:
+                    if a["Name"] == "internal.metrics.shuffle.write.bytesWritten":
+                        total += int(a["Value"])
+    return total
+
+
+def moved(spark, make) -> float:
+    """MB that one run shuffles."""
+    before = shuffled(spark)
+    make().write.format("noop").mode("overwrite").save()
+    time.sleep(1)  # for the log
+    return round((shuffled(spark) - before) / 1e6, 1)
+
+
+def measure(spark, sf_dir: str, turns: int) -> dict:
     path = work_path(spark, "vectors")
     save_vectors(grown(spark, sf_dir, turns), path, parts=16)
     vectors = load_vectors(spark, path)
     queries = common.queries_of(spark, sf_dir).withColumn("query_id", F.col("query_id") * turns).cache()
     n_queries, n_vectors = queries.count(), vectors.count()
-    params = IndexParams(common.DIMENSION, functions, tables, width, seed=7)
+    tuned = tuning.tune(tuning.sampled_pairs(vectors, common.DIMENSION), PLANTED, common.DIMENSION, RECALL, max_tables=15, seed=7)
+    params = tuned.params
     index, build = clock(lambda: index_vectors(vectors, params, work_path(spark, "index"), parts=4))
     pairs = search.candidates(index, queries).count()
     hashed_search = lambda: search.radius_search(index, vectors, queries, RADIUS)
@@ -71,9 +96,13 @@ def measure(spark, sf_dir: str, turns: int, functions: int, width: float, tables
     return {
         "vectors": n_vectors,
         "queries": n_queries,
-        "functions": functions,
-        "width": width,
+        "functions": params.num_functions,
+        "width": round(params.bin_length, 3),
         "tables": len(params.family().tables),
+        "model": {"recall": round(tuned.recall, 4), "share_of_pairs": float(f"{tuned.load:.2g}")},
+        "share_of_pairs": float(f"{pairs / n_queries / n_vectors:.2g}"),
+        "hashed_mb_shuffled": moved(spark, hashed_search),
+        "exact_mb_shuffled": moved(spark, exact_search),
         "build_and_save_sec": build,
         "hashed_sec": hashed,
         "exact_sec": exact,
@@ -81,7 +110,7 @@ def measure(spark, sf_dir: str, turns: int, functions: int, width: float, tables
         "planted_recall": round(planted / n_queries, 4),
         "found": found.count(),
         "truth": truth.count(),
-    } | (comparator(vectors, queries, ML_WIDTH, tables) if turns <= ML_TURNS else {})
+    } | (comparator(vectors, queries, ML_WIDTH, 10) if turns <= ML_TURNS else {})
 
 
 def comparator(vectors, queries, width: float, tables: int) -> dict:
@@ -105,8 +134,10 @@ def comparator(vectors, queries, width: float, tables: int) -> dict:
 
 
 if __name__ == "__main__":
-    spark = local_session("8")
+    log = tempfile.mkdtemp(prefix="events-")
+    settings = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{log}", "spark.eventLog.compress": "false"}
+    spark = local_session("8", **settings, **{"spark.eventLog.rolling.enabled": "false", "spark.eventLog.buffer.kb": "1k"})
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     sizes = [int(x) for x in sys.argv[1:]] or [1, 10, 60]
     for turns in sizes:
-        print(json.dumps(measure(spark, sf_dir, turns, 8, 1.0, 10)), flush=True)
+        print(json.dumps(measure(spark, sf_dir, turns)), flush=True)
