@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from vicinal.functions.hashing import HashFamily, matrix
 from vicinal.functions.vectors import L2, Metric
 from vicinal.operators.index import LshIndex, key_part
-from vicinal.operators.search import _few, _identified, measured
+from vicinal.operators.search import Asked, _few, _identified, measured
 from vicinal.plans.sizing import cut_lineage, row_budget, share, work_path
 from vicinal.plans.skew import spread
 
@@ -207,7 +207,8 @@ def knn_probed(
     gave ``k`` candidates.  Rounds are as many as ``rounds`` has entries, however many queries there are.
     """
     dimension = index.params.dimension
-    asked = cut_lineage(_identified(queries.select("query_id", "qv"), "query_id"))
+    whole = Asked.of(queries)
+    asked = whole.df
     pending, found, done = asked, None, 0
     for last in rounds:
         met = probed_candidates(index, pending, done, last)
@@ -217,5 +218,5 @@ def knn_probed(
         if pending.isEmpty():
             break
     short = pending.select("query_id")
-    near = measured(found.join(short, "query_id", "left_anti"), asked, vectors, dimension, metric)
+    near = measured(found.join(short, "query_id", "left_anti"), whole, vectors, dimension, metric)
     return _nearest(near, k, metric).unionByName(exact_knn_search(vectors, pending, k, dimension, metric))

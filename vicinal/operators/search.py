@@ -9,6 +9,7 @@ hot query can overload.  Both give the same rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial, reduce
 
 import numpy as np
@@ -28,6 +29,7 @@ from vicinal.plans.sizing import (
     fits_bytes,
     row_budget,
     share,
+    width_of,
     work_path,
 )
 from vicinal.plans.skew import salted_join, segmented_lists, spread
@@ -62,6 +64,31 @@ def _few(queries: DataFrame, rows: int) -> bool:
     return fits(queries, rows) and fits_bytes(queries)
 
 
+@dataclass(frozen=True)
+class Asked:
+    """Queries ``(query_id, qv)`` as a written table, worked out and measured once for all steps of a search."""
+
+    df: DataFrame
+    rows: int
+    id_bytes: int
+    bytes: int
+
+    @classmethod
+    def of(cls, queries: DataFrame | Asked) -> Asked:
+        if isinstance(queries, cls):
+            return queries
+        df = cut_lineage(_identified(queries.select("query_id", "qv"), "query_id"))
+        ids, vectors = (F.coalesce(F.sum(width_of(df, c)), F.lit(0)) for c in ("query_id", "qv"))
+        rows, id_bytes, vector_bytes = df.agg(F.count(F.lit(1)), ids, vectors).first()
+        return cls(df, rows, id_bytes, id_bytes + vector_bytes)
+
+    def ids_fit(self, rows: int) -> bool:
+        return self.rows <= rows and self.id_bytes <= BROADCAST_BYTES
+
+    def fit(self, rows: int) -> bool:
+        return self.rows <= rows and self.bytes <= BROADCAST_BYTES
+
+
 def _identified(df: DataFrame, id_col: str) -> DataFrame:
     """``df`` whose ids are checked as they are read: a NULL id is an error in every plan."""
     kind = df.schema[id_col].dataType
@@ -74,7 +101,7 @@ def _identified(df: DataFrame, id_col: str) -> DataFrame:
 
 def candidates(
     index: LshIndex,
-    queries: DataFrame,
+    queries: DataFrame | Asked,
     broadcast_rows: int | None = None,
     salt_cap: int = SALT_CAP,
 ) -> DataFrame:
@@ -85,7 +112,7 @@ def candidates(
 
 def candidate_lists(
     index: LshIndex,
-    queries: DataFrame,
+    queries: DataFrame | Asked,
     broadcast_rows: int | None = None,
     salt_cap: int = SALT_CAP,
 ) -> DataFrame:
@@ -96,13 +123,13 @@ def candidate_lists(
     shuffle.  With few queries the postings are streamed past their broadcast keys.
     """
     family = index.family
-    queries = _identified(queries, "query_id")
-    signed = queries.select("query_id", family.signature(F.col("qv")).alias("q_sig"))
+    asked = Asked.of(queries)
+    signed = asked.df.select("query_id", family.signature(F.col("qv")).alias("q_sig"))
     on = ["table_id", "bins"] + (["part"] if index.parts else [])
     if broadcast_rows is None:
         row_bytes = 16 * (len(family.a) + family.num_functions + 8) * len(family.tables)
         broadcast_rows = row_budget(row_bytes)
-    if _few(queries.select("query_id"), broadcast_rows):
+    if asked.ids_fit(broadcast_rows):
         groups = signed.groupBy("q_sig").agg(F.collect_list("query_id").alias("asked"))
         keys = table_keys(groups, family, index.parts, "q_sig")
         if index.parts:
@@ -149,13 +176,13 @@ def _measured(
     Queries that fit are broadcast and each wanted vector is looked up once for all
     queries that want it; more queries come in rounds of one block each.
     """
-    queries = _identified(queries.select("query_id", "qv"), "query_id")
+    queries = Asked.of(queries)
     stored = buckets_of(vectors) is not None
     vectors = vectors.select("vec_id", "v")
     rows = row_budget(8 * dimension + 64) if broadcast_rows is None else broadcast_rows
-    if _few(queries, rows):
+    if queries.fit(rows):
         asked = _asked_vectors(lists, vectors, stored)
-        return _measure_with_broadcast(asked, queries.toArrow(), dimension, metric, within)[0]
+        return _measure_with_broadcast(asked, queries.df.toArrow(), dimension, metric, within)[0]
     return _measure_in_rounds(lists, queries, vectors, stored, dimension, metric, within)
 
 
@@ -226,8 +253,7 @@ def _measure_in_rounds(lists, queries, vectors, stored, dimension, metric, withi
     spark = vectors.sparkSession
     rows = row_budget(8 * dimension, BLOCK_BYTES)
     # Half-full blocks on average leave room for the unevenness of the hash.
-    queries = cut_lineage(queries)
-    blocks = max(1, -(-2 * queries.count() // rows))
+    blocks = max(1, -(-2 * queries.rows // rows))
     deal = F.pmod(spread(_row_hash("query_id")), F.lit(blocks).cast("bigint"))
     pairs = lists.select(F.explode("asked").alias("query_id"), "vec_id").withColumn("block", deal)
     path = work_path(spark, "pairs")
@@ -239,7 +265,7 @@ def _measure_in_rounds(lists, queries, vectors, stored, dimension, metric, withi
         vectors, stored = load_vectors(spark, path), True
     found, schema = work_path(spark, "hits"), None
     for i in range(blocks):
-        block = queries.filter(deal == i).toArrow()
+        block = queries.df.filter(deal == i).toArrow()
         mine = pairs.filter(F.col("block") == i).select("vec_id", F.array("query_id").alias("asked"))
         asked = _asked_vectors(mine, vectors, stored)
         hits, sent = _measure_with_broadcast(asked, block, dimension, metric, within)
@@ -270,6 +296,7 @@ def multifilter(
 
 
 def _lsh_measured(index, vectors, queries, metric, within, broadcast_rows, salt_cap):
+    queries = Asked.of(queries)
     lists = candidate_lists(index, queries, broadcast_rows, salt_cap)
     dimension = index.params.dimension
     return _measured(lists, queries, vectors, dimension, metric, within, broadcast_rows)

@@ -63,6 +63,11 @@ def _width(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(width.cast("bigint"), F.lit(0)) + 8
 
 
+def width_of(df: DataFrame, name: str) -> Column:
+    """Bytes of a value of a column."""
+    return _width(F.col(f"`{name}`"), df.schema[name].dataType)
+
+
 def fits_bytes(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True when all rows of ``df`` together take at most ``max_bytes``, by one sum."""
     whole = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
