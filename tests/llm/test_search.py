@@ -215,6 +215,69 @@ def test_lines_match_plain_loops(spark):
     assert templates.line_report(table(spark, [], PAIRS)).count() == 0
 
 
+def _line_places(spark, rows):
+    """Lines that stay, and those that plain loops keep."""
+    found = templates.drop_templates(table(spark, rows, PAIRS)).select("row.*", "kept_text").collect()
+    return {r.doc_id: r.kept_text for r in found}, templates.brute_force(rows)
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "{} replied to your comment on this page",
+        "posted by {} in the archive of letters today",
+        "the user {} {} has left this long conversation",
+        "{} {} {} sent you a message about the house",
+    ],
+)
+def test_variable_leading_words_are_wildcards(spark, line):
+    rows = [(i, f"own{i} words{i} here\n" + line.format(f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}", f"x{chr(97 + i)}z", f"y{chr(97 + i)}"))
+            for i in range(26)]
+    found, want = _line_places(spark, rows)
+    assert found == want
+    assert all(kept == f"own{i} words{i} here" for i, kept in found.items())
+
+
+def test_rare_leading_words_alone_are_no_template(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    # Four variable words ahead, lines of two words, and names that only one document repeats.
+    rows = [(i, f"a{c} b{c} c{c} d{c} is one of them\n{c}{c} left\n") for i, c in enumerate(letters)]
+    rows += [(30, "Zoe replied to them all at once\n" * 9), (31, None), (32, ""), (33, "\n \n")]
+    found, want = _line_places(spark, rows)
+    assert found == want == {i: text for i, text in rows}
+
+
+def test_repeated_rows_are_one_document_in_leading_words(spark):
+    rows = [(1, "Anna replied to your comment on this page")] * 7 + [(i, "and so on") for i in range(2, 5)]
+    found = templates.line_report(table(spark, rows, PAIRS)).collect()
+    assert len(found) == 10 and not any(r.n_dropped for r in found)
+
+
+def test_leading_words_counted_in_parts(monkeypatch):
+    """Counts do not depend on how often a task tells what it has gathered."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = ["\n".join(f"{rng.choice('abcdefgh')}q r{rng.choice('stuvw')} s" for _ in range(3)) for _ in range(60)]
+
+    def rare(size, gathered):
+        monkeypatch.setattr(templates, "_GATHERED", gathered)
+        monkeypatch.setattr(templates, "_KNOWN", 4)
+        monkeypatch.setattr("vicinal.llm.tokens.CHUNK_BYTES", 60)
+        batches = [
+            pa.record_batch([pa.array(range(i, i + size)), pa.array([7] * size), pa.array(texts[i : i + size])], names=["o", "x", "text"])
+            for i in range(0, 60, size)
+        ]
+        docs, full = {}, set()
+        for told in templates._leads(iter(batches), 20):
+            for r in told.to_pylist():
+                full.add(r["key"]) if r["o"] is None else docs.setdefault(r["key"], set()).add(r["o"])
+        return {k: v for k, v in docs.items() if k not in full and len(v) < 20}
+
+    whole = rare(60, 1 << 20)
+    assert whole == rare(10, 1) == rare(5, 40)
+
+
 # -- decontamination -------------------------------------------------------------------
 
 QUESTION = "A train leaves Paris at 9 hours and travels 300 km before it meets Bob on the way home to Paris."

@@ -1,8 +1,11 @@
 """Drop lines whose template recurs across documents.
 
 Lines are parsed as log lines are, by a tree of fixed depth: the first level is the number of
-tokens, the next ones are the leading tokens, with variable ones (those with a digit)
-generalised.  In a leaf that enough documents reach, every further position keeps its frequent
+tokens, the next ones are the leading tokens, with variable ones generalised.  A token with a
+digit is variable, and so is a leading one that fewer than ``DOCUMENTS`` documents have at its
+place in lines of its length: it goes to a wildcard child, which takes up no level, so that a leaf
+always stands on ``DEPTH`` tokens that recur.  A line that has too few of these among its first
+``LEADS`` tokens has no leaf and stays.  In a leaf that enough documents reach, every further position keeps its frequent
 tokens as they are and generalises the rest; that is the line's template.  A template that
 enough documents have, and that keeps enough constant tokens, is boilerplate.
 """
@@ -13,15 +16,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.llm.frames import small_side
 from vicinal.llm.tokens import byte_class, chunks, hash_series, mix, split_words
 from vicinal.plans.sizing import cut_lineage
 
-#: Leading tokens that lead to a leaf (all of them in a shorter line).
-DEPTH = 3
+#: Leading tokens that lead to a leaf (all of them in a shorter line), wildcards not counted, and
+#: the first tokens of a line among which they are looked for.
+DEPTH, LEADS = 3, 6
 #: Documents that make a leaf worth parsing and a template recurring, and lines (each once a
 #: document) that make a token of a leaf constant.
 DOCUMENTS = 5
@@ -29,8 +33,10 @@ DOCUMENTS = 5
 CONSTANT, FEWEST = 0.5, 3
 
 _DIGIT = byte_class(b"0123456789")
-_ANY, _SEED = hash_series(67, 2)
+_ANY, _SEED, _RARE, _PLACE = hash_series(67, 4)
 _LAST = 2**63 - 1
+#: Leading tokens gathered before they are counted, and frequent ones that a task remembers.
+_GATHERED, _KNOWN = 1 << 20, 1 << 20
 
 
 def _lines(data: np.ndarray, at: np.ndarray):
@@ -52,24 +58,108 @@ def _lines(data: np.ndarray, at: np.ndarray):
     return hashed, owner[first], line[first], np.append(first, len(owner))
 
 
-def _leaf_keys(hashed: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Leaf of each line: a hash of its number of tokens and its leading tokens."""
+def _lead_keys(hashed: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each leading token of each line (length of the line, place, token), and which there are."""
     size = np.diff(begin)
-    key = mix(size.astype(np.uint64) + _SEED)
-    for j in range(DEPTH):
-        has = size > j
-        key[has] = mix(key[has] ^ hashed[begin[:-1][has] + j])
-    return key.view(np.int64)
+    keys = np.zeros((len(size), LEADS), np.uint64)
+    has = size[:, None] > np.arange(LEADS)
+    for j in range(LEADS):
+        at = has[:, j]
+        place = mix(size[at].astype(np.uint64) * np.uint64(LEADS) + np.uint64(j) + _PLACE)
+        keys[at, j] = mix(hashed[begin[:-1][at] + j] ^ place)
+    return keys, has
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves of every document, each once."""
+def _leads(batches: Iterator[pa.RecordBatch], documents: int) -> Iterator[pa.RecordBatch]:
+    """Leading tokens without a digit, each once a document: ``key, o, x``.
+
+    A key that ``documents`` of those gathered have is told once, without a document, and passed
+    over from then on as long as the task remembers it.
+    """
+    gathered: list[np.ndarray] = []
+    known = np.zeros(0, np.int64)
+
+    def counted() -> tuple[pa.RecordBatch, np.ndarray]:
+        rows = np.concatenate(gathered, axis=1)
+        rows = rows[:, np.lexsort(rows[::-1])]
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+        rows = rows[:, new]
+        keys, of, n = np.unique(rows[0], return_inverse=True, return_counts=True)
+        full = keys[n >= documents]
+        key, o, x = rows[:, n[of] < documents]
+        told = np.concatenate([key, full]), np.arange(len(key) + len(full)) >= len(key)
+        empty = np.zeros(len(full), np.int64)
+        o, x = (pa.array(np.concatenate([c, empty]), pa.int64(), mask=told[1]) for c in (o, x))
+        return pa.record_batch([pa.array(told[0]), o, x], names=["key", "o", "x"]), full
+
     for batch in batches:
         o, x = (batch.column(c).to_numpy() for c in ("o", "x"))
         for first, data, at in chunks(batch.column("text")):
             hashed, owner, _, begin = _lines(data, at)
-            found = np.unique(np.stack([owner, _leaf_keys(hashed, begin)]), axis=1)
-            yield pa.record_batch([o[first + found[0]], x[first + found[0]], found[1]], names=["o", "x", "leaf"])
+            keys, has = _lead_keys(hashed, begin)
+            row, place = np.nonzero(has)
+            plain = hashed[begin[:-1][row] + place] != _ANY
+            pairs = np.unique(np.stack([owner[row], keys[row, place].view(np.int64)])[:, plain], axis=1)
+            pairs = pairs[:, ~np.isin(pairs[1], known)]
+            gathered.append(np.stack([pairs[1], o[first + pairs[0]], x[first + pairs[0]]]))
+            if sum(rows.shape[1] for rows in gathered) >= _GATHERED:
+                told, full = counted()
+                yield told
+                gathered, known = [], full if len(known) > _KNOWN else np.union1d(known, full)
+    if gathered:
+        yield counted()[0]
+
+
+def _rare_leads(keyed: DataFrame, documents: int) -> DataFrame:
+    """``o, x, rare``: the keys of a document's leading tokens that fewer than ``documents`` documents share.
+
+    Each task tells a key few times only, so that no key loads the task that counts it.
+    """
+    rows = keyed.mapInArrow(lambda batches: _leads(batches, documents), "key bigint, o bigint, x bigint")
+    same = Window.partitionBy("key")
+    counted = rows.repartition("key").distinct().select(
+        "*", F.count("o").over(same).alias("n"), F.max(F.isnull("o")).over(same).alias("full")
+    )
+    few = counted.filter(~F.col("full") & (F.col("n") < documents))
+    return few.groupBy("o", "x").agg(F.collect_list("key").alias("rare"))
+
+
+def _walks(hashed: np.ndarray, begin: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf of each line (a hash of its length and its way down), whether it has one, and the places of its wildcards
+    as bits.  ``rare`` tells the rare ones of the leading tokens."""
+    size = np.diff(begin)
+    held = (size[:, None] > np.arange(LEADS)) & ~rare
+    before = np.cumsum(held, axis=1) - held
+    way = (size[:, None] > np.arange(LEADS)) & (before < DEPTH)
+    key, wild = mix(size.astype(np.uint64) + _SEED), np.zeros(len(size), np.int32)
+    for j in range(LEADS):
+        on = way[:, j]
+        token = np.where(rare[on, j], _RARE, hashed[begin[:-1][on] + j])
+        key[on] = mix(key[on] ^ token)
+        wild[on & rare[:, j]] |= 1 << j
+    return key.view(np.int64), held.sum(axis=1) >= np.minimum(size, DEPTH), wild
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of every document that have a leaf."""
+    for batch in batches:
+        o, x = (batch.column(c).to_numpy() for c in ("o", "x"))
+        rare = batch.column("rare")
+        many, flat = rare.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), rare.flatten().to_numpy()
+        edges = np.concatenate([[0], np.cumsum(many)])
+        for first, data, at in chunks(batch.column("text")):
+            hashed, owner, line, begin = _lines(data, at)
+            last = first + len(at) - 1
+            # A key is rare or not in all documents alike, so that those of a chunk can be looked up together.
+            keys, has = _lead_keys(hashed, begin)
+            found = has & np.isin(keys.view(np.int64), flat[edges[first] : edges[last]])
+            leaf, reached, wild = _walks(hashed, begin, found)
+            owner = first + owner[reached]
+            yield pa.record_batch(
+                [o[owner], x[owner], line[reached].astype(np.int32), leaf[reached], wild[reached]],
+                names=["o", "x", "line", "leaf", "wild"],
+            )
 
 
 _PARSED = "o bigint, x bigint, line int, leaf bigint, id binary, tokens array<bigint>"
@@ -88,25 +178,27 @@ def _line_ids(hashed: np.ndarray, begin: np.ndarray) -> list[bytes]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of the wanted leaves of every document, as tokens after the leading ones."""
-    schema = pa.schema(
-        [("o", pa.int64()), ("x", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("id", pa.binary()), ("tokens", pa.list_(pa.int64()))]
-    )
+    """The wanted lines of every document as tokens, rare leading ones replaced."""
     for batch in batches:
         o, x = (batch.column(c).to_numpy() for c in ("o", "x"))
-        wanted = batch.column("leaves")
+        wanted = batch.column("lines")
+        edges = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))])
+        flat = wanted.flatten()
+        number, leaf, wild = (flat.field(c).to_numpy() for c in ("line", "leaf", "wild"))
         for first, data, at in chunks(batch.column("text")):
             hashed, owner, line, begin = _lines(data, at)
-            leaf, ids = _leaf_keys(hashed, begin), _line_ids(hashed, begin)
-            rows = []
-            edges = np.searchsorted(owner, np.arange(len(at)))
-            for i in range(len(at) - 1):
-                lines = np.arange(edges[i], edges[i + 1])
-                for j in lines[np.isin(leaf[lines], np.asarray(wanted[first + i].as_py(), np.int64))].tolist():
-                    tokens = hashed[begin[j] : begin[j + 1]].view(np.int64).tolist()
-                    rows.append((o[first + i], x[first + i], line[j], leaf[j], ids[j], tokens))
-            if rows:
-                yield pa.record_batch([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+            some = slice(edges[first], edges[first + len(at) - 1])
+            of = np.repeat(np.arange(len(at) - 1), np.diff(edges[first : first + len(at)]))
+            j = np.searchsorted((owner << 32) + line, (of << 32) + number[some])
+            for p in range(LEADS):
+                hashed[begin[j[(wild[some] >> p) & 1 == 1]] + p] = _RARE
+            ids = _line_ids(hashed, begin)
+            size = np.diff(begin)[j]
+            starts = np.concatenate([[0], np.cumsum(size)])
+            places = np.arange(starts[-1]) + np.repeat(begin[j] - starts[:-1], size)
+            tokens = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(hashed[places].view(np.int64)))
+            columns = [o[first + of], x[first + of], number[some], leaf[some], pa.array([ids[k] for k in j], pa.binary()), tokens]
+            yield pa.record_batch(columns, names=["o", "x", "line", "leaf", "id", "tokens"])
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,19 +230,26 @@ def boilerplate_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """
     keyed = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("o"), F.xxhash64("text").alias("x"), "text")
     key = ["o", "x"]
-    leaves = cut_lineage(keyed.mapInArrow(_leaves, "o bigint, x bigint, leaf bigint").distinct())
+    rare = cut_lineage(_rare_leads(keyed, documents))
+    told = keyed.join(small_side(rare), key, "left").select(*key, "text", "rare")
+    leaves = cut_lineage(told.mapInArrow(_leaves, "o bigint, x bigint, line int, leaf bigint, wild int"))
     reached = cut_lineage(
-        leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= documents).select("leaf")
+        leaves.select(*key, "leaf").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= documents).select("leaf")
     )
     wanted = cut_lineage(
-        leaves.join(small_side(reached), "leaf").groupBy(*key).agg(F.collect_list("leaf").alias("leaves"))
+        leaves.join(small_side(reached), "leaf")
+        .groupBy(*key)
+        .agg(F.collect_set(F.struct("line", "leaf", "wild")).alias("lines"))
     )
-    lines = cut_lineage(keyed.join(small_side(wanted), key).select(*key, "text", "leaves").mapInArrow(_parsed, _PARSED))
+    lines = cut_lineage(keyed.join(small_side(wanted), key).select(*key, "text", "lines").mapInArrow(_parsed, _PARSED))
     # A line counts once a document; equal lines of many documents add up before the shuffle.
     counts = lines.select(*key, "id").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("k"))
     same = lines.groupBy("id").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
     same = cut_lineage(same.join(counts, "id"))
-    places = same.select("id", "leaf", "k", F.posexplode("tokens").alias("i", "t")).filter(F.col("i") >= DEPTH)
+    any_token, rare_token = (F.lit(int(t.view(np.int64))) for t in (_ANY, _RARE))
+    places = same.select("id", "leaf", "k", F.posexplode("tokens").alias("i", "t")).filter(
+        (F.col("i") >= DEPTH) & (F.col("t") != rare_token)
+    )
     constant = cut_lineage(
         places.groupBy("leaf", "i", "t").agg(F.sum("k").alias("n")).filter(F.col("n") >= documents).drop("n")
     )
@@ -160,7 +259,7 @@ def boilerplate_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("fixed"))
     )
     nothing = F.array().cast("array<struct<i:int,t:bigint>>")
-    lead = F.filter(F.slice("tokens", 1, DEPTH), lambda t: t != F.lit(int(_ANY.view(np.int64))))
+    lead = F.filter(F.slice("tokens", 1, DEPTH), lambda t: ~t.isin(any_token, rare_token))
     templates = same.join(marked, "id", "left").select(
         "id", "leaf", F.size("tokens").alias("size"), F.size(lead).alias("leading"), F.coalesce("fixed", nothing).alias("fixed")
     )
@@ -204,12 +303,27 @@ def line_report(docs: DataFrame) -> DataFrame:
 def brute_force(rows: list[tuple], documents: int = DOCUMENTS) -> dict:
     """``doc_id -> kept text`` for a few documents of different ids, with plain loops."""
     general = lambda t: "<*>" if any(c in "0123456789" for c in t) else t
-    parsed = []
+    raw, having = [], {}
     for doc_id, text in rows:
         for i, line in enumerate((text or "").split("\n")):
-            tokens = tuple(general(t.decode()) for t in line.encode().split())
+            tokens = [general(t.decode()) for t in line.encode().split()]
             if tokens:
-                parsed.append((doc_id, i, (len(tokens), tokens[:DEPTH]), tokens))
+                raw.append((doc_id, i, tokens))
+            for j, t in enumerate(tokens[:LEADS]):
+                having.setdefault((len(tokens), j, t), set()).add(doc_id)
+    parsed = []
+    for doc_id, i, tokens in raw:
+        n, held, way = len(tokens), 0, []
+        for j, t in enumerate(tokens[:LEADS]):
+            if held == DEPTH:
+                break
+            if t != "<*>" and len(having[n, j, t]) < documents:
+                t = "<rare>"
+            else:
+                held += 1
+            way.append(t)
+        if held >= min(DEPTH, n):
+            parsed.append((doc_id, i, (n, *way), (*way, *tokens[len(way) :])))
     per_leaf: dict = {}
     for doc_id, _, leaf, tokens in parsed:
         per_leaf.setdefault(leaf, set()).add((doc_id, tokens))
@@ -223,8 +337,8 @@ def brute_force(rows: list[tuple], documents: int = DOCUMENTS) -> dict:
             for i, t in enumerate(tokens):
                 seen[i, t] = seen.get((i, t), 0) + 1
         for d, tokens in members:
-            fixed = tuple((i, t) for i, t in enumerate(tokens) if i >= DEPTH and seen[i, t] >= documents)
-            held = len(fixed) + sum(t != "<*>" for t in tokens[:DEPTH])
+            fixed = tuple((i, t) for i, t in enumerate(tokens) if i >= DEPTH and t != "<rare>" and seen[i, t] >= documents)
+            held = len(fixed) + sum(t not in ("<*>", "<rare>") for t in tokens[:DEPTH])
             if held >= min(FEWEST, len(tokens)) and held >= CONSTANT * len(tokens):
                 templates[leaf, tokens] = fixed
                 counts.setdefault((leaf, fixed), set()).add(d)
