@@ -265,13 +265,13 @@ def test_leading_words_counted_in_parts(monkeypatch):
         monkeypatch.setattr(templates, "_KNOWN", 4)
         monkeypatch.setattr("vicinal.llm.tokens.CHUNK_BYTES", 60)
         batches = [
-            pa.record_batch([pa.array(range(i, i + size)), pa.array([7] * size), pa.array(texts[i : i + size])], names=["o", "x", "text"])
+            pa.record_batch([pa.array(range(i, i + size))] * 3 + [pa.array(texts[i : i + size])], names=["d", "o", "x", "text"])
             for i in range(0, 60, size)
         ]
         docs, full = {}, set()
-        for told in templates._leads(iter(batches), 20):
+        for told in templates._leads(templates._heads(iter(batches)), 20):
             for r in told.to_pylist():
-                full.add(r["key"]) if r["o"] is None else docs.setdefault(r["key"], set()).add(r["o"])
+                full.add(r["key"]) if r["d"] is None else docs.setdefault(r["key"], set()).add(r["d"])
         return {k: v for k, v in docs.items() if k not in full and len(v) < 20}
 
     whole = rare(60, 1 << 20)

@@ -58,20 +58,52 @@ def _lines(data: np.ndarray, at: np.ndarray):
     return hashed, owner[first], line[first], np.append(first, len(owner))
 
 
-def _lead_keys(hashed: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each leading token of each line (length of the line, place, token), and which there are."""
-    size = np.diff(begin)
-    keys = np.zeros((len(size), LEADS), np.uint64)
+_HEADS = "d bigint, o bigint, x bigint, line array<int>, size array<int>, token array<bigint>"
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number, length and leading tokens of every line, as one row a document that has any."""
+    for batch in batches:
+        named = [batch.column(c).to_numpy() for c in ("d", "o", "x")]
+        for first, data, at in chunks(batch.column("text")):
+            hashed, owner, line, begin = _lines(data, at)
+            size = np.diff(begin)
+            some = np.minimum(size, LEADS)
+            starts = np.concatenate([[0], np.cumsum(some)])
+            tokens = hashed[np.arange(starts[-1]) + np.repeat(begin[:-1] - starts[:-1], some)]
+            docs, lines = np.unique(owner, return_index=True)
+            lines = np.append(lines, len(owner))
+            by_line, by_token = pa.array(lines, pa.int32()), pa.array(starts[lines], pa.int32())
+            yield pa.record_batch(
+                [
+                    *(c[first + docs] for c in named),
+                    pa.ListArray.from_arrays(by_line, pa.array(line, pa.int32())),
+                    pa.ListArray.from_arrays(by_line, pa.array(size, pa.int32())),
+                    pa.ListArray.from_arrays(by_token, pa.array(tokens.view(np.int64))),
+                ],
+                names=["d", "o", "x", "line", "size", "token"],
+            )
+
+
+def _opened(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Document, number and length of each line of ``_heads``, and its leading tokens (0 where it has none)."""
+    lines = batch.column("line")
+    owner = np.repeat(np.arange(batch.num_rows), lines.value_lengths().to_numpy(zero_copy_only=False))
+    size = batch.column("size").flatten().to_numpy()
     has = size[:, None] > np.arange(LEADS)
-    for j in range(LEADS):
-        at = has[:, j]
-        place = mix(size[at].astype(np.uint64) * np.uint64(LEADS) + np.uint64(j) + _PLACE)
-        keys[at, j] = mix(hashed[begin[:-1][at] + j] ^ place)
-    return keys, has
+    tokens = np.zeros(has.shape, np.uint64)
+    tokens[has] = batch.column("token").flatten().to_numpy().view(np.uint64)
+    return owner, lines.flatten().to_numpy(), size, tokens, has
+
+
+def _lead_keys(size: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Key of each leading token of each line: length of the line, place, token."""
+    place = size.astype(np.uint64)[:, None] * np.uint64(LEADS) + np.arange(LEADS, dtype=np.uint64) + _PLACE
+    return mix(tokens ^ mix(place)).view(np.int64)
 
 
 def _leads(batches: Iterator[pa.RecordBatch], documents: int) -> Iterator[pa.RecordBatch]:
-    """Leading tokens without a digit, each once a document: ``key, o, x``.
+    """Leading tokens without a digit, each once a document: ``key, d``.
 
     A key that ``documents`` of those gathered have is told once, without a document, and passed
     over from then on as long as the task remembers it.
@@ -87,56 +119,50 @@ def _leads(batches: Iterator[pa.RecordBatch], documents: int) -> Iterator[pa.Rec
         rows = rows[:, new]
         keys, of, n = np.unique(rows[0], return_inverse=True, return_counts=True)
         full = keys[n >= documents]
-        key, o, x = rows[:, n[of] < documents]
-        told = np.concatenate([key, full]), np.arange(len(key) + len(full)) >= len(key)
-        empty = np.zeros(len(full), np.int64)
-        o, x = (pa.array(np.concatenate([c, empty]), pa.int64(), mask=told[1]) for c in (o, x))
-        return pa.record_batch([pa.array(told[0]), o, x], names=["key", "o", "x"]), full
+        key, d = rows[:, n[of] < documents]
+        keys, many = np.concatenate([key, full]), len(key) + len(full)
+        d = pa.array(np.resize(np.append(d, 0), many), pa.int64(), mask=np.arange(many) >= len(d))
+        return pa.record_batch([pa.array(keys), d], names=["key", "d"]), full
 
     for batch in batches:
-        o, x = (batch.column(c).to_numpy() for c in ("o", "x"))
-        for first, data, at in chunks(batch.column("text")):
-            hashed, owner, _, begin = _lines(data, at)
-            keys, has = _lead_keys(hashed, begin)
-            row, place = np.nonzero(has)
-            plain = hashed[begin[:-1][row] + place] != _ANY
-            pairs = np.unique(np.stack([owner[row], keys[row, place].view(np.int64)])[:, plain], axis=1)
-            pairs = pairs[:, ~np.isin(pairs[1], known)]
-            gathered.append(np.stack([pairs[1], o[first + pairs[0]], x[first + pairs[0]]]))
-            if sum(rows.shape[1] for rows in gathered) >= _GATHERED:
-                told, full = counted()
-                yield told
-                gathered, known = [], full if len(known) > _KNOWN else np.union1d(known, full)
+        owner, _, size, tokens, has = _opened(batch)
+        row, place = np.nonzero(has & (tokens != _ANY))
+        pairs = np.stack([_lead_keys(size, tokens)[row, place], batch.column("d").to_numpy()[owner[row]]])
+        gathered.append(pairs[:, ~np.isin(pairs[0], known)])
+        if sum(rows.shape[1] for rows in gathered) >= _GATHERED:
+            told, full = counted()
+            yield told
+            gathered, known = [], full if len(known) > _KNOWN else np.union1d(known, full)
     if gathered:
         yield counted()[0]
 
 
-def _rare_leads(keyed: DataFrame, documents: int) -> DataFrame:
-    """``o, x, rare``: the keys of a document's leading tokens that fewer than ``documents`` documents share.
+def _rare_leads(heads: DataFrame, documents: int) -> DataFrame:
+    """``d, rare``: the keys of a document's leading tokens that fewer than ``documents`` documents share.
 
     Each task tells a key few times only, so that no key loads the task that counts it.
     """
-    rows = keyed.mapInArrow(lambda batches: _leads(batches, documents), "key bigint, o bigint, x bigint")
+    rows = heads.select("d", "line", "size", "token").mapInArrow(
+        lambda batches: _leads(batches, documents), "key bigint, d bigint"
+    )
     same = Window.partitionBy("key")
     counted = rows.repartition("key").distinct().select(
-        "*", F.count("o").over(same).alias("n"), F.max(F.isnull("o")).over(same).alias("full")
+        "*", F.count("d").over(same).alias("n"), F.max(F.isnull("d")).over(same).alias("full")
     )
     few = counted.filter(~F.col("full") & (F.col("n") < documents))
-    return few.groupBy("o", "x").agg(F.collect_list("key").alias("rare"))
+    return few.groupBy("d").agg(F.collect_list("key").alias("rare"))
 
 
-def _walks(hashed: np.ndarray, begin: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _walks(size: np.ndarray, tokens: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaf of each line (a hash of its length and its way down), whether it has one, and the places of its wildcards
     as bits.  ``rare`` tells the rare ones of the leading tokens."""
-    size = np.diff(begin)
-    held = (size[:, None] > np.arange(LEADS)) & ~rare
-    before = np.cumsum(held, axis=1) - held
-    way = (size[:, None] > np.arange(LEADS)) & (before < DEPTH)
+    has = size[:, None] > np.arange(LEADS)
+    held = has & ~rare
+    way = has & (np.cumsum(held, axis=1) - held < DEPTH)
     key, wild = mix(size.astype(np.uint64) + _SEED), np.zeros(len(size), np.int32)
     for j in range(LEADS):
         on = way[:, j]
-        token = np.where(rare[on, j], _RARE, hashed[begin[:-1][on] + j])
-        key[on] = mix(key[on] ^ token)
+        key[on] = mix(key[on] ^ np.where(rare[on, j], _RARE, tokens[on, j]))
         wild[on & rare[:, j]] |= 1 << j
     return key.view(np.int64), held.sum(axis=1) >= np.minimum(size, DEPTH), wild
 
@@ -145,21 +171,14 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of every document that have a leaf."""
     for batch in batches:
         o, x = (batch.column(c).to_numpy() for c in ("o", "x"))
-        rare = batch.column("rare")
-        many, flat = rare.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), rare.flatten().to_numpy()
-        edges = np.concatenate([[0], np.cumsum(many)])
-        for first, data, at in chunks(batch.column("text")):
-            hashed, owner, line, begin = _lines(data, at)
-            last = first + len(at) - 1
-            # A key is rare or not in all documents alike, so that those of a chunk can be looked up together.
-            keys, has = _lead_keys(hashed, begin)
-            found = has & np.isin(keys.view(np.int64), flat[edges[first] : edges[last]])
-            leaf, reached, wild = _walks(hashed, begin, found)
-            owner = first + owner[reached]
-            yield pa.record_batch(
-                [o[owner], x[owner], line[reached].astype(np.int32), leaf[reached], wild[reached]],
-                names=["o", "x", "line", "leaf", "wild"],
-            )
+        owner, line, size, tokens, has = _opened(batch)
+        # A key is rare or not in all documents alike, so that those of a batch can be looked up together.
+        rare = has & np.isin(_lead_keys(size, tokens), batch.column("rare").flatten().to_numpy())
+        leaf, reached, wild = _walks(size, tokens, rare)
+        owner = owner[reached]
+        yield pa.record_batch(
+            [o[owner], x[owner], line[reached], leaf[reached], wild[reached]], names=["o", "x", "line", "leaf", "wild"]
+        )
 
 
 _PARSED = "o bigint, x bigint, line int, leaf bigint, id binary, tokens array<bigint>"
@@ -230,8 +249,10 @@ def boilerplate_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """
     keyed = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("o"), F.xxhash64("text").alias("x"), "text")
     key = ["o", "x"]
-    rare = cut_lineage(_rare_leads(keyed, documents))
-    told = keyed.join(small_side(rare), key, "left").select(*key, "text", "rare")
+    heads = cut_lineage(keyed.withColumn("d", F.xxhash64(*key)).mapInArrow(_heads, _HEADS))
+    # Heads take about a quarter of the texts' bytes; a document repeated in many rows is split by adaptive execution.
+    rare = cut_lineage(_rare_leads(heads, documents))
+    told = heads.join(rare.hint("merge"), "d", "left").select(*key, "line", "size", "token", "rare")
     leaves = cut_lineage(told.mapInArrow(_leaves, "o bigint, x bigint, line int, leaf bigint, wild int"))
     reached = cut_lineage(
         leaves.select(*key, "leaf").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= documents).select("leaf")
