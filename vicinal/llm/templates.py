@@ -36,7 +36,7 @@ _DIGIT = byte_class(b"0123456789")
 _ANY, _SEED, _RARE, _PLACE = hash_series(67, 4)
 _LAST = 2**63 - 1
 #: Leading tokens gathered before they are counted, and frequent ones that a task remembers.
-_GATHERED, _KNOWN = 1 << 20, 1 << 20
+_GATHERED, _KNOWN = 1 << 18, 1 << 20
 
 
 def _lines(data: np.ndarray, at: np.ndarray):
