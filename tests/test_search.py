@@ -405,3 +405,40 @@ def test_planted_neighbours_are_found(spark, sf_dir):
     found = search.radius_search(build_index(vectors, EMBEDDED), vectors, queries, 0.2)
     hits = found.filter("query_id = vec_id").count()
     assert hits / queries.count() > 0.9
+
+
+def _no_driver(monkeypatch, frame):
+    def refused(*_):
+        raise AssertionError("queries came to the driver")
+
+    monkeypatch.setattr(type(frame), "toArrow", refused)
+    monkeypatch.setattr(search, "share", refused)
+
+
+@pytest.mark.parametrize("k", [None, 3], ids=["radius", "knn"])
+def test_blocks_of_queries_pass_no_driver(tables, data, monkeypatch, k):
+    vectors, queries = tables
+    _no_driver(monkeypatch, queries)
+    monkeypatch.setattr(search, "BLOCK_BYTES", 8 * DIM * 30)
+    monkeypatch.setattr(search, "SLICE", 7)
+    d, index = true_distances(*data), build_index(vectors, PARAMS)
+    if k is None:
+        near = search.radius_search(index, vectors, queries, 2.5, **BIG)
+        assert pairs(near) == {(j, i) for j, i in true_candidates(*data) if d[i, j - 1000] < 2.5}
+        return
+    met = defaultdict(list)
+    for j, i in true_candidates(*data):
+        met[j].append((d[i, j - 1000], i))
+    wanted = {(j, i) for j, found in met.items() for _, i in sorted(found)[:k]}
+    found = pairs(search.knn_search(index, vectors, queries, k, **BIG))
+    assert len(found) == len(wanted) and {j for j, _ in found} == {j for j, _ in wanted}
+
+
+def test_lists_of_long_ids_are_not_broadcast(spark, tables, monkeypatch):
+    """Lists are measured by the bytes of their ids."""
+    vectors, _ = tables
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 10_000)
+    ids = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.repeat(F.lit("x"), 200), i.cast("string")))
+    met = search._asked_vectors(spark.range(50).select(F.col("id").alias("vec_id"), ids.alias("asked")), vectors, False)
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 50

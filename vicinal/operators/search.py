@@ -34,7 +34,7 @@ from vicinal.plans.sizing import (
 )
 from vicinal.plans.skew import salted_join, segmented_lists, spread
 from vicinal.sources.pivot_store import CELL, Cells, cells_of, nearest_pivot
-from vicinal.sources.vector_store import buckets_of, load_vectors, save_vectors
+from vicinal.sources.vector_store import buckets_of
 
 #: Rows of one (hot key, segment) pair in a salted join.
 SALT_CAP = 100_000
@@ -51,6 +51,15 @@ LITERAL_IDS = 200
 #: Rows of either side measured in one matrix product.
 TILE = 1024
 
+#: Queries of one list that a vector carries to a block at a time.
+SLICE = 1024
+
+#: Matches of one tile of queries that are held until they are put in order.
+HELD_HITS = 1 << 20
+
+#: Cells of a grid for each core, where there are enough rows for them.
+CELLS_A_CORE = 3
+
 _HITS = "query_id {}, vec_id {}, distance DOUBLE"
 
 
@@ -74,10 +83,11 @@ class Asked:
     bytes: int
 
     @classmethod
-    def of(cls, queries: DataFrame | Asked) -> Asked:
+    def of(cls, queries: DataFrame | Asked, *kept: str) -> Asked:
+        """``queries``, with further columns that the table is to keep."""
         if isinstance(queries, cls):
             return queries
-        df = cut_lineage(_identified(queries.select("query_id", "qv"), "query_id"))
+        df = cut_lineage(_identified(queries.select("query_id", "qv", *kept), "query_id"))
         ids, vectors = (F.coalesce(F.sum(width_of(df, c)), F.lit(0)) for c in ("query_id", "qv"))
         rows, id_bytes, vector_bytes = df.agg(F.count(F.lit(1)), ids, vectors).first()
         return cls(df, rows, id_bytes, id_bytes + vector_bytes)
@@ -174,16 +184,17 @@ def _measured(
     """Distances for ``(vec_id, asked)``; ``within = (radius, inclusive)`` keeps the near.
 
     Queries that fit are broadcast and each wanted vector is looked up once for all
-    queries that want it; more queries come in rounds of one block each.
+    queries that want it; more queries meet the vectors in the tasks, block by block.
     """
     queries = Asked.of(queries)
-    stored = buckets_of(vectors) is not None
+    parts = buckets_of(vectors)
     vectors = vectors.select("vec_id", "v")
     rows = row_budget(8 * dimension + 64) if broadcast_rows is None else broadcast_rows
     if queries.fit(rows):
-        asked = _asked_vectors(lists, vectors, stored)
-        return _measure_with_broadcast(asked, queries.df.toArrow(), dimension, metric, within)[0]
-    return _measure_in_rounds(lists, queries, vectors, stored, dimension, metric, within)
+        asked = _asked_vectors(lists, vectors, parts is not None)
+        block = queries.df.select("query_id", "qv").toArrow()
+        return _measure_with_broadcast(asked, block, dimension, metric, within)
+    return _measure_in_blocks(lists, queries, vectors, parts, dimension, metric, within)
 
 
 def _asked_vectors(lists, vectors, stored: bool) -> DataFrame:
@@ -197,7 +208,7 @@ def _asked_vectors(lists, vectors, stored: bool) -> DataFrame:
         # Of a table in buckets only those of the ids are opened, and row groups that may hold them.
         ids = [r.vec_id for r in lists.select("vec_id").collect()]
         vectors = vectors.filter(F.col("vec_id").isin(ids))
-    (size,) = lists.agg(F.sum(64 + 8 * F.size("asked"))).first()
+    (size,) = lists.agg(F.sum(64 + width_of(lists, "asked"))).first()
     # Long lists pack into small files: do not let their file size suggest a broadcast.
     small = (size or 0) <= BROADCAST_BYTES
     return vectors.join(F.broadcast(lists) if small else lists.hint("merge"), "vec_id").select("vec_id", "v", "asked")
@@ -226,11 +237,11 @@ def _list_hits(x, vec_ids, lists, q, query_ids, metric, within):
         )
 
 
-def _measure_with_broadcast(asked: DataFrame, block: pa.Table, dimension, metric, within):
-    """Measure each vector against the queries that want it, on Arrow batches; and what was shared."""
+def _measure_with_broadcast(asked: DataFrame, block: pa.Table, dimension, metric, within) -> DataFrame:
+    """Measure each vector against the queries that want it, on Arrow batches."""
     schema = _hits_schema(asked)
     if not block.num_rows:
-        return asked.sparkSession.createDataFrame([], schema), []
+        return asked.sparkSession.createDataFrame([], schema)
     shared = share(asked.sparkSession, block.combine_chunks())
 
     def measure(batches):
@@ -241,39 +252,80 @@ def _measure_with_broadcast(asked: DataFrame, block: pa.Table, dimension, metric
             x, vec_ids = matrix(batch.column("v"), dimension), batch.column("vec_id")
             yield from _list_hits(x, vec_ids, batch.column("asked"), q, query_ids, metric, within)
 
-    return asked.mapInArrow(measure, schema), [shared]
+    return asked.mapInArrow(measure, schema)
 
 
-def _measure_in_rounds(lists, queries, vectors, stored, dimension, metric, within) -> DataFrame:
-    """The same for any number of queries, a block of them after the other.
+def _measure_in_blocks(lists, queries, vectors, parts, dimension, metric, within) -> DataFrame:
+    """The same for any number of queries, which meet the vectors in the tasks and pass no driver.
 
-    The pairs are worked out once and dealt by a hash of the query; each round sends those of its block to
-    the vectors.  A table in buckets stays in place for that; any other one is put into buckets first, once.
+    Queries are dealt into blocks by a hash.  The pairs go to their vectors once (a table in buckets stays in
+    place for that), and each vector goes on to the blocks that want it, with its queries there.
     """
     spark = vectors.sparkSession
     rows = row_budget(8 * dimension, BLOCK_BYTES)
     # Half-full blocks on average leave room for the unevenness of the hash.
     blocks = max(1, -(-2 * queries.rows // rows))
-    deal = F.pmod(spread(_row_hash("query_id")), F.lit(blocks).cast("bigint"))
-    pairs = lists.select(F.explode("asked").alias("query_id"), "vec_id").withColumn("block", deal)
-    path = work_path(spark, "pairs")
-    pairs.write.partitionBy("block").parquet(path)
-    pairs = spark.read.schema(pairs.schema).parquet(path)
-    if blocks > 1 and not stored:
-        path = work_path(spark, "vectors")
-        save_vectors(vectors, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        vectors, stored = load_vectors(spark, path), True
-    found, schema = work_path(spark, "hits"), None
-    for i in range(blocks):
-        block = queries.df.filter(deal == i).toArrow()
-        mine = pairs.filter(F.col("block") == i).select("vec_id", F.array("query_id").alias("asked"))
-        asked = _asked_vectors(mine, vectors, stored)
-        hits, sent = _measure_with_broadcast(asked, block, dimension, metric, within)
-        hits.write.mode("append").parquet(found)
-        schema = hits.schema
-        for value in sent:
-            value.unpersist()
-    return spark.read.schema(schema).parquet(found)
+    ways = max(1, -(-_cells(spark) // blocks))
+    block = _dealt("query_id", blocks)
+    pairs = lists.select(F.explode("asked").alias("query_id"), "vec_id").withColumn("block", block)
+    sent = pairs.repartition("vec_id") if parts is None else pairs.repartition(parts, "vec_id")
+    wanted = sent.groupBy("vec_id", "block").agg(F.collect_list("query_id").alias("asked"))
+    met = vectors.join(wanted.hint("merge"), "vec_id")
+    starts = F.sequence(F.lit(1), F.size("asked"), F.lit(SLICE))
+    some = F.explode(F.transform(starts, lambda i: F.slice("asked", i, SLICE)))
+    cell = (F.col("block") * ways + _dealt("vec_id", ways)).alias(CELL)
+    passing = met.select(cell, "vec_id", "v", some.alias("asked"))
+    way = F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))
+    held = queries.df.select("query_id", "qv", block.alias("block"), way.alias("way")).select(
+        (F.col("block") * ways + F.col("way")).alias(CELL), "query_id", "qv"
+    )
+
+    def hold(block):
+        return block.column("query_id").combine_chunks(), matrix(block.column("qv").combine_chunks(), dimension)
+
+    def measure(block, batch):
+        x = matrix(batch.column("v"), dimension)
+        return _list_hits(x, batch.column("vec_id"), batch.column("asked"), block[1], block[0], metric, within)
+
+    hits = _meet(held, passing, blocks * ways, hold, measure, _hits_schema(passing))
+    # Few pairs are near, and what reads them more than once need not work them out again.
+    return hits if within is None else cut_lineage(hits)
+
+
+def _cells(spark) -> int:
+    return CELLS_A_CORE * spark.sparkContext.defaultParallelism
+
+
+def _dealt(id_col: str, n: int) -> Column:
+    return F.pmod(spread(_row_hash(id_col)), F.lit(n).cast("bigint")).cast("int")
+
+
+def _meet(held: DataFrame, passing: DataFrame, cells: int, hold, measure, schema: str) -> DataFrame:
+    """The rows of two frames in one cell, side by side: a task holds the first and lets the second pass in batches.
+
+    The held rows of a cell are a block; the passing ones may be any number, as a sort lets them follow.
+    """
+    rows = held.withColumn("turn", F.lit(0)).unionByName(passing.withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    sides = rows.repartitionById(cells, F.col(CELL)).sortWithinPartitions(CELL, "turn")
+
+    def run(batches):
+        at, kept, block = None, [], None
+        for batch in batches:
+            cell, turn = batch.column(CELL).to_numpy(), batch.column("turn").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(2 * cell + turn)) + 1), len(cell)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if cell[a] != at:
+                    at, kept, block = cell[a], [], None
+                if not turn[a]:
+                    kept.append(batch.slice(a, b - a))
+                elif kept or block is not None:
+                    if block is None:
+                        block, kept = hold(pa.Table.from_batches(kept)), []
+                    yield from measure(block, batch.slice(a, b - a))
+
+    return sides.mapInArrow(run, schema)
 
 
 # -- radius and k nearest --------------------------------------------------------------
