@@ -442,3 +442,19 @@ def test_lists_of_long_ids_are_not_broadcast(spark, tables, monkeypatch):
     met = search._asked_vectors(spark.range(50).select(F.col("id").alias("vec_id"), ids.alias("asked")), vectors, False)
     assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
     assert met.count() == 50
+
+
+@pytest.mark.parametrize("metric, radius", [(L2, 2.5), (COSINE, 0.6)], ids=["l2", "cosine"])
+def test_exact_grid_passes_no_driver_and_writes_no_matches(tables, data, monkeypatch, metric, radius):
+    """Many blocks of either side, and more matches of a tile than are held."""
+    vectors, queries = tables
+    x, q = data
+    _no_driver(monkeypatch, queries)
+    monkeypatch.setattr(search, "BLOCK_BYTES", 8 * DIM * 40)
+    monkeypatch.setattr(search, "TILE", 16)
+    monkeypatch.setattr(search, "HELD_HITS", 5)
+    found = search.exact_radius_search(vectors, queries, radius, DIM, True, metric, 8 * DIM * 10)
+    assert not found.inputFiles() or not any("hits" in f for f in found.inputFiles())
+    cos = (x @ q.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1))
+    hit = true_distances(x, q) <= radius if metric is L2 else cos >= radius
+    assert pairs(found) == {(1000 + j, i) for i, j in zip(*np.nonzero(hit))}
