@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from registered import search_queries
 from vicinal.functions.vectors import COSINE, L2
 from vicinal.operators import search
 from vicinal.operators.index import IndexParams, build_index, posting_lists
@@ -458,3 +459,9 @@ def test_exact_grid_passes_no_driver_and_writes_no_matches(tables, data, monkeyp
     cos = (x @ q.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1))
     hit = true_distances(x, q) <= radius if metric is L2 else cos >= radius
     assert pairs(found) == {(1000 + j, i) for i, j in zip(*np.nonzero(hit))}
+
+
+def test_cosine_search_misses_few_near_pairs(spark, sf_dir):
+    data, queries = search_queries.vectors(spark, sf_dir), search_queries.queries_of(spark, sf_dir)
+    exact = search.exact_radius_search(data, queries, search_queries.COSINE_NEAR, 64, False, COSINE).count()
+    assert search_queries.range_cosine(spark, sf_dir).count() >= 0.99 * exact
