@@ -465,3 +465,20 @@ def test_cosine_search_misses_few_near_pairs(spark, sf_dir):
     data, queries = search_queries.vectors(spark, sf_dir), search_queries.queries_of(spark, sf_dir)
     exact = search.exact_radius_search(data, queries, search_queries.COSINE_NEAR, 64, False, COSINE).count()
     assert search_queries.range_cosine(spark, sf_dir).count() >= 0.99 * exact
+
+
+def _embeddings(spark, tmp_path, rows=150):
+    """A table of its own: crowded vectors whose ids are mostly not divisible by 100."""
+    x = (np.random.default_rng(5).standard_normal((rows, 64)) * 0.11).astype(np.float32).astype(float)
+    table = frame(spark, range(1, rows + 1), x, "vec_id", "v")
+    table.select("vec_id", F.col("v").cast("array<float>").alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    ids = np.arange(1, rows + 1)
+    return ids, x, x + 0.01 * ((ids[:, None] * 31 + np.arange(64) * 17) % 7 - 3)
+
+
+def test_recall_is_told_of_every_query(spark, tmp_path):
+    ids, x, q = _embeddings(spark, tmp_path)
+    near = true_distances(x, q) <= search_queries.EXACT_CLOSE
+    told = {r.query_id: r.exact_count for r in search_queries.lsh_recall(spark, str(tmp_path)).collect()}
+    assert told == {int(i): int(n) for i, n in zip(ids, near.sum(0)) if n}
+    assert len(told) == 150 and max(told.values()) > 1
