@@ -482,3 +482,13 @@ def test_recall_is_told_of_every_query(spark, tmp_path):
     told = {r.query_id: r.exact_count for r in search_queries.lsh_recall(spark, str(tmp_path)).collect()}
     assert told == {int(i): int(n) for i, n in zip(ids, near.sum(0)) if n}
     assert len(told) == 150 and max(told.values()) > 1
+
+
+def test_recall_is_that_of_wide_buckets(spark, tmp_path):
+    _, x, q = _embeddings(spark, tmp_path)
+    met = true_candidates(x, q, IndexParams(64, num_functions=4, num_tables=10, bin_length=1.0, seed=7))
+    near = true_distances(x, q) <= search_queries.EXACT_CLOSE
+    wanted = {j + 1: 0 for j in range(150)}
+    for j, i in met:
+        wanted[j - 1000 + 1] += bool(near[i, j - 1000])
+    assert {r.query_id: r.found_count for r in search_queries.lsh_recall(spark, str(tmp_path)).collect()} == wanted
