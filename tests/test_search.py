@@ -492,3 +492,52 @@ def test_recall_is_that_of_wide_buckets(spark, tmp_path):
     for j, i in met:
         wanted[j - 1000 + 1] += bool(near[i, j - 1000])
     assert {r.query_id: r.found_count for r in search_queries.lsh_recall(spark, str(tmp_path)).collect()} == wanted
+
+
+@pytest.mark.parametrize("metric, radius, inclusive", [(L2, 2.5, True), (COSINE, 0.6, False)], ids=["l2", "cosine"])
+@pytest.mark.parametrize("saved", [False, True])
+def test_pairs_of_wide_buckets_are_not_listed(tables, data, tmp_path, monkeypatch, metric, radius, inclusive, saved):
+    """Where much of all pairs meets, both sides pass each other in blocks with their signatures."""
+    vectors, queries = tables
+    x, q = data
+    index = build_index(vectors, PARAMS)
+    if saved:
+        index = index_vectors(vectors, PARAMS, str(tmp_path / "index"), 3)
+    wanted = {(r.query_id, r.vec_id): r.distance for r in search.radius_search(index, vectors, queries, radius, inclusive, metric).collect()}
+
+    def refused(*_):
+        raise AssertionError("candidates were listed")
+
+    monkeypatch.setattr(search, "candidate_lists", refused)
+    monkeypatch.setattr(search, "COUNTED_QUERIES", 1)
+    monkeypatch.setattr(search, "BLOCK_BYTES", 8 * DIM * 40)
+    monkeypatch.setattr(search, "TILE", 16)
+    monkeypatch.setattr(search, "HELD_HITS", 5)
+    near = search.radius_search(index, vectors, queries, radius, inclusive, metric).collect()
+    assert len(near) == len(wanted) > M
+    assert {(r.query_id, r.vec_id): r.distance for r in near} == wanted
+    cos = (x @ q.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1))
+    hit = true_distances(x, q) <= radius if metric is L2 else cos > radius
+    assert set(wanted) == {(j, i) for j, i in true_candidates(x, q) if hit[i, j - 1000]}
+
+
+def test_narrow_buckets_list_their_pairs(tables, monkeypatch):
+    vectors, queries = tables
+    spread = queries.filter("query_id >= 1020")
+    asked = search.Asked.of(spread)
+    assert search._crowded(build_index(vectors, PARAMS), asked)
+    narrow = IndexParams(DIM, num_functions=12, num_tables=6, bin_length=0.2, seed=3)
+    assert not search._crowded(build_index(vectors, narrow), asked)
+
+
+def test_cosine_screen_loses_no_pair():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 5)) * 10.0 ** rng.integers(-90, 90, (60, 1))
+    x[:3] = 0
+    x[3:6] = x[30:33] * (1 + 1e-15)
+    for radius in (-0.2, 0.0, 0.9, 1.0):
+        with np.errstate(all="ignore"):
+            measure = np.array([COSINE.rows(np.broadcast_to(row, x.shape), x) for row in x])
+        i, j, found = COSINE.near(x, x, radius, True)
+        assert {*zip(i, j)} == {*zip(*np.nonzero(measure >= radius))}
+        assert np.array_equal(found, measure[i, j])

@@ -121,6 +121,26 @@ def _cosine_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _ratio(_dot_rows(x, y), np.sqrt(_dot_rows(x, x) * _dot_rows(y, y)))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    # Vectors whose squares come near the bounds of the numbers become NaN: their pairs are all measured.
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        squares = _dot_rows(x, x)
+        safe = (squares > 1e-140) & (squares < 1e140)
+        return x / np.where(safe, np.sqrt(squares), np.where(squares == 0, 1, np.nan))[:, None]
+
+
+def _cosine_near(x: np.ndarray, q: np.ndarray, radius: float, inclusive: bool):
+    # As for L2: one product screens all pairs with a margin, the survivors are measured pair by pair.
+    i, j = np.nonzero(~(_unit(x) @ _unit(q).T < radius - 1e-9))
+    measure = np.empty(len(i))
+    step = max(1, MEASURED_NUMBERS // x.shape[1])
+    with np.errstate(over="ignore"):
+        for s in range(0, len(i), step):
+            measure[s : s + step] = _cosine_rows(x[i[s : s + step]], q[j[s : s + step]])
+    keep = measure >= radius if inclusive else measure > radius
+    return i[keep], j[keep], measure[keep]
+
+
 def _tanimoto_block(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     xq = x @ q.T
     return _ratio(xq, _dot_rows(x, x)[:, None] + _dot_rows(q, q)[None, :] - xq)
@@ -165,6 +185,6 @@ class Metric:
 
 
 L2 = Metric("l2", l2, _l2_rows, _l2_block, screen=_l2_near)
-COSINE = Metric("cosine", cosine, _cosine_rows, _cosine_block, smaller_is_nearer=False)
+COSINE = Metric("cosine", cosine, _cosine_rows, _cosine_block, smaller_is_nearer=False, screen=_cosine_near)
 TANIMOTO = Metric("tanimoto", tanimoto, _tanimoto_rows, _tanimoto_block, smaller_is_nearer=False)
 DOT = Metric("dot", dot, _dot_rows, lambda x, q: x @ q.T, smaller_is_nearer=False)

@@ -9,7 +9,7 @@ hot query can overload.  Both give the same rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial, reduce
 
 import numpy as np
@@ -60,6 +60,15 @@ HELD_HITS = 1 << 20
 #: Cells of a grid for each core, where there are enough rows for them.
 CELLS_A_CORE = 3
 
+#: Queries from which on it is counted how many pairs share a bucket.
+COUNTED_QUERIES = 4096
+
+#: Share of all pairs that may meet in buckets; beyond it, listing the pairs costs more than passing all of them.
+CROWDED = 0.01
+
+#: Slots in which the buckets of a table are counted.
+SLOTS = 1 << 14
+
 _HITS = "query_id {}, vec_id {}, distance DOUBLE"
 
 
@@ -349,11 +358,46 @@ def multifilter(
 
 def _lsh_measured(index, vectors, queries, metric, within, broadcast_rows, salt_cap):
     queries = Asked.of(queries)
+    if within is not None and metric.screen is not None and queries.rows >= COUNTED_QUERIES and _crowded(index, queries):
+        return _grid_of_candidates(index, vectors, queries, within, metric)
     lists = candidate_lists(index, queries, broadcast_rows, salt_cap)
     dimension = index.params.dimension
     return _measured(lists, queries, vectors, dimension, metric, within, broadcast_rows)
 
 
+def _crowded(index: LshIndex, queries: Asked) -> bool:
+    """True when the buckets are so wide that more than a known share of all pairs meets in them.
+
+    Counted over all postings and keys.  Buckets of one slot count as one, which adds 1 / ``SLOTS`` a table.
+    """
+    family = index.family
+    signed = queries.df.select(family.signature(F.col("qv")).alias("sig"))
+    slot = F.pmod(F.xxhash64("bins"), F.lit(SLOTS).cast("bigint")).alias("slot")
+
+    def counted(keys, name):
+        return keys.select("table_id", slot).groupBy("table_id", "slot").agg(F.count(F.lit(1)).alias(name))
+
+    met = counted(index.whole, "stored").join(counted(table_keys(signed, family), "asked"), ["table_id", "slot"], "left")
+    load = F.sum(F.col("stored").cast("double") * F.coalesce("asked", F.lit(0)))
+    load, postings = met.agg(load, F.sum("stored")).first()
+    return (load or 0) > CROWDED * queries.rows * (postings or 0) / len(family.tables)
+
+
+def _grid_of_candidates(index: LshIndex, vectors: DataFrame, queries: Asked, within, metric: Metric) -> DataFrame:
+    """The near candidates without a list of the candidates: every vector passes every query with its signature, and of
+    the near pairs those remain whose signatures meet in a table."""
+    family, dimension = index.family, index.params.dimension
+    # Every vector has one posting in each table.
+    signed = index.whole.filter(F.col("table_id") == 0).select("vec_id", "sig")
+    held = vectors.select("vec_id", "v").join(signed.hint("merge"), "vec_id")
+    asked = queries.df.select("query_id", "qv", family.signature(F.col("qv")).alias("sig"))
+    schema = _HITS.format(
+        asked.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+    )
+    rows = row_budget(8 * dimension, BLOCK_BYTES)
+    return _grid(held, vectors.count(), replace(queries, df=asked), rows, within[0], dimension, within[1], metric, schema, family)
+
+
 def radius_search(
     index: LshIndex,
     vectors: DataFrame,
@@ -449,45 +493,55 @@ def exact_radius_search(
         return scan(queries)[0]
     if cells is not None:
         return _rounds(queries, cells, rows, scan, schema)
-    return _grid(vectors, Asked.of(queries) if asked is None else asked, rows, radius, dimension, inclusive, metric, schema)
+    asked = Asked.of(queries) if asked is None else asked
+    return _grid(vectors, vectors.count(), asked, rows, radius, dimension, inclusive, metric, schema)
 
 
-def _grid(vectors, queries, rows, radius, dimension, inclusive, metric, schema) -> DataFrame:
-    """All matches, each vector and query side by side in one cell of a grid.
+def _grid(vectors, stored, queries, rows, radius, dimension, inclusive, metric, schema, family=None) -> DataFrame:
+    """All matches, each of the ``stored`` vectors and each query side by side in one cell of a grid.
 
     Copies grow with the number of blocks of the other side only: a query goes to every block of vectors, a
-    vector to the few columns that give all cores work.
+    vector to the few columns that give all cores work.  With a ``family`` both sides have a ``sig``, and of the matches
+    those remain whose signatures meet in one of its tables.
     """
     spark = vectors.sparkSession
-    down = max(1, -(-vectors.count() // row_budget(8 * dimension, BLOCK_BYTES)))
+    down = max(1, -(-stored // row_budget(8 * dimension, BLOCK_BYTES)))
     blocks = -(-2 * queries.rows // rows)
     across = max(1, min(blocks, -(-_cells(spark) // down)))
 
     def copies(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("copy")
 
-    held = vectors.select("vec_id", "v", copies(across)).select(
-        (_dealt("vec_id", down) * across + F.col("copy")).alias(CELL), "vec_id", "v"
+    held = vectors.select(*vectors.columns, copies(across)).select(
+        (_dealt("vec_id", down) * across + F.col("copy")).alias(CELL), *vectors.columns
     )
-    passing = queries.df.select("query_id", "qv", copies(down)).select(
-        (F.col("copy") * across + _dealt("query_id", across)).alias(CELL), "query_id", "qv"
+    signed = ["query_id", "qv"] if family is None else ["query_id", "qv", "sig"]
+    passing = queries.df.select(*signed, copies(down)).select(
+        (F.col("copy") * across + _dealt("query_id", across)).alias(CELL), *signed
     )
 
+    def bins(signatures):
+        return signatures.flatten().to_numpy().reshape(len(signatures), -1)
+
     def hold(block):
-        return block.column("vec_id").combine_chunks(), matrix(block.column("v").combine_chunks(), dimension)
+        block = block.combine_chunks().to_batches()[0]
+        x = matrix(block.column("v"), dimension)
+        return block.column("vec_id"), x, None if family is None else bins(block.column("sig"))
 
     def measure(block, batch):
+        vec_ids, x, x_bins = block
         for s in range(0, len(batch), rows):
             some = batch.slice(s, rows)
             q = matrix(some.column("qv"), dimension)
-            yield from _hits_by_query(*block, some.column("query_id"), q, radius, inclusive, metric)
+            meet = None if family is None else partial(family.meet, x_bins, bins(some.column("sig")))
+            yield from _hits_by_query(vec_ids, x, some.column("query_id"), q, radius, inclusive, metric, meet)
 
     return _meet(held, passing, down * across, hold, measure, schema)
 
 
-def _hits_by_query(vec_ids: pa.Array, x, query_ids: pa.Array, q, radius, inclusive, metric):
+def _hits_by_query(vec_ids: pa.Array, x, query_ids: pa.Array, q, radius, inclusive, metric, meet=None):
     """Record batches of the pairs of two blocks within ``radius``, those of one query together: tables of many
-    matches stay small, as what they say of a query repeats from row to row."""
+    matches stay small, as what they say of a query repeats from row to row.  Of pairs of row numbers those count that ``meet``."""
 
     def ordered(found):
         i, j, distance = (np.concatenate(c) for c in zip(*found))
@@ -501,7 +555,11 @@ def _hits_by_query(vec_ids: pa.Array, x, query_ids: pa.Array, q, radius, inclusi
         found, n = [], 0
         for s in range(0, len(x), TILE):
             i, j, distance = metric.near(x[s : s + TILE], q[t : t + TILE], radius, inclusive)
-            found.append((i + s, j + t, distance))
+            i, j = i + s, j + t
+            if meet is not None:
+                both = meet(i, j)
+                i, j, distance = i[both], j[both], distance[both]
+            found.append((i, j, distance))
             n += len(i)
             if n >= HELD_HITS:
                 yield ordered(found)
