@@ -63,8 +63,9 @@ CELLS_A_CORE = 3
 #: Queries from which on it is counted how many pairs share a bucket.
 COUNTED_QUERIES = 4096
 
-#: Share of all pairs that may meet in buckets; beyond it, listing the pairs costs more than passing all of them.
-CROWDED = 0.01
+#: Share of all pairs that may meet in buckets, a pair counted in each table where it meets; beyond it, listing the pairs
+#: costs more than passing all of them.
+CROWDED = 0.02
 
 #: Slots in which the buckets of a table are counted.
 SLOTS = 1 << 14
