@@ -15,17 +15,19 @@ from registered.common import (
     Registry,
     candidates_sql,
     index_sql,
+    keys_sql,
     moved,
     queries_of,
     read,
     rounded,
+    sig_sql,
     vectors,
 )
 from vicinal.functions.vectors import COSINE
 from vicinal.operators import search
 from vicinal.operators.index import IndexParams, build_index
 from vicinal.operators.keyed import KeyedTable
-from vicinal.operators.probing import exact_knn_search, knn_probed
+from vicinal.operators.probing import ROUNDS, exact_knn_search, knn_probed, perturbations
 from vicinal.plans.jobs import answer_stream, answer_table, index_text_file, index_vectors
 from vicinal.plans.sizing import work_path
 from vicinal.sources.index_store import compact_index, delete_vectors, load_index, upsert_vectors
@@ -200,7 +202,34 @@ def exact_pivots(spark, sf_dir):
     return _ids_and_distance(search.exact_radius_search(stored, queries_of(spark, sf_dir), 0.5, DIMENSION))
 
 
-@R.add("knn_lsh_probed")
+_PATTERNS = perturbations(PARAMS.num_functions)
+_STEPS = ", ".join(
+    f"({p}, {s}, {step})" for p, pattern in enumerate(_PATTERNS) for s, step in (pattern or [(0, 0)])
+)
+
+
+@R.add(
+    "knn_lsh_probed",
+    f"""WITH {index_sql(FAMILY)}, {QRY}, {sig_sql(FAMILY, "qry", "query_id", "qv", "qsig")}, {keys_sql("qsig", "query_id", "qkeys")},
+    steps(pattern, slot, step) AS (VALUES {_STEPS}),
+    edges AS (SELECT query_id, fn, (list_dot_product(qv, a) + b) / {PARAMS.bin_length}::DOUBLE AS place FROM qry, planes),
+    crossed AS (SELECT query_id, fn, step, CASE step WHEN 0 THEN -1 WHEN -1 THEN ((place - floor(place)) * {PARAMS.bin_length}::DOUBLE) ** 2
+      ELSE ((floor(place) + 1 - place) * {PARAMS.bin_length}::DOUBLE) ** 2 END AS cost FROM edges, (VALUES (-1), (0), (1)) AS t(step)),
+    probes AS (SELECT query_id, table_id, pattern, sum(cost) AS cost, list(slot) AS slotted, list(steps.step) AS moved FROM steps, tables
+      JOIN crossed ON fn = slots[slot + 1] - 1 AND crossed.step = steps.step GROUP BY query_id, table_id, pattern),
+    tried AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, table_id, pattern) AS turn FROM probes
+      QUALIFY turn <= {ROUNDS[-1] * len(FAMILY.tables)}),
+    wanted AS (SELECT query_id, table_id, turn, list_transform(bins, lambda x, i: x + coalesce(moved[list_position(slotted, i - 1)], 0)) AS bins
+      FROM tried JOIN qkeys USING (query_id, table_id)),
+    met AS (SELECT query_id, vec_id, min(turn) AS turn FROM wanted JOIN pkeys USING (table_id, bins) GROUP BY query_id, vec_id),
+    rounds(upto) AS (VALUES {", ".join(f"({r * len(FAMILY.tables)})" for r in ROUNDS)}),
+    enough AS (SELECT query_id, min(upto) AS upto FROM (SELECT query_id, upto FROM met, rounds WHERE turn <= upto
+      GROUP BY query_id, upto HAVING count(*) >= 10) GROUP BY query_id),
+    cand AS (SELECT query_id, vec_id FROM met JOIN enough USING (query_id) WHERE turn <= upto
+      UNION ALL SELECT query_id, vec_id FROM qry, emb WHERE query_id NOT IN (SELECT query_id FROM enough)), {MEASURED}
+    SELECT query_id, vec_id, round(d, 6) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank
+    FROM near QUALIFY rank <= 10""",
+)
 def knn_of_all(spark, sf_dir):
     """Ten answers for every query: neighbouring buckets are probed until there are enough candidates."""
     near = knn_probed(_index(spark, sf_dir), vectors(spark, sf_dir), queries_of(spark, sf_dir), 10)
